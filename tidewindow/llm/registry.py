@@ -16,6 +16,15 @@ def queries() -> dict[str, Query]:
     """Name -> query over a folder of tables."""
     return {
         "op1_ngram_jaccard_join": q.op1_ngram_jaccard_join,
+        "op2_language_id": q.op2_language_id,
+        "op3_secret_scan": q.op3_secret_scan,
+        "op4_decontamination": q.op4_decontamination,
+        "op5_token_counts": q.op5_token_counts,
+        "op6_chat_format": q.op6_chat_format,
+        "op7_html_extraction": q.op7_html_extraction,
+        "op8_source_mixing": q.op8_source_mixing,
+        "op9_warc_packages": q.op9_warc_packages,
+        "op10_quality_rules": q.op10_quality_rules,
     }
 
 
