@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewindow.llm import queries as q
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": q.op8_source_mixing,
         "op9_warc_packages": q.op9_warc_packages,
         "op10_quality_rules": q.op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -32,4 +34,10 @@ def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same rows."""
     return {
         "op1_ngram_jaccard_join": sql.OP1,
+        "op3_secret_scan": sql.OP3,
+        "op4_decontamination": sql.OP4,
+        "op6_chat_format": sql.OP6,
+        "op8_source_mixing": sql.mixing_sql(q.MIX_WEIGHTS, q.MIX_SHARE, q.MIX_EPOCHS, q.MIX_SEED),
+        "op9_warc_packages": sql.OP9,
+        "op10_quality_rules": sql.quality_sql(),
     }

@@ -1,5 +1,10 @@
 """DuckDB SQL for the queries of this subpackage."""
 
+from __future__ import annotations
+
+from tidewindow.llm import quality
+from tidewindow.llm.secrets import RULES, Rule
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -26,3 +31,149 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id
 FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s
 """
+
+
+def _secret_kind(rank: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT r, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least, regexp_split_to_array(x, '{pattern}') AS pieces,
+    regexp_extract_all(x, '{pattern}', 0) AS found, regexp_extract_all(x, '{pattern}', {rule.group}) AS graded FROM texts"""
+
+
+_TOLD = "kind || ':' || s || ':' || e"
+OP3 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS r FROM documents
+), matches AS ({" UNION ALL ".join(_secret_kind(i, r) for i, r in enumerate(RULES))}
+), each AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matches
+), placed AS (
+  SELECT r, kind, rank, list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0) AS s,
+    length(found[i]) AS n FROM each WHERE length(graded[i]) >= least
+), spans AS (SELECT r, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM placed)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg({_TOLD}, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg({_TOLD}, ',' ORDER BY s, rank), '') AS spans
+FROM texts t LEFT JOIN spans p ON t.r = p.r GROUP BY t.r, t.doc_id
+"""
+
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4 = rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_ALNUM} AS w FROM documents
+), items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ALNUM} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), grams AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (SELECT r, i, n, item_id FROM grams JOIN windows USING (n, g)
+), words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), found AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+OP6 = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), runs AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) <> role, true) AS opens FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED.format("text")})) + sum(CASE WHEN opens THEN length({_ESCAPED.format("role")}) + 9 + 8 + 8 ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM runs GROUP BY conv_id
+"""
+
+
+def _weights(level: str, weights: dict[str, int]) -> str:
+    return f"CASE {' '.join(f"WHEN {level} = '{k}' THEN {v}" for k, v in weights.items())} ELSE 1 END" if weights else "1"
+
+
+def mixing_sql(weights: dict[str, dict[str, int]], share: float, epochs: int, seed: int) -> str:
+    """SQL for operator 8 over levels domain, lang and source."""
+    levels = ("domain", "lang", "source")
+    steps, nodes = "", "leaves"
+    for i, level in enumerate(levels):
+        path = ", ".join(levels[: i + 1])
+        family = f"PARTITION BY {', '.join(levels[:i])}" if i else ""
+        order = f"{family} ORDER BY CAST(cap AS DOUBLE) / weight, {level}"
+        steps += f"""
+), kids{i} AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS cap, any_value(budget) AS budget, {_weights(level, weights.get(level, {}))} AS weight FROM {nodes} GROUP BY {path}
+), line{i} AS (SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM kids{i}
+), full{i} AS (SELECT *, cap * rest <= greatest(budget - bef, 0) * weight AS sated FROM line{i}
+), sums{i} AS (SELECT *, coalesce(sum(cap) FILTER (sated) OVER ({family}), 0) AS spent, sum(weight) FILTER (NOT sated) OVER ({family}) AS open FROM full{i}
+), part{i} AS (SELECT {path}, CASE WHEN sated THEN cap ELSE CAST((budget - spent) * weight // open AS BIGINT) END AS got FROM sums{i}
+), node{i} AS (SELECT n.* REPLACE (p.got AS budget) FROM {nodes} n JOIN part{i} p USING ({path})"""
+        nodes = f"node{i}"
+    return rf"""
+WITH rows AS (
+  SELECT doc_id, CAST(coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4, 0) AS VARCHAR) AS domain, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '')) AS n
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * {epochs} AS BIGINT) AS cap,
+    (SELECT CAST(floor(sum(n) * {share}) AS BIGINT) FROM rows) AS budget FROM rows GROUP BY ALL{steps}
+), plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS part FROM node2
+), keyed AS (SELECT r.*, whole, part, md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM rows r JOIN plan USING (domain, lang, source)
+), placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(n) OVER (PARTITION BY domain, lang, source, k) AS bef FROM keyed
+), taken AS (SELECT *, whole + CASE WHEN bef < part THEN 1 ELSE 0 END AS epochs FROM placed)
+SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(epochs AS BIGINT) AS epochs FROM taken WHERE epochs > 0
+"""
+
+
+OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), w AS (SELECT d, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN page_id < winner THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < winner THEN winner END AS refers_to
+FROM p LEFT JOIN w ON p.d = w.d AND n >= 1000
+"""
+
+
+def quality_sql() -> str:
+    """SQL for operator 10, each round of the estimation as steps of their own."""
+    rules = list(quality.RULES)
+    start = ", ".join(f"{quality.START_RIGHT} AS g{i}, {quality.START_RIGHT} AS b{i}" for i in range(len(rules)))
+    odds = "ln(prior) - ln(1 - prior)" + "".join(
+        f" + CASE v{i} WHEN 1 THEN ln(g{i}) - ln(1 - b{i}) WHEN -1 THEN ln(1 - g{i}) - ln(b{i}) ELSE 0 END" for i in range(len(rules))
+    )
+    post = f"1 / (1 + exp(-({odds})))"
+    bound = f"least({quality.MOST_RIGHT}, greatest({quality.LEAST_RIGHT}, {{}}))"
+    steps = ""
+    for k in range(quality.ROUNDS):
+        new = ["least(0.99, greatest(0.01, sum(p * n) / sum(n))) AS prior"]
+        for i in range(len(rules)):
+            for y, mine, vote in (("g", "p * n", 1), ("b", "(1 - p) * n", -1)):
+                right = f"(coalesce(sum({mine}) FILTER (v{i} = {vote}), 0) + {quality.START_RIGHT}) / (coalesce(sum({mine}) FILTER (v{i} <> 0), 0) + 1)"
+                new.append(f"{bound.format(right)} AS {y}{i}")
+        steps += f"\n), p{k} AS MATERIALIZED (SELECT patterns.*, {post} AS p FROM patterns, m{k}\n), m{k + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM p{k}"
+    votes = ", ".join(f"{v} AS v{i}" for i, v in enumerate(quality.RULES.values()))
+    columns = ", ".join(f"v{i}" for i in range(len(rules)))
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l
+  FROM documents
+), windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM texts)
+), twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows
+), covered AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY r
+), counts AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
+    length(t) - length(translate(t, '{UPPER}', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts, len(list_distinct(w)) AS n_distinct, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (r)
+), voted AS (SELECT *, {votes} FROM counts
+), patterns AS MATERIALIZED (SELECT {columns}, count(*) AS n FROM voted GROUP BY {columns}
+), m0 AS (SELECT {quality.START_PRIOR} AS prior, {start}{steps}
+), judged AS (SELECT voted.*, {post} AS p, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted, m{quality.ROUNDS})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept FROM judged
+"""
