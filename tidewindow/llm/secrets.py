@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewindow.llm.shared import saved
+
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
 _SCANS = f"blob string, rules array<string>, spans {_SPANS}"
 
@@ -122,7 +124,7 @@ class Ledger:
         rows = versions.select(F.struct("*").alias("version"), blob_of(F.coalesce(F.col(content).cast("string"), F.lit(""))).alias("blob"))
         current = [r.name for r in self.rules]
         kept = self.scans().select("blob", F.array_sort(F.filter("spans", lambda s: s["rule"].isin(current))).alias("spans"))
-        return rows.join(kept, "blob", "left").select("version", "blob", "spans")
+        return rows.join(saved(kept, "findings"), "blob", "left").select("version", "blob", "spans")
 
 
 def blob_of(text: Column) -> Column:
