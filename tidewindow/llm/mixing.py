@@ -21,8 +21,8 @@ from tidewindow.llm.shared import saved
 
 #: Leaves up to which the plan, a row of some hundred bytes a leaf, is broadcast.
 BROADCAST_LEAVES = 50_000
-#: Hex digits of the hash that make a range: 65,536 ranges in a leaf.
-RANGE_DIGITS = 4
+#: Hex digits of the hash that make a range: 4,096 ranges in a leaf at most.
+RANGE_DIGITS = 3
 _SPACE = " \t\n\x0b\f\r"
 
 
