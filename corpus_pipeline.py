@@ -22,10 +22,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1, five words and 0.8. Of each group the document with the smallest id stays, of rows that repeat that id one."""
-    groups = ngram_join.ngram_jaccard_groups(docs, n_words=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Operator 1, five words and 0.8. Of each group the document with the smallest id stays.
+
+    A null id is told by its text. Rows that repeat both id and text are one document, rows that repeat an id alone are not.
+    """
+    words = F.xxhash64("text")
+    keyed = docs.withColumns({"__key": F.coalesce("doc_id", -F.abs(words.bitwiseAND(2**62 - 1)) - 1), "__text": words})
+    groups = ngram_join.ngram_jaccard_groups(keyed, id_col="__key", n_words=5, num=80, den=100)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key", "__text"]).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
