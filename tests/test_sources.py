@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from tidewindow.operators import learning
+from tidewindow.operators import learning, selection
 from tidewindow.schema import CLASSES, COORDS
 from tidewindow.sources import cache, files
 from tidewindow.streaming.windows import row_count_windows, timed_summary
@@ -90,3 +90,20 @@ def test_timed_summary_is_a_plain_aggregate_on_a_table(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:01", "a", 1.0), ("2024-01-01 00:00:09", "a", 3.0)], "t string, k string, v double").withColumn("t", F.to_timestamp("t"))
     row = timed_summary(df, "t", "v", "k", "10 seconds", "10 seconds", "5 seconds").first()
     assert (row["n"], row["mean"]) == (2, 2.0)
+
+
+def test_a_search_resumes(spark, tmp_path):
+    grid = selection.parameter_grid(spark, {"a": [1, 2], "b": [0.5, 0.7]})
+    asked = []
+
+    def score(setting):
+        asked.append(setting["candidate_index"])
+        if len(asked) == 3:
+            raise RuntimeError("broken off")
+        return {"accuracy": setting["a"] * setting["b"]}
+
+    with pytest.raises(RuntimeError):
+        selection.resumed_search(spark, str(tmp_path / "s"), grid, ["candidate_index"], score)
+    scores, new = selection.resumed_search(spark, str(tmp_path / "s"), grid, ["candidate_index"], score)
+    assert (scores.count(), new, asked) == (4, 2, [0, 1, 2, 2, 3])
+    assert selection.resumed_search(spark, str(tmp_path / "s"), grid, ["candidate_index"], score)[1] == 0

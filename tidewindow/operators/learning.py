@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, StringIndexerModel, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexerModel, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -134,6 +134,19 @@ def fit_model(rows: DataFrame, features: Sequence[str], classes: Sequence[str],
     return Pipeline(stages=stages).fit(index.transform(balanced_weights(clean, classes, label, root)))
 
 
+def fit_perceptron(rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "label", hidden: Sequence[int] = (64,), epochs: int = 60, seed: int = 42) -> PipelineModel:
+    """Median fill, standard scores, a perceptron over classes in a fixed order: the nearest of Spark's models to a network over flattened windows."""
+    index = StringIndexerModel.from_labels(list(classes), inputCol=label, outputCol="__y", handleInvalid="error")
+    clean = rows.withColumns({c: x.finite(F.col(c).cast("double")) for c in features})
+    stages = [
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(features), outputCols=[f"__{c}" for c in features]),
+        VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="__all"),
+        StandardScaler(withMean=True, inputCol="__all", outputCol="__features"),
+        MultilayerPerceptronClassifier(layers=[len(features), *hidden, len(classes)], featuresCol="__features", labelCol="__y", maxIter=epochs, seed=seed, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred"),
+    ]
+    return Pipeline(stages=stages).fit(index.transform(clean))
+
+
 def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Rows with ``probs`` in class order, ``pred`` and ``confidence``."""
     clean = rows.withColumns({c: x.finite(F.col(c).cast("double")) for c in features})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -127,6 +127,26 @@ def remaining(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return grid.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def resumed_search(spark: SparkSession, folder: str, grid: DataFrame, keys: Sequence[str], score: Callable[[Mapping], Mapping[str, float]]) -> tuple[DataFrame, int]:
+    """The scores of all settings of a small grid, kept as Parquet in ``folder``, and how many of them had to be worked out now.
+
+    Settings that have a score are not worked out again; each new one is appended as soon as it is there.
+    """
+    first = next(iter(grid.limit(1).collect()), None)
+    if first is None:
+        raise ValueError("the grid is empty")
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    todo = remaining(grid, spark.read.parquet(folder), keys) if there else grid
+    settings = [r.asDict() for r in todo.orderBy(*keys).collect()]
+    for s in settings:
+        row = {**{k: s[k] for k in keys}, **{k: float(v) for k, v in score(s).items()}}
+        kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
+        schema = ", ".join(f"{k} {kinds.get(k, 'double')}" for k in row)
+        spark.createDataFrame([tuple(row.values())], schema).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder), len(settings)
+
+
 def parameter_grid(spark: SparkSession, values: Mapping[str, Sequence], sample: int | None = None, seed: int = 42) -> DataFrame:
     """``(candidate_index, names...)`` of all combinations, or of ``sample`` of them in the order of a seeded hash."""
     rows = [(i, *c) for i, c in enumerate(product(*values.values()))]

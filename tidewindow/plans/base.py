@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 8) -> DataFrame:
     """Doubles whose last bits depend on the order of sums, rounded; -0 is 0."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})

@@ -506,6 +506,15 @@ def leave_one_subject_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.leave_one_subject_out(rows, _FEATURES, ("c0", "c1", "c2"), ("c1",), subjects, trees=10, depth=4)[1]
 
 
+@query("l10_perceptron")
+def perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a perceptron on the rows of one held-out subject."""
+    train, test = sl.leave_one_out(learning_rows(spark, sf_dir), 0)
+    names = ("c0", "c1", "c2")
+    told = ln.predict(ln.fit_perceptron(train, _FEATURES, names, hidden=(8,), epochs=20), test, _FEATURES, names)
+    return mt.evaluate(mt.counts(told.withColumnRenamed("label", "truth")), names, ("c1",))
+
+
 _TURN = math.radians(30.0)
 
 

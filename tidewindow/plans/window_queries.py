@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewindow.operators import features as ft
 from tidewindow.operators import windows as wn
-from tidewindow.plans.base import EV, SIZE, STRIDE, WIN, frames, framed_sql, query, round_sql, rounded, windows_sql
+from tidewindow.plans.base import EV, SIZE, STRIDE, WIN, frames, framed_sql, query, round_sql, rounded, scratch, windows_sql
+from tidewindow.streaming.windows import replayed
 
 CLASSES = ("click", "error", "purchase", "view")
 RATE = 4.0
@@ -162,6 +163,16 @@ def window_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.groupBy("window_size", "stride").agg(F.count("*").alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("frames"))
 
 
+@query(
+    "st_row_count_windows",
+    f"""WITH {EV}, {windows_sql(SIZE, STRIDE, False)}, {framed_sql()} SELECT subject_id, start_pos, end_pos, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) AS mean, CAST(min(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS least, CAST(max(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS greatest FROM fr GROUP BY subject_id, start_pos, end_pos""",
+)
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete windows by a stream with keyed state."""
+    e = cents(frames(spark, sf_dir)).select("subject_id", "pos", F.col("c").cast("double").alias("x"))
+    return replayed(e, SIZE, STRIDE, scratch(spark, "stream"))
+
+
 # -- features ---------------------------------------------------------------------------------------------------------
 
 _LONG = f"""{WIN}, lg AS (SELECT subject_id, start_pos, pos, 'value' AS signal, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS x FROM fr

@@ -23,12 +23,12 @@ def row_count_windows(frames: DataFrame, size: int, stride: int) -> DataFrame:
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, pos, x = state.get if state.exists else (-1, [], [])
         pos, x = list(pos), list(x)
-        for rows in batches:
-            rows = rows[rows["pos"] > seen].drop_duplicates("pos").sort_values("pos")
-            if len(rows):
-                pos += rows["pos"].tolist()
-                x += rows["x"].tolist()
-                seen = pos[-1]
+        rows = pd.concat(list(batches))
+        rows = rows[rows["pos"] > seen].drop_duplicates("pos").sort_values("pos")
+        if len(rows):
+            pos += rows["pos"].tolist()
+            x += rows["x"].tolist()
+            seen = pos[-1]
         out = []
         while pos:
             start = -(-pos[0] // stride) * stride
@@ -49,3 +49,13 @@ def timed_summary(events: DataFrame, time: str, value: str, key: str, window: st
     """Counts and means of a value by key and sliding event-time window, for events at most ``late`` late."""
     own = events.withWatermark(time, late).groupBy(F.window(time, window, slide), key)
     return own.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n", "mean")
+
+
+def replayed(frames: DataFrame, size: int, stride: int, folder: str) -> DataFrame:
+    """Windows of a table by way of a stream: it is written to ``folder``, streamed to its end and read back."""
+    spark = frames.sparkSession
+    frames.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(frames.schema).parquet(f"{folder}/in")
+    out = row_count_windows(stream, size, stride).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(_OUT).parquet(f"{folder}/out")
