@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from tidewindow.llm.shared import small_batches
 from tidewindow.llm.textvec import ALNUM
 
 #: Benchmark text in one automaton, in bytes; it bounds what is collected and broadcast. More text is scanned for in several blocks, one after the other, within the same tasks.
@@ -118,6 +119,7 @@ def contamination(
     ones too, whatever the names of its columns.
     """
     context = documents.sparkSession.sparkContext
+    small_batches(documents.sparkSession)
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")
     )

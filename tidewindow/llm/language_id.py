@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewindow.llm.shared import small_batches
+
 #: N-grams in a profile.
 TOP = 300
 #: Languages that a model may have: with TOP, the bound of what is collected and broadcast.
 MAX_LANGUAGES = 2_000
-_FLUSH = 1_000_000
+_FLUSH = 300_000
 _LETTERS: np.ndarray | None = None
 
 
@@ -166,6 +168,7 @@ def identify(documents: DataFrame, train: DataFrame, text_col: str = "text", lan
     A null text or one without letters is ``und`` with score 0, as is every text where nothing could be learned. Every
     row returns, repeated ones too, and the language column of ``documents`` is not read.
     """
+    small_batches(documents.sparkSession)
     model = collect_profiles(train_profiles(train, text_col, lang_col, top), top)
     predict = predictor(model, documents.sparkSession.sparkContext, top)
     rows = documents.select(F.struct("*").alias("doc"), predict(F.col(text_col).cast("string")).alias("p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of the batches that whole texts are handed to Python in. A batch is held several times over on both
+#: sides, and a few thousand long texts make one too large.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to what suits whole texts; smaller settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.match(r"\d*", spark.conf.get(key))[0] or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

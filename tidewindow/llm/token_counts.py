@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewindow.llm.shared import small_batches
+
 #: Largest vocabulary that is broadcast.
 MAX_VOCABULARY = 2_000_000
 #: Counts of words that a task remembers.
@@ -104,6 +106,7 @@ def token_counts(documents: DataFrame, vocabulary: list[bytes], text_col: str =
     A text is cut into words with at most one space before each, and runs of other white space; each is matched by itself. Null and empty texts
     have no tokens. Every row returns, repeated ones too.
     """
+    small_batches(documents.sparkSession)
     tokens = documents.sparkSession.sparkContext.broadcast(vocabulary)
     name = f"{documents.sparkSession.sparkContext.applicationId}-{id(tokens)}-{len(vocabulary)}"
 

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewindow.llm.shared import new_path, saved
+from tidewindow.llm.shared import new_path, saved, small_batches
 
 #: Compressed bytes of records after which a task starts another package.
 PACKAGE_BYTES = 32_000_000
@@ -233,6 +233,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     )
+    small_batches(pages.sparkSession)
     plan = plan_records(rows, min_bytes)
     return saved(plan.mapInArrow(partial(_write, folder=folder), "path string, bytes long, records long"), "manifest")
 
