@@ -166,6 +166,15 @@ def test_page_without_an_article():
     assert html_text.main_text(html).split("\n") == ["Heading", *(prose(i, 40) for i in range(5))]
 
 
+def test_page_with_its_title_beside_the_text():
+    text = "".join(f"<p>{prose(i, 30)}</p>" for i in range(4))
+    links = "".join(f"<li><a href='/{i}'>Link number {i}</a></li>" for i in range(20))
+    html = f"<body><div class=x><ul>{links}</ul></div><div class=post><h1>Title</h1><div>{text}</div></div><div class=x><ul>{links}</ul></div></body>"
+    assert html_text.main_text(html).split("\n") == ["Title", *(prose(i, 30) for i in range(4))]
+    html = f"<body><ul>{links}</ul><h1>Title</h1><div>{text}</div><ul>{links}</ul></body>"
+    assert html_text.main_text(html).split("\n") == ["Title", *(prose(i, 30) for i in range(4))]
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, "p", "t"), (1, None, "p", "t"), (2, "<p>x", "p", "t")], "page_id long, html string, page string, text string")
     out = html_text.extract_main_text(df).collect()

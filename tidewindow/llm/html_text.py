@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewindow.llm.shared import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -36,6 +38,9 @@ CUT_WORDS = frozenset(
     "newsletter notice notices notification overlay pagination pager popup promo promoted promotion reactions recommended related replies reply "
     "respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What may stand beside the text within the same part of a page.
+BESIDE = HEADINGS | frozenset("header p blockquote figure pre ul ol dl table hr br".split())
 #: An open tag ends the open tags of its set, up to the nearest of its bounds.
 _CLOSES = {
     **{t: (frozenset(["p"]), frozenset(["td", "th", "table", "button", "body"])) for t in BLOCKS - {"html", "head", "body", "title", "option", "optgroup", "tr", "td", "th", "tbody", "thead", "tfoot", "li", "dd", "dt", "caption", "legend"}},
@@ -179,16 +184,26 @@ def _content(root: Node) -> list[Node]:
     if article is not None:
         return [n for n in [article] if n.chars]
     threshold = min(n.density for n in path)
-    found, stack = [], [body]
-    while stack:
-        node = stack.pop()
-        if node is not body and node.density >= threshold and node.density > 0:
-            own = _in_order(node)
-            top = max(own, key=lambda n: n.total)
-            found.append(top if node not in path else best)
-        else:
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return found or [best]
+    node = best
+    while node is not body and node.parent is not body and _plain_beside(node):
+        node = node.parent
+    if node is body:
+        return [node]
+    beside = [c for c in node.parent.children if isinstance(c, Node)]
+    at = beside.index(node)
+    head = at
+    while head and beside[head - 1].tag in HEADINGS:
+        head -= 1
+    alike = [n for n in beside if n is not node and (n.tag, n.attrs.get("class")) == (node.tag, node.attrs.get("class")) and n.density >= threshold > 0]
+    return [n for i, n in enumerate(beside) if head <= i <= at or n in alike]
+
+
+def _plain_beside(node: Node) -> bool:
+    """Whether all that stands beside a node is headings and text with few links."""
+    for c in node.parent.children:
+        if isinstance(c, Node) and c is not node and c.chars and (c.tag not in BESIDE or c.link_chars > 0.3 * c.chars):
+            return False
+    return True
 
 
 def _blocks(root: Node) -> list[str]:
@@ -245,5 +260,6 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     line break is white space. Within an article or main element all blocks count; without one, the subtrees that reach the
     density threshold. Null, empty and textless pages give the empty string. Every row returns, repeated ones too.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.struct("*").alias("page"), F.coalesce(_main_texts(F.coalesce(F.col(html_col).cast("string"), F.lit(""))), F.lit("")).alias("text"))
     return rows.select("page", "text", F.length("text").cast("long").alias("n_chars"))
