@@ -267,10 +267,14 @@ def test_quality(odd, none):
     assert quality.judge(none).count() == 0
 
 
-def test_rules_are_told_apart_by_how_right_they_are(spark):
-    rows = [(1, 1, 1, 800), (1, 1, -1, 60), (-1, -1, 1, 70), (-1, -1, -1, 70), (0, 0, 0, 10)]
-    model = quality.fit(spark.createDataFrame(rows, "a int, b int, c int, n long"), ["a", "b", "c"])
-    assert model.bad[0] > model.bad[2] and 0.7 < model.prior < 0.95
+def test_accuracies_are_estimated_and_one_specialist_is_enough(spark):
+    rows = [(1, 1, 1, 880), (-1, 1, 1, 60), (1, -1, 1, 40), (1, 1, 0, 20)]
+    patterns = spark.createDataFrame(rows, "a int, b int, c int, n long")
+    model = quality.fit(patterns, ["a", "b", "c"])
+    assert model.bad[0] > model.bad[1] > model.bad[2] == quality.LEAST_BAD and 0.8 < model.prior <= 0.9
+    told = [r[0] for r in patterns.orderBy(F.desc("n")).select(model.posterior([F.col(c) for c in "abc"])).collect()]
+    assert [p >= 0.5 for p in told] == [True, False, False, True]
+    assert quality.fit(patterns.limit(0), ["a", "b", "c"]).prior == quality.START_PRIOR
 
 
 def test_pipeline_over_empty_documents(spark, data, none):

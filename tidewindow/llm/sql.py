@@ -139,19 +139,21 @@ FROM p LEFT JOIN w ON p.d = w.d AND n >= 1000
 def quality_sql() -> str:
     """SQL for operator 10, each round of the estimation as steps of their own."""
     rules = list(quality.RULES)
-    start = ", ".join(f"{quality.START_RIGHT} AS g{i}, {quality.START_RIGHT} AS b{i}" for i in range(len(rules)))
+    start = ", ".join(f"{quality.START_GOOD} AS g{i}, {quality.START_BAD} AS b{i}" for i in range(len(rules)))
     odds = "ln(prior) - ln(1 - prior)" + "".join(
         f" + CASE v{i} WHEN 1 THEN ln(g{i}) - ln(1 - b{i}) WHEN -1 THEN ln(1 - g{i}) - ln(b{i}) ELSE 0 END" for i in range(len(rules))
     )
     post = f"1 / (1 + exp(-({odds})))"
-    bound = f"least({quality.MOST_RIGHT}, greatest({quality.LEAST_RIGHT}, {{}}))"
     steps = ""
     for k in range(quality.ROUNDS):
-        new = ["least(0.99, greatest(0.01, sum(p * n) / sum(n))) AS prior"]
+        new = [f"least({quality.MOST_PRIOR}, greatest({quality.LEAST_PRIOR}, sum(p * n) / sum(n))) AS prior"]
         for i in range(len(rules)):
-            for y, mine, vote in (("g", "p * n", 1), ("b", "(1 - p) * n", -1)):
-                right = f"(coalesce(sum({mine}) FILTER (v{i} = {vote}), 0) + {quality.START_RIGHT}) / (coalesce(sum({mine}) FILTER (v{i} <> 0), 0) + 1)"
-                new.append(f"{bound.format(right)} AS {y}{i}")
+            for y, mine, vote, start_at, least, most in (
+                ("g", "p * n", 1, quality.START_GOOD, quality.LEAST_GOOD, quality.MOST_GOOD),
+                ("b", "(1 - p) * n", -1, quality.START_BAD, quality.LEAST_BAD, quality.MOST_BAD),
+            ):
+                right = f"(coalesce(sum({mine}) FILTER (v{i} = {vote}), 0) + {start_at}) / (coalesce(sum({mine}) FILTER (v{i} <> 0), 0) + 1)"
+                new.append(f"least({most}, greatest({least}, {right})) AS {y}{i}")
         steps += f"\n), p{k} AS MATERIALIZED (SELECT patterns.*, {post} AS p FROM patterns, m{k}\n), m{k + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM p{k}"
     votes = ", ".join(f"{v} AS v{i}" for i, v in enumerate(quality.RULES.values()))
     columns = ", ".join(f"v{i}" for i in range(len(rules)))
@@ -167,7 +169,7 @@ WITH texts AS (
 ), covered AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY r
 ), counts AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
-    length(t) - length(translate(t, '{UPPER}', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts, len(list_distinct(w)) AS n_distinct, len(l) AS n_lines,
+    length(t) - length(translate(t, '{UPPER}', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts, length(t) - length(translate(t, '0123456789', '')) AS n_digits, len(list_distinct(w)) AS n_distinct, len(l) AS n_lines,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM texts LEFT JOIN covered USING (r)
 ), voted AS (SELECT *, {votes} FROM counts
