@@ -268,12 +268,14 @@ def test_quality(odd, none):
 
 
 def test_accuracies_are_estimated_and_one_specialist_is_enough(spark):
-    rows = [(1, 1, 1, 880), (-1, 1, 1, 60), (1, -1, 1, 40), (1, 1, 0, 20)]
+    rows = [(1, 1, 1, 880), (-1, 1, 1, 38), (1, -1, 1, 34), (1, 1, -1, 28), (1, 1, 0, 20)]
     patterns = spark.createDataFrame(rows, "a int, b int, c int, n long")
     model = quality.fit(patterns, ["a", "b", "c"])
-    assert model.bad[0] > model.bad[1] > model.bad[2] == quality.LEAST_BAD and 0.8 < model.prior <= 0.9
+    assert 0.8 < model.prior <= 0.9 and all(b >= quality.LEAST_BAD for b in model.bad)
+    often = quality.fit(spark.createDataFrame([(1, 1, 600), (-1, 1, 300), (1, -1, 100)], "a int, b int, n long"), ["a", "b"])
+    assert often.bad[0] > often.bad[1]
     told = [r[0] for r in patterns.orderBy(F.desc("n")).select(model.posterior([F.col(c) for c in "abc"])).collect()]
-    assert [p >= 0.5 for p in told] == [True, False, False, True]
+    assert [p >= 0.5 for p in told] == [True, False, False, False, True]
     assert quality.fit(patterns.limit(0), ["a", "b", "c"]).prior == quality.START_PRIOR
 
 
