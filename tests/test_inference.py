@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewindow.operators import learning
 from tidewindow.plans.inference import predict_frames, training_windows
+from tidewindow.plans.search import nested_evaluation, pair_search
 from tidewindow.schema import JOINTS
 
 
@@ -23,3 +24,20 @@ def test_two_ways_of_moving_are_told_apart(spark):
     out = predict_frames(model, poses, np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.5, 0.5]), size=30, stride=15, classes=classes)
     right = out.join(poses.select("pos", F.col("label").alias("truth")), "pos").where("label = truth").count()
     assert out.count() == 480 and right > 440
+
+
+def test_nested_selection_resumes_and_prefers_the_useful_setting(spark, tmp_path):
+    rows = spark.range(160).select(
+        (F.col("id") % 4 + 1).cast("int").alias("subject_id"),
+        F.when(F.col("id") % 8 < 4, "Biting").otherwise("Walking").alias("label"),
+        (F.when(F.col("id") % 8 < 4, 1.0).otherwise(0.0) + F.rand(3) * 0.2).alias("useful"),
+        F.rand(4).alias("noise"),
+    ).persist()
+    classes, candidates = ["Biting", "Walking"], [{"trees": 2, "depth": 2, "budget": 1}, {"trees": 1, "depth": 0, "budget": 1}]
+    args = (rows, ["useful", "noise"], classes, ["Biting"], candidates)
+    scores, new = pair_search(spark, str(tmp_path / "s"), *args, [1, 2, 3, 4])
+    assert new == 24 and pair_search(spark, str(tmp_path / "s"), *args, [1, 2, 3, 4])[1] == 0
+    choices, result = nested_evaluation(scores, *args)
+    assert {r["candidate_index"] for r in choices.collect()} == {0}
+    assert result.where("held_out_subject is null").first()["accuracy"] == 1.0
+    rows.unpersist()
