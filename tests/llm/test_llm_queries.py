@@ -127,7 +127,8 @@ def test_pipeline_stages_one_by_one(spark, data):
         elif name == "secrets":
             text = {r["doc_id"]: r["text"] for r in kept}
             assert len(rows) == len(kept) and all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] != text[r["doc_id"]])
-            assert any("[ACCESS]" in r["text"] or "[ASSIGN]" in r["text"] for r in rows)
+            planted = spark.createDataFrame([(1, "x password=b7db7aa4a5fcc78305 y", "en", "src1", 31)], docs.schema)
+            assert stage(spark, planted, data).select("text", "n_chars").collect() == [("x [ASSIGN] y", 12)]
         else:
             assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in kept} and all(r["epochs"] >= 1 for r in rows)
         kept = [tuple(r[c] for c in docs.columns) for r in rows]
