@@ -279,6 +279,15 @@ def test_accuracies_are_estimated_and_one_specialist_is_enough(spark):
     assert quality.fit(patterns.limit(0), ["a", "b", "c"]).prior == quality.START_PRIOR
 
 
+def test_a_noisy_rule_loses_its_veto(spark):
+    rows = [(-1, 1, -1, 20), (-1, 1, 1, 80), (1, -1, -1, 20), (1, -1, 1, 80), (1, 1, -1, 160), (1, 1, 1, 640)]
+    patterns = spark.createDataFrame(rows, "a int, b int, c int, n long")
+    model = quality.fit(patterns, ["a", "b", "c"])
+    told = {r[:3]: r[3] for r in patterns.select("a", "b", "c", model.posterior([F.col(c) for c in "abc"])).collect()}
+    assert {v: p >= 0.5 for v, p in told.items()} == {(a, b, c): a == b == 1 for a, b, c, _ in rows}
+    assert 1 - model.good[2] == pytest.approx(0.2, abs=0.02)
+
+
 def test_pipeline_over_empty_documents(spark, data, none):
     docs = none.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:

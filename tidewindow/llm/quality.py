@@ -1,13 +1,13 @@
 """Operator 10: quality rules combined by weak supervision, in DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0). Rows are counted by their pattern of votes, a table of at most
-3 ** rules rows whatever the input, and expectation-maximisation over it estimates how often each rule is right
-about good and about bad texts, and how many texts are good. A text is kept if it is more probably good than bad.
+3 ** rules rows whatever the input. Expectation-maximisation over it fits latent classes: the good texts, and one kind of
+bad text for each rule. It estimates how common each kind is, how often its rule finds it, and how often a rule's bad vote
+falls on any other text. A text is kept if it is more probably good than of any bad kind.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,13 +29,17 @@ RULES = {
     "lengths": "CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 10 * n_words THEN 1 ELSE 0 END",
     "numbers": "CASE WHEN 10 * n_digits > 3 * word_chars THEN -1 WHEN 20 * n_digits <= 3 * word_chars THEN 1 ELSE 0 END",
 }
+#: What the SQL's model of two classes starts from and is bounded by.
 ROUNDS = 20
-#: Where the estimates start, and their bounds. Rules are strict specialists: of good texts few get a bad vote, and of bad texts a rule
-#: knows one kind and lets the others pass. Without the bounds the estimate settles on the pair of kinds that occur together
-#: as the bad class and takes every other bad vote for noise.
 START_PRIOR, LEAST_PRIOR, MOST_PRIOR = 0.8, 0.5, 0.9
 START_GOOD, LEAST_GOOD, MOST_GOOD = 0.995, 0.995, 0.999
 START_BAD, LEAST_BAD, MOST_BAD = 0.3, 0.25, 0.4
+#: Where the fit starts (with START_PRIOR) and its bounds, which only keep it identifiable: a rule is better than chance about its own kind
+#: and about other texts, and neither good nor bad texts are all but absent. The rounds run over the pattern table only.
+FIT_ROUNDS = 400
+START_FOUND, LEAST_FOUND, MOST_FOUND = 0.8, 0.5, 0.999
+START_NOISE, LEAST_NOISE, MOST_NOISE = 0.02, 0.001, 0.5
+LEAST_GOOD_TEXTS, MOST_GOOD_TEXTS = 0.05, 0.95
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -94,53 +98,57 @@ def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 @dataclass(frozen=True)
 class Model:
-    """P(good), and for each rule the chance that it is right about a good and about a bad text, given that it votes."""
+    """P(good); for each rule the chance that it is right about a text that is not of its kind and about one that is, given that it votes; P(its kind)."""
 
     prior: float
     good: tuple[float, ...]
     bad: tuple[float, ...]
+    kinds: tuple[float, ...]
 
-    def log_odds(self, votes: Sequence[Column]) -> Column:
-        """Of good against bad, for a row's votes."""
-        out = F.lit(math.log(self.prior) - math.log(1 - self.prior))
-        for vote, g, b in zip(votes, self.good, self.bad, strict=True):
-            out = out + F.when(vote == 1, math.log(g) - math.log(1 - b)).when(vote == -1, math.log(1 - g) - math.log(b)).otherwise(0.0)
-        return out
+    def odds(self, i: int, vote: int) -> float:
+        """Of the kind of rule ``i`` against good, for that rule's vote: all other rules vote alike on both."""
+        g, b = self.good[i], self.bad[i]
+        return self.kinds[i] / self.prior * {1: (1 - b) / g, -1: b / (1 - g)}.get(vote, 1.0)
 
     def posterior(self, votes: Sequence[Column]) -> Column:
         """P(good) for a row's votes."""
-        return 1 / (1 + F.exp(-self.log_odds(votes)))
+        out = F.lit(1.0)
+        for i, vote in enumerate(votes):
+            out = out + F.when(vote == 1, self.odds(i, 1)).when(vote == -1, self.odds(i, -1)).otherwise(self.odds(i, 0))
+        return 1 / out
 
 
 def _bounded(x: float, least: float, most: float) -> float:
     return min(most, max(least, x))
 
 
-def fit(patterns: DataFrame, rules: Sequence[str], rounds: int = ROUNDS) -> Model:
+def fit(patterns: DataFrame, rules: Sequence[str], rounds: int = FIT_ROUNDS) -> Model:
     """The model after so many rounds over ``patterns(rules..., n)``; the starting model where there are no rows.
 
-    Each round is one aggregate of the pattern table, of which a single row of sums comes back.
+    A rule whose bad votes fall on other kinds' texts as often as elsewhere is taken for noisy, and its vote alone decides nothing. The
+    table has at most 3 ** rules rows, which are collected.
     """
     k = len(rules)
-    model = Model(START_PRIOR, (START_GOOD,) * k, (START_BAD,) * k)
-    votes = [F.col(r) for r in rules]
-    for _ in range(rounds):
-        x = patterns.withColumn("g", model.posterior(votes) * F.col("n")).withColumn("b", F.col("n") - F.col("g"))
-        sums = [F.sum("n").alias("n"), F.sum("g").alias("g")]
-        for i, vote in enumerate(votes):
-            sums += [
-                F.sum(F.when(vote == 1, F.col("g"))).alias(f"right_g{i}"),
-                F.sum(F.when(vote != 0, F.col("g"))).alias(f"all_g{i}"),
-                F.sum(F.when(vote == -1, F.col("b"))).alias(f"right_b{i}"),
-                F.sum(F.when(vote != 0, F.col("b"))).alias(f"all_b{i}"),
-            ]
-        row = x.agg(*sums).first()
-        if not row["n"]:
-            break
+    rows = sorted(tuple(r) for r in patterns.groupBy(*rules).agg(F.sum("n").alias("n")).collect())
+    total = sum(n for *_, n in rows)
+    model = Model(START_PRIOR, (1 - START_NOISE,) * k, (START_FOUND,) * k, ((1 - START_PRIOR) / max(1, k),) * k)
+    for _ in range(rounds if total else 0):
+        good, kinds = 0.0, [0.0] * k
+        own, other = [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in rules], [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in rules]
+        odds = [{v: model.odds(i, v) for v in (-1, 0, 1)} for i in range(k)]
+        for *votes, n in rows:
+            of_kind = [odds[i][v] for i, v in enumerate(votes)]
+            g = n / (1 + sum(of_kind))
+            good += g
+            for i, v in enumerate(votes):
+                kinds[i] += of_kind[i] * g
+                own[i][v] += of_kind[i] * g
+                other[i][v] += n - of_kind[i] * g
+        prior = _bounded(good / total, LEAST_GOOD_TEXTS, MOST_GOOD_TEXTS)
         # the start counts as one vote of each rule, so that one that has voted on nothing stays where it was
-        good = tuple(_bounded(((row[f"right_g{i}"] or 0.0) + START_GOOD) / ((row[f"all_g{i}"] or 0.0) + 1), LEAST_GOOD, MOST_GOOD) for i in range(k))
-        bad = tuple(_bounded(((row[f"right_b{i}"] or 0.0) + START_BAD) / ((row[f"all_b{i}"] or 0.0) + 1), LEAST_BAD, MOST_BAD) for i in range(k))
-        model = Model(_bounded(row["g"] / row["n"], LEAST_PRIOR, MOST_PRIOR), good, bad)
+        found = (_bounded((x[-1] + START_FOUND) / (x[-1] + x[1] + 1), LEAST_FOUND, MOST_FOUND) for x in own)
+        noise = (_bounded((x[-1] + START_NOISE) / (x[-1] + x[1] + 1), LEAST_NOISE, MOST_NOISE) for x in other)
+        model = Model(prior, tuple(1 - x for x in noise), tuple(found), tuple((1 - prior) * x / sum(kinds) for x in kinds))
     return model
 
 
