@@ -123,6 +123,17 @@ def test_viterbi_equals_all_paths(seed):
     assert tuple(decode.viterbi(e, t, i, 0.5)) == max(itertools.product(range(3), repeat=5), key=score)
 
 
+def test_decoding_in_blocks_is_decoding_in_one(spark):
+    rng = np.random.default_rng(3)
+    t, i = np.array([[0.5, 0.25, 0.25], [0.25, 0.5, 0.25], [0.25, 0.25, 0.5]]), np.array([0.25, 0.5, 0.25])
+    kinds = [[0.5, 0.25, 0.25], [0.25, 0.5, 0.25], [0.25, 0.25, 0.5], [0.4, 0.4, 0.2]]  # many paths are equally good
+    e = {s: [kinds[k] for k in rng.integers(0, 4, n)] for s, n in ((1, 1), (2, 8), (3, 61), (4, 64))}
+    f = spark.createDataFrame([(s, p, v) for s, own in e.items() for p, v in enumerate(own)], "subject_id int, pos long, probs array<double>")
+    got = {(r["subject_id"], r["pos"]): r["label"] for r in decode.decode(f, t, i, "ABC", 1.0, block=8).collect()}
+    want = {(s, p): "ABC"[k] for s, own in e.items() for p, k in enumerate(decode.viterbi(np.array(own), t, i, 1.0))}
+    assert got == want
+
+
 def test_probabilities_are_checked(spark):
     df = spark.createDataFrame([([0.0, 0.0],)], "p array<double>")
     with pytest.raises(SparkRuntimeException, match="positive sum"):

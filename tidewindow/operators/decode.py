@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewindow.functions.expressions import group_fusion
+from tidewindow.functions.expressions import argmax, group_fusion
 from tidewindow.operators.frames import in_order
 
 FLOOR = 1e-12
+#: Positions of a subject that one task decodes at a time, and the unit of logarithms.
+BLOCK = 4096
+UNIT = 2.0**32
 
 
 def class_dimension(spark, classes: Sequence[str]) -> DataFrame:
@@ -46,55 +50,135 @@ def transition_model(frames: DataFrame, classes: Sequence[str], laplace: float =
     return initial, moves.select("before", "class", (F.col("w") / F.sum("w").over(Window.partitionBy("before"))).alias("p"))
 
 
-def viterbi(emissions: np.ndarray, transition: np.ndarray, initial: np.ndarray, strength: float) -> np.ndarray:
-    """The most probable path of class indices; ``strength`` scales the logarithms of transition and initial probabilities.
+def _units(p: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Logarithms as whole numbers: sums are the same in whatever order they are made, so equals stay equal."""
+    return np.rint(strength * np.log(np.clip(p, FLOOR, None)) * UNIT).astype(np.int64)
 
-    Of equally good predecessors, and of equally good ends, the lowest class is taken.
-    """
-    emit = np.log(np.clip(emissions, FLOOR, None))
-    move = strength * np.log(np.clip(transition, FLOOR, None))
-    score = emit[0] + strength * np.log(np.clip(initial, FLOOR, None))
+
+def _forward(emit: np.ndarray, move: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The predecessors of each class at each frame, and the scores at the last one, from the scores before the first."""
     back = np.zeros(emit.shape, dtype=np.int64)
-    for t in range(1, len(emit)):
+    for t in range(len(emit)):
         reached = score[:, None] + move
         back[t] = reached.argmax(axis=0)
         score = reached.max(axis=0) + emit[t]
-    path = np.empty(len(emit), dtype=np.int64)
-    path[-1] = score.argmax()
-    for t in range(len(emit) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    return back, score
+
+
+def _backward(back: np.ndarray, end: int) -> np.ndarray:
+    """The class before each frame, from the class at the last one."""
+    path = np.empty(len(back), dtype=np.int64)
+    for t in range(len(back) - 1, -1, -1):
+        path[t] = end = back[t, end]
     return path
 
 
-def decode(frames: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], strength: float) -> DataFrame:
-    """``(subject_id, pos, label, confidence)``: each subject's path over ``frames(subject_id, pos, probs)``; confidence is the label's probability.
+def viterbi(emissions: np.ndarray, transition: np.ndarray, initial: np.ndarray, strength: float) -> np.ndarray:
+    """The most probable path of class indices; ``strength`` scales the logarithms of transition and initial probabilities.
 
-    Decoding follows a subject from its first frame to its last, so one task decodes one subject.
+    Of equally good predecessors, and of equally good ends, the lowest class is taken.
     """
-    names = np.array(classes, dtype=object)
-
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        emissions = np.stack(rows["probs"].to_numpy())
-        at = viterbi(emissions, transition, initial, strength)
-        return pd.DataFrame({"subject_id": rows["subject_id"].to_numpy(), "pos": rows["pos"].to_numpy(), "label": names[at], "confidence": emissions[np.arange(len(at)), at]})
+    emit = _units(emissions)
+    back, score = _forward(emit[1:], _units(transition, strength), emit[0] + _units(initial, strength))
+    end = score.argmax()
+    return np.append(_backward(back, end), end)
 
-    kind = frames.schema["subject_id"].dataType.simpleString()
-    return frames.groupBy("subject_id").applyInPandas(path, f"subject_id {kind}, pos long, label string, confidence double")
 
+def _paths(rows: DataFrame, keys: Sequence[str], transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], block: int) -> DataFrame:
+    """``rows(keys..., strength, pos, probs)`` without ``probs``, with ``label`` and ``confidence``: the path :func:`viterbi` finds for each of ``keys``.
 
-def decode_grid(frames: DataFrame, group: DataFrame, truth: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], abnormal: Sequence[str], alphas: Sequence[float], strengths: Sequence[float]) -> DataFrame:
+    A sequence is cut into blocks of ``pos``, and no task holds more than one of them. Each block's best scores from every class before it to
+    every class at its end are found in parallel; chaining these gives the scores that enter each block. From those a second pass finds the class
+    before the block for each class at its end; chaining these gives the ends, from which the last pass follows each block's path.
+    """
+    k, names = len(classes), np.array(list(classes), dtype=object)
+    keys = [*keys, "strength"]
+    by = [*keys, "block"]
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    rows = rows.withColumn("block", F.floor(F.col("pos") / block)).checkpoint()
+    typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    carried = [c for c in rows.columns if c not in ("block", "probs")]
+    out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried) + ", label string, confidence double"
+
+    def ordered(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        g = g.sort_values("pos", kind="stable")
+        emissions, strength = np.stack(g["probs"].to_numpy()), float(g["strength"].iat[0])
+        return g, emissions, _units(transition, strength), _units(initial, strength)
+
+    def matrix(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        _, emissions, move, first = ordered(g)
+        emit = _units(emissions)
+        best = np.vstack([move, first]) + emit[0]  # the last row is for a block that opens its sequence
+        for e in emit[1:]:
+            best = (best[:, :, None] + move).max(axis=1) + e
+        return pd.DataFrame([[*key, best.ravel().tolist()]], columns=[*by, "best"])
+
+    def chained(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g, entries, score = g.sort_values("block"), [], None
+        for best in g["best"]:
+            best = np.asarray(best).reshape(k + 1, k)
+            entries.append([] if score is None else score.tolist())
+            score = best[k] if score is None else (score[:, None] + best[:k]).max(axis=0)
+            score = score - score.max()
+        ends = [-1] * (len(g) - 1) + [int(score.argmax())]
+        return g[by].assign(entry=entries, end=ends)
+
+    def traced(g: pd.DataFrame, entry: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """The block's rows, their emissions, and the predecessors of its frames; of an opening block, from its second frame on."""
+        g, emissions, move, first = ordered(g)
+        emit = _units(emissions)
+        back, _ = _forward(emit, move, entry) if len(entry) else _forward(emit[1:], move, emit[0] + first)
+        return g, emissions, back
+
+    def befores(key: tuple, g: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        _, _, back = traced(g, np.asarray(at["entry"].iat[0], dtype=np.int64))
+        before = np.arange(k)
+        for b in back[::-1]:
+            before = b[before]
+        return pd.DataFrame([[*key, at["entry"].iat[0], at["end"].iat[0], before.tolist()]], columns=[*by, "entry", "end", "before"])
+
+    def ended(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g, ends = g.sort_values("block", ascending=False), []
+        end = int(g["end"].iat[0])
+        for before in g["before"]:
+            ends.append(end)
+            end = int(before[end])
+        return g[[*by, "entry"]].assign(end=ends)
+
+    def path(g: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        entry, end = np.asarray(at["entry"].iat[0], dtype=np.int64), int(at["end"].iat[0])
+        g, emissions, back = traced(g, entry)
+        found = np.append(_backward(back, end)[1 if len(entry) else 0 :], end)
+        return g[carried].assign(label=names[found], confidence=emissions[np.arange(len(found)), found])
+
+    blocks = rows.groupBy(*by)
+    entries = blocks.applyInPandas(matrix, f"{typed}, best array<long>").groupBy(*keys).applyInPandas(chained, f"{typed}, entry array<long>, end int")
+    told = blocks.cogroup(entries.groupBy(*by)).applyInPandas(befores, f"{typed}, entry array<long>, end int, before array<int>")
+    ends = told.groupBy(*keys).applyInPandas(ended, f"{typed}, entry array<long>, end int")
+    return blocks.cogroup(ends.groupBy(*by)).applyInPandas(path, out)
+
+
+def _likeliest(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """As :func:`_paths` at strength 0, where each frame stands for itself."""
+    names = F.array(*map(F.lit, classes))
+    return rows.withColumns({"label": F.get(names, argmax(F.col("probs"))), "confidence": F.array_max("probs")}).drop("probs")
+
+
+def decode(frames: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], strength: float, block: int = BLOCK) -> DataFrame:
+    """``(subject_id, pos, label, confidence)``: each subject's path over ``frames(subject_id, pos, probs)``; confidence is the label's probability."""
+    rows = frames.select("subject_id", F.col("pos").cast("long").alias("pos"), "probs", F.lit(float(strength)).alias("strength"))
+    out = _paths(rows, ["subject_id"], transition, initial, classes, block) if strength else _likeliest(rows, classes)
+    return out.select("subject_id", "pos", "label", "confidence")
+
+
+def decode_grid(frames: DataFrame, group: DataFrame, truth: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], abnormal: Sequence[str], alphas: Sequence[float], strengths: Sequence[float], block: int = BLOCK) -> DataFrame:
     """``(alpha, strength, subject_id, pos, truth, label)``: every setting of gate and decoder over every subject."""
     rows = frames.join(group.select("subject_id", "pos", F.col("probs").alias("gate")), ["subject_id", "pos"]).join(truth, ["subject_id", "pos"])
     settings = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(s)).alias("strength")) for a in alphas for s in strengths)))
     rows = rows.withColumn("s", settings).select("subject_id", "pos", "truth", "s.alpha", "s.strength", "probs", "gate")
     rows = rows.withColumn("probs", group_fusion(F.col("probs"), F.col("gate"), F.col("alpha"), classes, abnormal)).drop("gate")
-    names = np.array(classes, dtype=object)
-
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        at = viterbi(np.stack(rows["probs"].to_numpy()), transition, initial, float(rows["strength"].iat[0]))
-        return rows[["alpha", "strength", "subject_id", "pos", "truth"]].assign(label=names[at])
-
-    kind = frames.schema["subject_id"].dataType.simpleString()
-    return rows.groupBy("alpha", "strength", "subject_id").applyInPandas(path, f"alpha double, strength double, subject_id {kind}, pos long, truth string, label string")
+    keys = ["alpha", "subject_id"]
+    out = _likeliest(rows.where("strength = 0"), classes).unionByName(_paths(rows.where("strength <> 0"), keys, transition, initial, classes, block))
+    return out.select("alpha", "strength", "subject_id", "pos", "truth", "label")
