@@ -258,6 +258,23 @@ def test_zip64_and_comments(monkeypatch):
         warc.parse_record(warc.make_record(1, "u", b"payload", None, False).replace(b"payload\r\n", b"paylaod\r\n"))
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        '<div class="content with-sidebar"><article>{}</article></div>',
+        '<div id="layout-sidebar-right"><article>{}</article></div>',
+        '<div class="post social-enabled">{}</div>',
+        '<div class="widget">{}</div>',
+        '<article><p>Before.</p><section id="related-work">{}</section><p>After, and as long as what is said above it, or so.</p></article>',
+    ],
+)
+def test_names_of_wrappers_take_no_text_away(wrapped):
+    text = "<p>The text of the page, in some words of its own.</p>"
+    page = f'<body><nav><a href="/">Home</a></nav>{wrapped.format(text)}<div class="sidebar"><p>More.</p></div><div class="share-buttons">Send</div></body>'
+    out = html_text.main_text(page)
+    assert "in some words of its own" in out and "More." not in out and "Send" not in out
+
+
 def test_quality(odd, none):
     out = {r["doc_id"]: r for r in quality.judge(odd).collect()}
     assert all(out[i]["base_failed"] and not out[i]["kept"] and out[i]["n_words"] == 0 for i in (0, 1, 2))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -38,6 +38,16 @@ CUT_WORDS = frozenset(
     "newsletter notice notices notification overlay pagination pager popup promo promoted promotion reactions recommended related replies reply "
     "respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Those of them that as part of a longer name may tell of the text or of a page's layout: only the whole name counts, and some longer ones.
+WHOLE_WORDS = frozenset(
+    "consent copyright discussion login notice notices promotion recommended related replies reply respond share sharing sidebar sidebars skip "
+    "social subscription".split()
+)
+WHOLE_NAMES = WHOLE_WORDS | frozenset(
+    "left-sidebar right-sidebar sidebar-left sidebar-right related-articles related-content related-links related-posts related-stories "
+    "recommended-articles recommended-posts share-buttons share-links sharing-buttons skip-link skip-to-content social-icons social-links social-media social-share "
+    "copyright-notice login-form reply-form".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What may stand beside the text within the same part of a page.
 BESIDE = HEADINGS | frozenset("header p blockquote figure pre ul ol dl table hr br".split())
@@ -126,15 +136,43 @@ def _is_cut(node: Node, inside: bool) -> bool:
         return True
     if attrs.get("role") in CUT_ROLES:
         return True
-    return bool(CUT_WORDS & _words(node)) and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
+    return False
+
+
+def _is_named(node: Node) -> bool:
+    """Whether an element's class or id names page furniture."""
+    if node.tag in ("html", "body", "article", "main", "#root", "h1", "h2", "h3", "h4", "h5", "h6"):
+        return False
+    whole = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}".lower().replace("_", "-").split()
+    return bool((CUT_WORDS - WHOLE_WORDS) & _words(node)) or not WHOLE_NAMES.isdisjoint(whole)
 
 
 def _prune(root: Node) -> None:
+    """Cuts page furniture, by names only where neither an article nor most of the text outside of links would go with it."""
+    _prune_by(root, _is_cut)
+    nodes = _in_order(root)
+    holds, plain = set(), {}
+    for node in reversed(nodes):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        if node.tag in ("article", "main") or any(id(c) in holds for c in inner):
+            holds.add(id(node))
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(c)] for c in inner)
+    total, apart = plain[id(root)], id(root) in holds
+
+    def named(node: Node, inside: bool) -> bool:
+        most = 2 * plain[id(node)] > total and (inside or not apart)
+        return _is_named(node) and id(node) not in holds and not most
+
+    _prune_by(root, named)
+
+
+def _prune_by(root: Node, cut: Callable[[Node, bool], bool]) -> None:
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _is_cut(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not cut(c, inside)]
         stack += [(c, inside) for c in node.children if isinstance(c, Node)]
 
 
