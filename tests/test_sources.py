@@ -76,6 +76,13 @@ def test_artifact_contract(spark, tmp_path):
         files.load_artifact(spark, str(tmp_path / "m"), "1", CLASSES[::-1])
 
 
+def test_predictions_are_filled_by_subject(spark):
+    rows = [(s, p, CLASSES[s], 0.5) for s in (1, 2) for p in (0, 1)]
+    told = spark.createDataFrame(rows, "subject_id int, pos long, label string, confidence double")
+    out = files.filled(told.select("subject_id", "pos"), told, CLASSES).collect()
+    assert sorted((r["subject_id"], r["pos"], r["predicted_label"]) for r in out) == [r[:3] for r in rows]
+
+
 def test_row_count_windows_of_a_stream(spark, tmp_path):
     for part in range(3):
         spark.range(part * 7, part * 7 + 7).select(F.lit(1).cast("long").alias("subject_id"), F.col("id").alias("pos"), F.col("id").cast("double").alias("x")).coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))

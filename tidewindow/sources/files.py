@@ -91,9 +91,13 @@ def prediction_table(frames: DataFrame) -> DataFrame:
 
 
 def filled(source: DataFrame, frames: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """The source's columns with ``predicted_label`` and ``prediction_confidence``; an error for a row without a prediction or with an unknown label."""
-    own = frames.select("pos", F.col("label").alias("predicted_label"), F.col("confidence").alias("prediction_confidence"))
-    out = source.join(own, "pos", "left")
+    """The source's columns with ``predicted_label`` and ``prediction_confidence``; an error for a row without a prediction or with an unknown label.
+
+    Rows meet by subject and place where both sides have a subject, else by place.
+    """
+    keys = ["subject_id", "pos"] if "subject_id" in source.columns and "subject_id" in frames.columns else ["pos"]
+    own = frames.select(*keys, F.col("label").alias("predicted_label"), F.col("confidence").alias("prediction_confidence"))
+    out = source.join(own, keys, "left")
     known = F.coalesce(F.col("predicted_label").isin(*classes), F.lit(False))
     checked = F.when(known, F.col("predicted_label")).otherwise(F.raise_error(F.lit("a row has no prediction of a known class")))
     return out.withColumn("predicted_label", checked)
