@@ -284,25 +284,45 @@ def test_quality(odd, none):
     assert quality.judge(none).count() == 0
 
 
-def test_accuracies_are_estimated_and_one_specialist_is_enough(spark):
-    rows = [(1, 1, 1, 880), (-1, 1, 1, 38), (1, -1, 1, 34), (1, 1, -1, 28), (1, 1, 0, 20)]
-    patterns = spark.createDataFrame(rows, "a int, b int, c int, n long")
-    model = quality.fit(patterns, ["a", "b", "c"])
-    assert 0.8 < model.prior <= 0.9 and all(b >= quality.LEAST_BAD for b in model.bad)
-    often = quality.fit(spark.createDataFrame([(1, 1, 600), (-1, 1, 300), (1, -1, 100)], "a int, b int, n long"), ["a", "b"])
-    assert often.bad[0] > often.bad[1]
-    told = [r[0] for r in patterns.orderBy(F.desc("n")).select(model.posterior([F.col(c) for c in "abc"])).collect()]
-    assert [p >= 0.5 for p in told] == [True, False, False, False, True]
-    assert quality.fit(patterns.limit(0), ["a", "b", "c"]).prior == quality.START_PRIOR
-
-
-def test_a_noisy_rule_loses_its_veto(spark):
-    rows = [(-1, 1, -1, 20), (-1, 1, 1, 80), (1, -1, -1, 20), (1, -1, 1, 80), (1, 1, -1, 160), (1, 1, 1, 640)]
-    patterns = spark.createDataFrame(rows, "a int, b int, c int, n long")
-    model = quality.fit(patterns, ["a", "b", "c"])
-    told = {r[:3]: r[3] for r in patterns.select("a", "b", "c", model.posterior([F.col(c) for c in "abc"])).collect()}
-    assert {v: p >= 0.5 for v, p in told.items()} == {(a, b, c): a == b == 1 for a, b, c, _ in rows}
-    assert 1 - model.good[2] == pytest.approx(0.2, abs=0.02)
+def drawn(model, n, seed, abstain=0.3):
+    """Counts of patterns of votes drawn from a model."""
+    r, counts = random.Random(seed), {}
+    for _ in range(n):
+        c = r.choices(range(len(model.shares)), model.shares)[0]
+        votes = tuple(0 if r.random() < abstain else -1 if r.random() < b else 1 for b in model.bad[c])
+        counts[votes] = counts.get(votes, 0) + 1
+    return [(*v, k) for v, k in counts.items()]
+
+
+NAMES = list("abcdefgh")
+SPOKEN = {"x": NAMES[:4], "y": NAMES[4:]}
+PATTERN = ", ".join(f"{n} int" for n in NAMES) + ", n long"
+
+
+def test_accuracies_are_recovered_from_drawn_votes(spark):
+    true = quality.Model((0.7, 0.2, 0.1), ((0.02, 0.1, 0.05, 0.2) * 2, (0.9, 0.6, 0.8, 0.7, 0.1, 0.05, 0.2, 0.1), (0.1, 0.05, 0.2, 0.1, 0.6, 0.9, 0.7, 0.8)))
+    model = quality.fit(spark.createDataFrame(drawn(true, 60_000, 3), PATTERN), NAMES, SPOKEN, rounds=200)
+    assert model.shares == pytest.approx(true.shares, abs=0.02)
+    for found, told in zip(model.bad, true.bad, strict=True):
+        assert found == pytest.approx(told, abs=0.03)
+        assert all(0 < x < 1 for x in found)
+
+
+def test_a_noisy_rule_loses_its_veto_and_several_rules_outvote_one(spark):
+    """Rule a votes bad on a third of all texts whatever they are; c and d agree on the bad ones."""
+    true = quality.Model((0.8, 0.1, 0.1), ((0.33, 0.02, 0.02, 0.02) + (0.02,) * 4, (0.33, 0.9, 0.9, 0.9) + (0.02,) * 4, (0.33, 0.02, 0.02, 0.02) + (0.9,) * 4))
+    model = quality.fit(spark.createDataFrame(drawn(true, 30_000, 4), PATTERN), NAMES, SPOKEN)
+    cases = {(-1, 1, 1, 1, 1, 1, 1, 1): True, (1, -1, -1, 1, 1, 1, 1, 1): False, (1, -1, 1, 1, 1, 1, 1, 1): True, (0,) * 8: True, (1, 1, 1, 1, -1, -1, 0, 0): False}
+    votes = spark.createDataFrame(list(cases), [*NAMES])
+    told = {tuple(r[:8]): r[8] for r in votes.select(*NAMES, model.posterior([F.col(c) for c in NAMES])).collect()}
+    assert {v: p >= 0.5 for v, p in told.items()} == cases
+
+
+def test_estimate_without_rows_and_a_tie(spark):
+    empty = spark.createDataFrame([], PATTERN)
+    assert quality.fit(empty, NAMES, SPOKEN) == quality.start_model(NAMES, SPOKEN)
+    alike = quality.Model((0.5, 0.5), ((0.2,), (0.2,)))
+    assert spark.createDataFrame([(-1,)], ["a"]).select(alike.posterior([F.col("a")])).first()[0] == 0.5
 
 
 def test_pipeline_over_empty_documents(spark, data, none):

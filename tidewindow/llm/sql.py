@@ -137,45 +137,51 @@ FROM p LEFT JOIN w ON p.d = w.d AND n >= 1000
 
 
 def quality_sql() -> str:
-    """SQL for operator 10, each round of the estimation as steps of their own."""
-    rules = list(quality.RULES)
-    start = ", ".join(f"{quality.START_GOOD} AS g{i}, {quality.START_BAD} AS b{i}" for i in range(len(rules)))
-    odds = "ln(prior) - ln(1 - prior)" + "".join(
-        f" + CASE v{i} WHEN 1 THEN ln(g{i}) - ln(1 - b{i}) WHEN -1 THEN ln(1 - g{i}) - ln(b{i}) ELSE 0 END" for i in range(len(rules))
-    )
-    post = f"1 / (1 + exp(-({odds})))"
-    steps = ""
-    for k in range(quality.ROUNDS):
-        new = [f"least({quality.MOST_PRIOR}, greatest({quality.LEAST_PRIOR}, sum(p * n) / sum(n))) AS prior"]
-        for i in range(len(rules)):
-            for y, mine, vote, start_at, least, most in (
-                ("g", "p * n", 1, quality.START_GOOD, quality.LEAST_GOOD, quality.MOST_GOOD),
-                ("b", "(1 - p) * n", -1, quality.START_BAD, quality.LEAST_BAD, quality.MOST_BAD),
-            ):
-                right = f"(coalesce(sum({mine}) FILTER (v{i} = {vote}), 0) + {start_at}) / (coalesce(sum({mine}) FILTER (v{i} <> 0), 0) + 1)"
-                new.append(f"least({most}, greatest({least}, {right})) AS {y}{i}")
-        steps += f"\n), p{k} AS MATERIALIZED (SELECT patterns.*, {post} AS p FROM patterns, m{k}\n), m{k + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM p{k}"
+    """SQL for operator 10, each round of the estimation as steps of their own: posteriors r, shares c and rates of bad votes b."""
+    rules, start = list(quality.RULES), quality.start_model(tuple(quality.RULES), quality.KINDS)
     votes = ", ".join(f"{v} AS v{i}" for i, v in enumerate(quality.RULES.values()))
     columns = ", ".join(f"v{i}" for i in range(len(rules)))
+    shares = ", ".join(f"({c}, CAST({x!r} AS DOUBLE))" for c, x in enumerate(start.shares))
+    rates = ", ".join(f"({c}, 'v{i}', CAST({x!r} AS DOUBLE))" for c, row in enumerate(start.bad) for i, x in enumerate(row))
+
+    def posteriors(k: int) -> str:
+        return f"""
+), l{k} AS MATERIALIZED (SELECT pid, n, cls, any_value(ln(p)) + coalesce(sum(ln(CASE v WHEN -1 THEN b ELSE 1 - b END)), 0) AS x
+    FROM patterns CROSS JOIN c{k} LEFT JOIN ballots USING (pid) LEFT JOIN b{k} USING (cls, rule) GROUP BY pid, n, cls
+), r{k} AS MATERIALIZED (SELECT pid, n, cls, e / sum(e) OVER (PARTITION BY pid) AS p FROM (SELECT *, exp(x - max(x) OVER (PARTITION BY pid)) AS e FROM l{k})"""
+
+    steps = ""
+    for k in range(quality.ROUNDS):
+        steps += posteriors(k)
+        steps += f"""
+), c{k + 1} AS MATERIALIZED (SELECT cls, (sum(r.p * n) + any_value(c0.p)) / (sum(n) + 1) AS p FROM r{k} r JOIN c0 USING (cls) GROUP BY cls
+), b{k + 1} AS MATERIALIZED (SELECT cls, rule, (coalesce(sum(w) FILTER (v = -1), 0) + any_value(b0.b)) / (coalesce(sum(w), 0) + 1) AS b
+    FROM b0 LEFT JOIN (SELECT cls, rule, v, p * n AS w FROM r{k} JOIN ballots USING (pid)) USING (cls, rule) GROUP BY cls, rule"""
+    steps += posteriors(quality.ROUNDS)
+    signs = quality.SIGNS.replace("'", "''")
     return rf"""
 WITH texts AS (
-  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS l
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM texts)
 ), twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows
 ), covered AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY r
 ), counts AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
+    len(list_filter(w, lambda x: translate(x, '{signs}', '') <> '')) AS n_letter_words, length(t) - length(translate(t, '{signs}', '')) AS n_signs,
     length(t) - length(translate(t, '{UPPER}', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts, length(t) - length(translate(t, '0123456789', '')) AS n_digits, len(list_distinct(w)) AS n_distinct, len(l) AS n_lines,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM texts LEFT JOIN covered USING (r)
-), voted AS (SELECT *, {votes} FROM counts
-), patterns AS MATERIALIZED (SELECT {columns}, count(*) AS n FROM voted GROUP BY {columns}
-), m0 AS (SELECT {quality.START_PRIOR} AS prior, {start}{steps}
-), judged AS (SELECT voted.*, {post} AS p, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted, m{quality.ROUNDS})
+), voted AS MATERIALIZED (SELECT *, {votes} FROM counts
+), patterns AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM (SELECT {columns}, count(*) AS n FROM voted GROUP BY {columns})
+), ballots AS MATERIALIZED (SELECT pid, rule, v FROM (UNPIVOT patterns ON {columns} INTO NAME rule VALUE v) WHERE v <> 0
+), c0 AS MATERIALIZED (SELECT * FROM (VALUES {shares}) x(cls, p)
+), b0 AS MATERIALIZED (SELECT * FROM (VALUES {rates}) x(cls, rule, b){steps}
+), judged AS (
+  SELECT voted.*, r.p, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM voted JOIN patterns USING ({columns}) JOIN r{quality.ROUNDS} r USING (pid) WHERE cls = 0
+)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept FROM judged
 """
