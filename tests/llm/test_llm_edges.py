@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
 import io
+import math
 import random
 import zipfile
 
@@ -151,6 +152,11 @@ PAGES = {
     "": "",
     "<html><body></body></html>": "",
     "<script>never closed": "",
+    "<article><div class='entry-header'><h1>Title</h1></div><div class='related-work'><p>One.</p></div><p>Two.</p></article>": "Title\nOne.\nTwo.",
+    "<p>a<![foo[bar]]>b</p><p>c<![CDATA[d": "ab\nc<![CDATA[d",
+    "<body><p>one</b></i></div> two</p></body></p>three": "one two\nthree",
+    "<div><p>same</p></div><div><p>same</p></div>": "same\nsame",
+    "<div>" * 600 + "<script>bad()</script>text": "text",
 }
 
 
@@ -159,6 +165,69 @@ def test_page(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,n", [("<div>" * 100_000 + "x", 1), ("<p>x" + "</div>" * 100_000, 1), ("<p>a" * 100_000, 199_999), ("<ul>" + "<li><div>a" * 50_000, 99_999)])
+def test_page_of_very_many_tags(html, n):
+    assert len(html_text.main_text(html)) == n
+
+
+def test_any_markup_is_read():
+    r = random.Random(1)
+    parts = ["<p>", "</p>", "<![", "]]>", "<!--", "-->", "<!", "<?", "&#x;", "&amp", "text ", "<a href='", "'", '"', ">", "<", "</", "<script>", "<br/>", "<li>", "\0", "&#xffffffff;", "<td>", "="]
+    assert all(isinstance(html_text.main_text("".join(r.choices(parts, k=r.randrange(1, 25)))), str) for _ in range(3000))
+
+
+def plain_density(node, body_share):
+    """Density of a node from its counts, each taken by walking all of its subtree."""
+    def walk(x, inside):
+        for c in x.children:
+            if isinstance(c, str):
+                n = sum(not ch.isspace() for ch in c)
+                yield n, 0, n * inside, 0
+            else:
+                yield 0, 1, 0, int(c.tag == "a")
+                yield from walk(c, inside or c.tag == "a")
+
+    chars, tags, link_chars, link_tags = (sum(x) for x in zip(*walk(node, node.tag == "a"), strict=True)) if node.children else (0,) * 4
+    share = body_share if body_share is not None else link_chars / max(1, chars)
+    if not chars:
+        return 0.0
+    base = math.log(max(math.e, chars / max(1, chars - link_chars) * link_chars + share * chars + math.e))
+    return chars / max(1, tags) * math.log(max(1.0, chars / max(1, link_chars) * max(1, tags) / max(1, link_tags))) / base
+
+
+def test_the_subtree_of_the_largest_sum_is_taken(spark, data):
+    """For all pages, with and without their article tags: densities by plain walks, then the largest sum of children's densities."""
+    for row in spark.read.parquet(f"{data}/pages.parquet").select("html").collect():
+        for html in (row["html"], row["html"].replace("article>", "section>")):
+            tree = html_text._Tree()
+            tree.feed(html)
+            tree.close()
+            html_text._prune(tree.root)
+            level, nodes = [tree.root], []
+            while level:
+                nodes += level
+                level = [c for n in level for c in n.children if not isinstance(c, str)]
+            body = next((n for n in nodes if n.tag == "body"), tree.root)
+            nodes = nodes[nodes.index(body) :]
+            chars = "".join(html_text._blocks(body))
+            links = "".join("".join(html_text._blocks(n)) for n in nodes if n.tag == "a")
+            share = len("".join(links.split())) / max(1, len("".join(chars.split())))
+            nodes = [n for n in nodes if n is body or _under(n, body)]
+            density = {id(n): plain_density(n, share) for n in nodes}
+            sums = [sum(density[id(c)] for c in n.children if not isinstance(c, str)) or density[id(n)] for n in nodes]
+            best = nodes[max(range(len(nodes)), key=lambda i: (round(sums[i], 6), -i))]
+            text = html_text.main_text(html).split("\n")
+            assert [b for b in html_text._blocks(best) if b not in text] == []
+            if best.parent is body:  # nothing on these pages stands beside the text and is as dense
+                assert text == html_text._blocks(best)
+
+
+def _under(node, body):
+    while node is not None and node is not body:
+        node = node.parent
+    return node is body
+
+
 def test_page_without_an_article():
     long = " ".join(f"<p>{prose(i, 40)}</p>" for i in range(5))
     links = "".join(f"<li><a href='/{i}'>Link {i} to somewhere else</a></li>" for i in range(30))

@@ -2,7 +2,7 @@
 
 Each DOM node gets a composite density: characters per tag, adjusted by the share of characters and tags within
 links. The node whose children's densities have the largest sum holds the text; the smallest density on
-its path from the body is the threshold that other content has to reach. Page furniture is cut away first, as
+its path from the body is the threshold that every node beside that path has to reach. Page furniture is cut away first, as
 its tags, roles and class names say.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -31,23 +32,16 @@ CUT_TAGS = frozenset(
     "head title script style noscript template nav footer aside form button input select textarea iframe object svg canvas audio video menu dialog search".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id that mark page furniture.
-CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments "
-    "commentlist consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notices notification overlay pagination pager popup promo promoted promotion reactions recommended related replies reply "
-    "respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
-)
-#: Those of them that as part of a longer name may tell of the text or of a page's layout: only the whole name counts, and some longer ones.
-WHOLE_WORDS = frozenset(
-    "consent copyright discussion login notice notices promotion recommended related replies reply respond share sharing sidebar sidebars skip "
-    "social subscription".split()
-)
-WHOLE_NAMES = WHOLE_WORDS | frozenset(
+#: Whole names of a class or id that mark page furniture.
+CUT_NAMES = frozenset(
+    "banner comment commentlist consent copyright disqus footer gdpr header login masthead menu menubar nav navbar navigation overlay pager pagination "
+    "promo recommended related replies respond share sharing sidebar skip social subscribe subscription toolbar topbar widget "
     "left-sidebar right-sidebar sidebar-left sidebar-right related-articles related-content related-links related-posts related-stories "
     "recommended-articles recommended-posts share-buttons share-links sharing-buttons skip-link skip-to-content social-icons social-links social-media social-share "
-    "copyright-notice login-form reply-form".split()
+    "site-header site-footer site-nav main-menu copyright-notice login-form reply-form user-comments reader-comments".split()
 )
+#: Words that mark it as a whole name and as the first part of one, as in ``ad-slot``.
+CUT_PREFIXES = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comments cookie cookies modal newsletter notice popup sponsor sponsored".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What may stand beside the text within the same part of a page.
 BESIDE = HEADINGS | frozenset("header p blockquote figure pre ul ol dl table hr br".split())
@@ -64,7 +58,6 @@ _CLOSES = {
     **{t: (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "p"]), frozenset(["table"])) for t in ("tbody", "thead", "tfoot")},
     "body": (frozenset(["head", "title"]), frozenset(["html"])),
 }
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -80,49 +73,60 @@ class Node:
         self.density = self.total = 0.0
 
 
+#: Open elements beyond which a further one stands beside the innermost one instead of in it, as in browsers.
+MAX_DEPTH = 512
+
+
 class _Tree(HTMLParser):
-    """Builds the tree of a page, however incomplete its tags are."""
+    """Builds the tree of a page, however incomplete its tags are, in time linear in its tags."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
+        self.root = Node("#root", {}, None)
+        self.stack = [self.root]
+        self.open: Counter[str] = Counter()
+
+    def _close_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.open[self.stack.pop().tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(self.open[x] for x in _CLOSES[tag][0]):
             closed, bounds = _CLOSES[tag]
-            node, last = self.at, None
-            while node.parent is not None and node.tag not in bounds:
-                if node.tag in closed:
-                    last = node
-                node = node.parent
-            if last is not None:
-                self.at = last.parent
-        node = Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+            depth, last = len(self.stack) - 1, 0
+            while depth and self.stack[depth].tag not in bounds:
+                if self.stack[depth].tag in closed:
+                    last = depth
+                depth -= 1
+            if last:
+                self._close_to(last)
+        node = Node(tag, dict(attrs), self.stack[-1])
+        node.parent.children.append(node)
+        if tag not in VOID and (len(self.stack) < MAX_DEPTH or tag in CUT_TAGS):
+            self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCKS and self.at.tag == tag:
-            self.at = self.at.parent
+        if tag not in VOID and tag not in BLOCKS and self.stack[-1].tag == tag:
+            self._close_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            if tag not in BLOCKS and node.tag in BLOCKS:
+        if not self.open[tag] or tag in ("body", "html"):  # what follows these ends is still of the body
+            return
+        depth = len(self.stack) - 1
+        while self.stack[depth].tag != tag:
+            if tag not in BLOCKS and self.stack[depth].tag in BLOCKS:
                 return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+            depth -= 1
+        self._close_to(depth)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
+        self.stack[-1].children.append(data)
 
-def _words(node: Node) -> set[str]:
-    named = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}"
-    return {w for w in _SPLIT.split(named) if w} | {w for w in _SPLIT.split(named.lower()) if w}
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` is a comment up to the next ``>``, as in browsers; without one it is text."""
+        return self.rawdata.find(">", i) + 1 or -1
 
 
 def _is_cut(node: Node, inside: bool) -> bool:
@@ -130,7 +134,7 @@ def _is_cut(node: Node, inside: bool) -> bool:
     if node.tag in CUT_TAGS or (node.tag == "header" and not inside):
         return True
     if node.tag in ("html", "body", "article", "main", "#root"):
-        return "comment" in _words(node) or "comments" in _words(node) if node.tag == "article" else False
+        return node.tag == "article" and not _names(node).isdisjoint(("comment", "comments"))
     attrs = node.attrs
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
         return True
@@ -139,12 +143,17 @@ def _is_cut(node: Node, inside: bool) -> bool:
     return False
 
 
+def _names(node: Node) -> set[str]:
+    """The class names and the id of an element."""
+    return set(f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}".lower().replace("_", "-").split())
+
+
 def _is_named(node: Node) -> bool:
     """Whether an element's class or id names page furniture."""
     if node.tag in ("html", "body", "article", "main", "#root", "h1", "h2", "h3", "h4", "h5", "h6"):
         return False
-    whole = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}".lower().replace("_", "-").split()
-    return bool((CUT_WORDS - WHOLE_WORDS) & _words(node)) or not WHOLE_NAMES.isdisjoint(whole)
+    names = _names(node)
+    return not names.isdisjoint(CUT_NAMES) or any(name.split("-")[0] in CUT_PREFIXES for name in names)
 
 
 def _prune(root: Node) -> None:
@@ -212,28 +221,25 @@ def _measure(body: Node) -> list[Node]:
 def _content(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
     body = next((n for n in _in_order(root) if n.tag == "body"), root)
-    nodes = _measure(body)
-    best = max(nodes, key=lambda n: n.total)
-    path, node = [], best
-    while node is not None and node is not body.parent:
-        path.append(node)
-        node = node.parent
-    article = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
-    if article is not None:
-        return [n for n in [article] if n.chars]
+    best = max(_measure(body), key=lambda n: n.total)
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
     threshold = min(n.density for n in path)
     node = best
     while node is not body and node.parent is not body and _plain_beside(node):
         node = node.parent
-    if node is body:
-        return [node]
-    beside = [c for c in node.parent.children if isinstance(c, Node)]
-    at = beside.index(node)
-    head = at
-    while head and beside[head - 1].tag in HEADINGS:
-        head -= 1
-    alike = [n for n in beside if n is not node and (n.tag, n.attrs.get("class")) == (node.tag, node.attrs.get("class")) and n.density >= threshold > 0]
-    return [n for i, n in enumerate(beside) if head <= i <= at or n in alike]
+    kept = [node]
+    while node is not body:
+        beside = [c for c in node.parent.children if isinstance(c, Node)]
+        at = next(i for i, c in enumerate(beside) if c is node)
+        head = at
+        while kept[0] is node and head and beside[head - 1].tag in HEADINGS:
+            head -= 1
+        before = [c for i, c in enumerate(beside[:at]) if i >= head or c.density >= threshold > 0]
+        kept = before + kept + [c for c in beside[at + 1 :] if c.density >= threshold > 0]
+        node = node.parent
+    return kept
 
 
 def _plain_beside(node: Node) -> bool:
@@ -275,7 +281,11 @@ def _blocks(root: Node) -> list[str]:
 
 
 def main_text(html: str | None) -> str:
-    """The article of a page: its blocks joined by line feeds, or the empty string."""
+    """The article of a page: its blocks joined by line feeds, or the empty string.
+
+    Where several nodes have the largest sum of densities, the first in level order is taken. A node whose neighbours are all headings and text with few links
+    gives way to its parent, up to the children of the body; headings right before it are its title. No markup is an error.
+    """
     if not html:
         return ""
     tree = _Tree()
@@ -295,8 +305,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` under a struct ``page``, with the main ``text`` and ``n_chars``, its code points.
 
     Character references are decoded, white space within a block becomes one space, blocks are joined by one line feed; a
-    line break is white space. Within an article or main element all blocks count; without one, the subtrees that reach the
-    density threshold. Null, empty and textless pages give the empty string. Every row returns, repeated ones too.
+    line break is white space. Null, empty and textless pages give the empty string. Every row returns, repeated ones too.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.struct("*").alias("page"), F.coalesce(_main_texts(F.coalesce(F.col(html_col).cast("string"), F.lit(""))), F.lit("")).alias("text"))
