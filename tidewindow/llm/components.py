@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewindow.llm.shared import saved
+from tidewindow.llm.shared import Scratch
 
 MAX_ROUNDS = 60
 
@@ -15,10 +15,11 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # a table of its own: a join with an aggregate of the same key would keep a node of very many links in one task
+    least = scratch.save("least", both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return (
         both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     )
@@ -32,19 +33,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links(u, v)`` of longs -> ``(node, component)`` for every linked node; component is its smallest node.
+    """``links(u, v)`` -> ``(node, component)`` for every linked node; component is its smallest node.
 
-    Nulls and links of a node to itself are ignored, repeated links count once, and an empty
-    table gives an empty result. Every step aggregates the neighbours of a node
-    (no list of them is built), and its edges are written to the shared folder.
+    Nodes are of any type that Spark orders, structs among them. Nulls and links of a node to itself are ignored, repeated
+    links count once, and an empty table gives an empty result. Every step aggregates the neighbours of a node
+    (no list of them is built), and its edges are written to the shared folder, where they replace those of the step before.
     """
+    scratch = Scratch(links.sparkSession, "components")
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = saved(edges, "links")
+    edges = scratch.save("edges", edges)
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = saved(_small_star(_large_star(edges)), "links")
+        edges = scratch.save("edges", _small_star(_large_star(edges, scratch)))
         state, before = _state(edges), state
         if state == before:
             break

@@ -1,20 +1,21 @@
 """Operator 1: Jaccard self-join of documents on their distinct word n-grams.
 
-Documents with the same n-gram set form one class, named by its smallest document id, and
-only classes are compared. An n-gram's place in the global order is given by how often
-its bucket of hash space occurs in the whole corpus, rarest first; a class is entered under the
+Documents with the same n-gram set form one class, and only classes are compared. An n-gram's place in the global order is given by
+how often its bucket of hash space occurs in the whole corpus, rarest first; a class is entered under the
 n-grams of its prefix alone. Candidates pass a length filter, a positional filter and a filter
-on the symmetric difference of what follows (parity bitmaps in the join, then counts between
+on the symmetric difference of what follows (parity bitmaps, then counts between
 pivots of the sorted sets), and each distinct pair is compared once.
 
 To stay linear on large groups of near copies, a first round compares each class only with the
 leader of its n-gram, the class that reaches it at the earliest position. Pairs inside one
 component of these links need no further comparison for the components; a second round compares all
-remaining pairs whose components differ, without a cap.
+remaining pairs whose components differ, without a cap. An n-gram under which very many such classes are left is not joined by itself: a link
+shares two n-grams of prefixes that are one n-gram longer, so those classes meet under pairs of n-grams.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,19 +25,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.llm.components import components
-from tidewindow.llm.shared import saved, small_batches
+from tidewindow.llm.shared import Scratch, small_batches
 from tidewindow.llm.textvec import set_id, shingles
 
-#: Buckets of hash space whose occurrences are counted: the size of the broadcast order table is 4 bytes each.
-ORDER_BITS = 18
+#: Buckets of hash space whose occurrences are counted, as powers of two: the broadcast order table has 4 bytes for each,
+#: so 1 MB at least and 64 MB at most. They grow with the corpus, to hold BUCKET_BYTES of text each until there are most.
+LEAST_BITS, MOST_BITS, BUCKET_BYTES = 18, 24, 6_000
 #: Texts remembered in a task, so that its copies are entered once.
 SEEN = 50_000
-_LOW = np.uint64((1 << (64 - ORDER_BITS)) - 1)
-_SHIFT = np.uint64(64 - ORDER_BITS)
+#: Texts to compare up to which their ids, 32 bytes each, are broadcast to find them in the documents; above, the documents are shuffled by id.
+BROADCAST_TEXTS = 200_000
+#: Entries under one n-gram above which the second round joins on pairs of n-grams.
+HOT_ENTRIES = 1_000
 _PIVOTS = (np.arange(1, 64, dtype=np.uint64)) << np.uint64(58)
 
-_PROFILE = "row_id long, n int, a long, b long, s0 long, s1 long, s2 long, s3 long, bucket int, uses long"
+_PROFILE = "row_id long, text_id long, n int, a long, b long, s0 long, s1 long, s2 long, s3 long, bucket int, uses long"
 _POSTING = "token long, a long, b long, n int, pos int"
+_BITS = ("s0", "s1", "s2", "s3")
+
+
+def order_bits(text_bytes: int) -> int:
+    """The number of buckets, as a power of two, for so much text."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, text_bytes) / BUCKET_BYTES))))
 
 
 def _parity(items: np.ndarray) -> np.ndarray:
@@ -45,32 +55,41 @@ def _parity(items: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _profile(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], n_words: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end a row for each used bucket of the order table."""
-    uses = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+    names = [x.split()[0] for x in _PROFILE.split(", ")]
+    uses, waiting, held = np.zeros(1 << bits, dtype=np.int64), [], 0
     for batch in batches:
-        ids, rows = batch.column(0), []
-        for text in batch.column(1):
+        rows = []
+        for text in batch.column(2):
             items = shingles(text.as_py(), n_words)
-            np.add.at(uses, (items >> _SHIFT).astype(np.int64), 1)
+            waiting.append((items >> np.uint64(64 - bits)).astype(np.int64))
+            held += len(items)
             rows.append((len(items), *set_id(items), *_parity(items).tolist()))
+        if held > 4 << LEAST_BITS:
+            uses += np.bincount(np.concatenate(waiting), minlength=1 << bits)
+            waiting, held = [], 0
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         none = pa.nulls(len(rows))
-        yield pa.RecordBatch.from_arrays(
-            [ids, *(pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)), none.cast(pa.int32()), none.cast(pa.int64())],
-            names=["row_id", "n", "a", "b", "s0", "s1", "s2", "s3", "bucket", "uses"],
-        )
+        own = [pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, none.cast(pa.int32()), none.cast(pa.int64())], names=names)
+    if waiting:
+        uses += np.bincount(np.concatenate(waiting), minlength=1 << bits)
     used = np.flatnonzero(uses)
     none = pa.nulls(len(used))
-    yield pa.RecordBatch.from_arrays(
-        [none.cast(pa.int64()), none.cast(pa.int32()), *[none.cast(pa.int64())] * 6, pa.array(used, pa.int32()), pa.array(uses[used], pa.int64())],
-        names=["row_id", "n", "a", "b", "s0", "s1", "s2", "s3", "bucket", "uses"],
-    )
+    own = [none.cast(pa.int64())] * 2 + [none.cast(pa.int32())] + [none.cast(pa.int64())] * 6
+    yield pa.RecordBatch.from_arrays([*own, pa.array(used, pa.int32()), pa.array(uses[used], pa.int64())], names=names)
+
 
+def _need(n: int, num: int, den: int) -> int:
+    """The least overlap of a set of ``n`` items with any set that it links with."""
+    return (num * n + den - 1) // den
 
-def _postings(batches: Iterator[pa.RecordBatch], order, n_words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The prefix of each set that the task has not seen yet."""
+
+def _postings(batches: Iterator[pa.RecordBatch], order, n_words: int, num: int, den: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set that the task has not seen yet, and one item after it where there is one."""
     rank, seen = order.value, set()
+    shift, low = np.uint64(64 - bits), np.uint64((1 << (64 - bits)) - 1)
     for batch in batches:
         tokens, a_s, b_s, sizes, places = [], [], [], [], []
         for text in batch.column(0):
@@ -80,8 +99,8 @@ def _postings(batches: Iterator[pa.RecordBatch], order, n_words: int, num: int,
                 continue
             if len(seen) < SEEN:
                 seen.add(own)
-            k = len(items) - (num * len(items) + den - 1) // den + 1
-            keys = (rank[(items >> _SHIFT).astype(np.int64)] << _SHIFT) | (items & _LOW)
+            k = min(len(items), len(items) - _need(len(items), num, den) + 2)
+            keys = (rank[(items >> shift).astype(np.int64)].astype(np.uint64) << shift) | (items & low)
             if k < len(keys):
                 keys = np.partition(keys, k - 1)[:k]
             keys.sort()
@@ -100,129 +119,170 @@ def _linked(batches: Iterator[pa.RecordBatch], n_words: int, num: int, den: int)
     """The pairs whose sets are as alike as asked for."""
     kept_id, kept = None, None
     for batch in batches:
-        out: tuple[list, list] = [], []
-        for u, v, left, right in zip(*(batch.column(i) for i in range(4)), strict=True):
-            u, v = u.as_py(), v.as_py()
+        keep = []
+        nodes = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        for v, left, right in zip(nodes, batch.column(4), batch.column(5), strict=True):
             if kept_id != v:
                 kept_id, kept = v, shingles(right.as_py(), n_words)
             x, y = shingles(left.as_py(), n_words), kept
             both = len(x) + len(y)
             least = -(-num * both // (num + den))
             apart = np.abs(np.diff(np.searchsorted(x, _PIVOTS), prepend=0, append=len(x)) - np.diff(np.searchsorted(y, _PIVOTS), prepend=0, append=len(y)))
-            if apart.sum() > both - 2 * least:
-                continue
-            if len(np.intersect1d(x, y, assume_unique=True)) >= least:
-                out[0].append(u)
-                out[1].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
+            keep.append(apart.sum() <= both - 2 * least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
 
-def _may_link(num: int, den: int, suffix: bool = True) -> Column:
-    """Length, positional and symmetric-difference filters on two entries x and y of one n-gram."""
+def _may_link(num: int, den: int) -> Column:
+    """Length and positional filters on two entries x and y of one n-gram."""
     c = F.col
     n, m = c("x.n").cast("long"), c("y.n").cast("long")
     least = F.ceil((num * (n + m)) / F.lit(num + den))
-    differ = sum(F.bit_count(c(f"x.s{i}").bitwiseXOR(c(f"y.s{i}"))) for i in range(4))
     return (
         (F.least(n, m) * den >= F.greatest(n, m) * num)
         & (F.least(n - c("x.pos"), m - c("y.pos")) >= least)
         & (c("x.pos") + c("y.pos") <= n + m - 2 * least)
-        & (differ <= n + m - 2 * least)
     )
 
 
+def _same(*columns: str) -> Column:
+    out = F.lit(True)
+    for column in columns:
+        out = out & (F.col(f"x.{column}") == F.col(f"y.{column}"))
+    return out
+
+
+def _node(side: str) -> Column:
+    return F.struct(F.col(f"{side}.a").alias("a"), F.col(f"{side}.b").alias("b"))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """The distinct pairs of classes of joined entries x and y, the larger one first."""
+    u, v = F.greatest(_node("x"), _node("y")), F.least(_node("x"), _node("y"))
+    return joined.select(u["a"].alias("ua"), u["b"].alias("ub"), v["a"].alias("va"), v["b"].alias("vb")).distinct()
+
+
 def ngram_jaccard_groups(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, num: int = 80, den: int = 100
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n_words: int = 5,
+    num: int = 80,
+    den: int = 100,
+    hot_entries: int = HOT_ENTRIES,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)`` for each row of ``documents``.
+    """``(doc_id, text_id, n_shingles, component_id, leads, n_links)`` for each row of ``documents``.
 
     Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of distinct n-grams
     of lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``. A text of fewer words is one n-gram. Null, empty and
     wordless texts have an empty set and link with nothing. ``component_id`` is the smallest id
     reachable by links; ``n_links`` counts the links that were verified for the document's class, not those
     that its component made needless. Rows with equal texts share a class, rows that repeat an id each return,
-    each judged by its own text, and a class in which all ids are null links with nothing. Other columns of
-    the input, whatever their names, are not read.
+    each judged by its own text, and a class in which all ids are null links with nothing. ``text_id`` is the text's 64-bit hash, and a row
+    ``leads`` if its id and text_id are the smallest of its component, or its set is empty or its id null. ``hot_entries`` changes the way
+    to the result, not the result. Other columns of the input, whatever their names, are not read.
     """
     spark = documents.sparkSession
     small_batches(spark)
+    scratch = Scratch(spark, "ngram-join")
     texts = documents.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("body"))
-    both = saved(texts.mapInArrow(partial(_profile, n_words=n_words), _PROFILE), "profile")
-    profile = both.where("bucket is null").drop("bucket", "uses")
+    texts = texts.select("row_id", F.xxhash64("body").alias("text_id"), "body")
+    bits = order_bits(texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
 
-    uses = both.where("bucket is not null").groupBy("bucket").agg(F.sum("uses").alias("uses"))
-    counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-    for row in uses.toLocalIterator():  # at most 2 ** ORDER_BITS rows, whatever the input
-        counts[row["bucket"]] = row["uses"]
-    rank = np.empty(1 << ORDER_BITS, dtype=np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(1 << ORDER_BITS, dtype=np.uint64)
+    both = scratch.save("profile", texts.mapInArrow(partial(_profile, n_words=n_words, bits=bits), _PROFILE))
+    profile = both.where("bucket is null").drop("bucket", "uses")
+    used = both.where("bucket is not null").groupBy("bucket").agg(F.sum("uses").alias("uses")).toArrow()  # at most 2 ** bits rows
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    counts[used.column("bucket").to_numpy()] = used.column("uses").to_numpy()
+    rank = np.empty(1 << bits, dtype=np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(1 << bits, dtype=np.uint32)
     order = spark.sparkContext.broadcast(rank)
 
-    classes = saved(
-        profile.where("n > 0").groupBy("a", "b").agg(F.min("row_id").alias("rep"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))),
-        "classes",
-    )
-    entries = saved(
-        texts.select("body").mapInArrow(partial(_postings, order=order, n_words=n_words, num=num, den=den), _POSTING), "postings"
-    )
+    told = F.when(F.col("row_id").isNotNull(), F.struct("row_id", "text_id"))
+    classes = profile.where("n > 0").groupBy("a", "b").agg(F.min(told).alias("rep"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in _BITS))
+    classes = scratch.save("classes", classes.where("rep is not null").select("a", "b", "rep.row_id", "rep.text_id", "n", *_BITS))
+
+    entries = texts.select("body").mapInArrow(partial(_postings, order=order, n_words=n_words, num=num, den=den, bits=bits), _POSTING)
+    entries = scratch.save("entries", entries)
     # tables of their own, here and below: a join with an aggregate of the same key would keep that key's rows in one task
-    common = saved(entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "common")
-    shared = saved(
-        entries.join(common, "token").distinct().join(classes, ["a", "b"]).where("rep is not null").drop("a", "b"), "shared"
-    )
+    common = entries.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token")
+    common = scratch.save("common", common)
+    shared = scratch.save("shared", entries.join(common, "token").repartition("token", "a").distinct())
+    scratch.drop("entries", "common")
+    need = F.expr(f"({num} * cast(n as long) + {den - 1}) div {den}")
+    own = shared.where(F.col("pos") <= F.col("n") - need)  # without the item after the prefix
 
-    wanted = ["token", "rep", "n", "pos", "s0", "s1", "s2", "s3"]
-    leaders = shared.groupBy("token").agg(F.min(F.struct("pos", "rep", "n", "s0", "s1", "s2", "s3")).alias("y"))
-    leaders = saved(leaders.select("token", "y.*").select(*wanted), "leaders")
-    first = (
-        shared.alias("x")
-        .join(leaders.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & _may_link(num, den))
-        .select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v"))
-        .distinct()
-    )
-    first = saved(first, "pairs")
-    wanted_texts = shared.select(F.col("rep").alias("row_id")).distinct()
-    owned = saved(texts.join(wanted_texts, "row_id").select(F.col("row_id").alias("rep"), "body"), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = (
-            pairs.join(owned.select(F.col("rep").alias("u"), F.col("body").alias("left")), "u")
-            .join(owned.select(F.col("rep").alias("v"), F.col("body").alias("right")), "v")
-            .select("u", "v", "left", "right")
-        )
-        return saved(sides.mapInArrow(partial(_linked, n_words=n_words, num=num, den=den), "u long, v long").distinct(), "verified")
-
-    links = verified(first)
-    labels = saved(components(links), "labels")
-    placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    leaders = own.groupBy("token").agg(F.min(F.struct("pos", "a", "b", "n")).alias("y")).select("token", "y.*")
+    leaders = scratch.save("leaders", leaders)
+    other = (F.col("x.a") != F.col("y.a")) | (F.col("x.b") != F.col("y.b"))
+    first = scratch.save("first", _pairs(own.alias("x").join(leaders.alias("y"), _same("token") & other & _may_link(num, den))))
+    scratch.drop("leaders")
+
+    def verified(name: str, pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs: by bitmaps, then by the texts of those that are left."""
+        facts = classes.select("a", "b", "n", *_BITS)
+        sides = pairs
+        for side in "uv":
+            sides = sides.join(facts.select(*(F.col(c).alias(side + c) for c in facts.columns)), [f"{side}a", f"{side}b"])
+        total = (F.col("un") + F.col("vn")).cast("long")
+        differ = sum(F.bit_count(F.col(f"u{s}").bitwiseXOR(F.col(f"v{s}"))) for s in _BITS)
+        sides = sides.where(differ <= total - 2 * F.ceil(num * total / F.lit(num + den))).select("ua", "ub", "va", "vb")
+        sides = scratch.save(f"{name}-pairs", sides)
+        wanted = sides.selectExpr("ua as a", "ub as b").unionByName(sides.selectExpr("va as a", "vb as b")).distinct()
+        wanted = scratch.save(f"{name}-wanted", classes.join(wanted, ["a", "b"]).select("a", "b", "row_id", "text_id"))
+        if wanted.count() <= BROADCAST_TEXTS:
+            wanted = F.broadcast(wanted)
+        bodies = texts.join(wanted, ["row_id", "text_id"]).groupBy("a", "b").agg(F.first("body").alias("body"))
+        bodies = scratch.save(f"{name}-bodies", bodies)
+        for side, text in (("u", "left"), ("v", "right")):
+            sides = sides.join(bodies.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("body").alias(text)), [f"{side}a", f"{side}b"])
+        sides = sides.select("ua", "ub", "va", "vb", "left", "right")
+        links = sides.mapInArrow(partial(_linked, n_words=n_words, num=num, den=den), "ua long, ub long, va long, vb long")
+        links = scratch.save(name, links.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v")))
+        scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-bodies")
+        return links
+
+    links = verified("links", first)
+    labels = scratch.save("labels", components(links).select("node.a", "node.b", "component"))
+    placed = shared.join(labels, ["a", "b"], "left").withColumn("component", F.coalesce("component", F.struct("a", "b")))
+    placed = scratch.save("placed", placed)
+    scratch.drop("shared", "labels")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("members"))
-    mains = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("parts"))
-    mains = saved(mains.where("parts > 1").select("token", F.col("main.component").alias("main")), "mains")
-    open_ = saved(placed.join(mains, "token"), "open")
-    second = (
-        open_.where("component <> main").alias("x")
-        .join(
-            open_.alias("y"),
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.component") != F.col("y.component"))
-            & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-            & _may_link(num, den),
-        )
-        .select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
-    )
-    more = verified(saved(second, "pairs"))
+    mains = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("entries"))
+    mains = mains.where("parts > 1").select("token", F.col("main.component").alias("main"), (F.col("entries") > hot_entries).alias("hot"))
+    mains = scratch.save("mains", mains)
+    open_ = scratch.save("open", placed.join(mains, "token").withColumn("lone", need <= 1))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (_node("x") < _node("y")))
+
+    def met(left: DataFrame, *key: str) -> DataFrame:
+        return left.where("component <> main").alias("x").join(left.alias("y"), _same(*key) & apart & _may_link(num, den))
+
+    inside = open_.where(F.col("pos") <= F.col("n") - need)
+    second = _pairs(met(inside.where("not hot or lone"), "token"))
+    if not mains.where("hot").isEmpty():
+        beside = placed.select("a", "b", F.col("token").alias("token2"))
+        twice = inside.where("hot").join(beside, ["a", "b"]).where("token <> token2")
+        twice = scratch.save("twice", twice)
+        second = second.unionByName(_pairs(met(twice, "token", "token2"))).distinct()
+    second = second.join(first, ["ua", "ub", "va", "vb"], "left_anti")
+    second = scratch.save("second", second)
+    scratch.drop("placed", "mains", "open", "first", "twice")
+    more = verified("more", second)
     all_links = links.unionByName(more)
     labels = components(all_links)
     degree = all_links.selectExpr("u as node").unionByName(all_links.selectExpr("v as node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.select("a", "b", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(
-        degree.withColumnRenamed("node", "rep"), "rep", "left"
-    )
-    named = named.select("a", "b", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    members = classes.select("a", "b", "row_id", "text_id", F.struct("a", "b").alias("node")).join(labels, "node", "left")
+    members = scratch.save("members", members.withColumn("component", F.coalesce("component", "node")))
+    least = scratch.save("least", members.groupBy("component").agg(F.min(F.struct("row_id", "text_id")).alias("leader")))
+    named = members.select("a", "b", "node", "component").join(least, "component").join(degree, "node", "left")
+    named = scratch.save("named", named.select("a", "b", "leader", "n_links"))
+    scratch.drop("classes", "links", "more", "second", "members", "least")
+    linked = F.col("n") > 0
+    leads = ~linked | F.col("row_id").isNull() | F.struct("row_id", "text_id").eqNullSafe(F.col("leader"))
     return profile.join(named, ["a", "b"], "left").select(
         F.col("row_id").alias("doc_id"),
+        "text_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row_id")).alias("component_id"),
+        F.when(linked, F.col("leader.row_id")).otherwise(F.col("row_id")).alias("component_id"),
+        leads.alias("leads"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
