@@ -24,18 +24,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1, five words and 0.8. Of each group the document with the smallest id stays.
 
-    A null id is told by its text. Rows that repeat both id and text are one document, rows that repeat an id alone are not.
+    A null id is told by its text. Rows that repeat both id and text are one document, rows that repeat an id alone are not: each is judged by its own text.
     """
-    words = F.xxhash64("text")
-    keyed = docs.withColumns({"__key": F.coalesce("doc_id", -F.abs(words.bitwiseAND(2**62 - 1)) - 1), "__text": words})
-    groups = ngram_join.ngram_jaccard_groups(keyed, id_col="__key", n_words=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    text = F.col("text").cast("string")
+    words = F.xxhash64(text)
+    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(words.bitwiseAND(2**62 - 1)) - 1)
+    groups = ngram_join.ngram_jaccard_groups(docs.select(key.alias("doc_id"), text.alias("text")), n_words=5, num=80, den=100)
+    first = groups.where("leads").select(F.col("doc_id").alias("key"), "text_id").distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), key.alias("key"), words.alias("text_id"))
+    return keyed.join(first, ["key", "text_id"], "left_semi").dropDuplicates(["key", "text_id"]).select("doc.*")
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4. Documents with a ten-word window of a benchmark item are dropped."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), spans=False)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select("doc.*")
 
 
@@ -49,9 +51,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8. The documents of the mix, with their domain and tokens and how often each is taken."""
+    """Operator 8. The documents of the mix, with their domain and tokens and how often each is taken.
+
+    Columns of the documents that have one of these three names give way to them.
+    """
     out = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
-    return out.select("doc.*", "domain", "n_tokens", "epochs")
+    added = ("domain", "n_tokens", "epochs")
+    return out.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in added), *added)
 
 
 STAGES = [
