@@ -1,8 +1,8 @@
 """Operator 4: benchmark decontamination with one Aho-Corasick automaton.
 
 Benchmark items and documents are normalised to lower-case words, and each word of the benchmark becomes one
-symbol; words that no item has share a symbol that no pattern holds. The automaton has every
-distinct window of the items and scans a document's symbols once. A match ends at a word, whose place in the
+symbol; words that no item has share a symbol that no pattern holds. One automaton has every
+distinct window of the items, however large the benchmark is, and scans a document's symbols once. A match ends at a word, whose place in the
 original text is found again for documents with a hit.
 """
 
@@ -16,16 +16,16 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tidewindow.llm.shared import small_batches
 from tidewindow.llm.textvec import ALNUM
 
-#: Benchmark text in one automaton, in bytes; it bounds what is collected and broadcast. More text is scanned for in several blocks, one after the other, within the same tasks.
-BLOCK_BYTES = 1_000_000
+#: Bytes of benchmark text up to which it is broadcast and put into each worker's automaton, which takes some hundred bytes for each word of a window. A larger benchmark
+#: is an error, not another way of scanning: raise the bound where executors have the memory, or scan for parts of the benchmark by calls of their own.
+MAX_BENCHMARK_BYTES = 64_000_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_FOUND = "n_words long, hit array<int>, item_ids array<string>"
-_BUILT: dict[int, tuple] = {}
+_FOUND = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
+_BUILT: dict[str, tuple] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,51 +54,44 @@ def _automaton(items: list[tuple[str, str]], window: int) -> tuple[dict[bytes, s
     return symbols, automaton, bool(windows)
 
 
+def spans_of(text: str, hits: list[int]) -> list[dict[str, int]]:
+    """Code-point spans, end exclusive, of the runs of the words at the sorted places ``hits``."""
+    spans: list[dict[str, int]] = []
+    if hits:
+        places, last = [m.span() for m in _WORD.finditer(text)], -2
+        for i in hits:
+            if i == last + 1:
+                spans[-1]["end"] = places[i][1]
+            else:
+                spans.append({"start": places[i][0], "end": places[i][1]})
+            last = i
+    return spans
+
+
 def _scanner(items, key: str, window: int):
-    """A pandas UDF of (text, what earlier blocks have found) that adds what this block finds."""
+    """A pandas UDF of a text that finds hits in one scan."""
 
     @F.pandas_udf(_FOUND)
-    def scan(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = _automaton(items.value, window)
         symbols, automaton, some = _BUILT[key]
         code = symbols.get
-        for texts, before in batches:
-            counts, hits, ids = [], [], []
-            for text, hit, found in zip(texts, before["hit"], before["item_ids"], strict=True):
-                words = words_of(text)
-                hit, found = set(hit), set(found)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                words, hit, found = words_of(text), set(), set()
                 if some:
                     for end, (size, own) in automaton.iter("".join([code(w, "\0") for w in words])):
                         hit.update(range(end - size + 1, end + 1))
                         found.update(own)
-                counts.append(len(words))
-                hits.append(sorted(hit))
-                ids.append(sorted(found))
-            yield pd.DataFrame({"n_words": counts, "hit": hits, "item_ids": ids})
+                rows.append((len(words), len(hit), sorted(found), spans_of(text, sorted(hit))))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])
 
     return scan
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
-def _spans(texts: pd.Series, hits: pd.Series) -> pd.Series:
-    """Code-point spans, end exclusive, of the runs of hit words."""
-    out = []
-    for text, hit in zip(texts, hits, strict=True):
-        spans: list[dict[str, int]] = []
-        places = [m.span() for m in _WORD.finditer(text)] if len(hit) else []
-        last = -2
-        for i in hit:
-            if i == last + 1:
-                spans[-1]["end"] = places[i][1]
-            else:
-                spans.append({"start": places[i][0], "end": places[i][1]})
-            last = i
-        out.append(spans)
-    return pd.Series(out)
-
-
 def contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -106,16 +99,15 @@ def contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    spans: bool = True,
-    block_bytes: int = BLOCK_BYTES,
+    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES,
 ) -> DataFrame:
-    """``documents`` under a struct ``doc``, with ``n_words, n_hit, item_ids, contaminated`` and ``spans``.
+    """``documents`` under a struct ``doc``, with ``n_words, n_hit, item_ids, spans, contaminated``.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter item. A document's word
     within any occurrence of a window is hit; ``item_ids`` has the sorted ids of the items that occur, and
     ``spans`` the code points of the runs of hit words. Null, empty and wordless texts have
     no words and no hits; such items have no windows. Items that repeat an id count once, a null id counts as the
-    empty string, and an empty benchmark finds nothing. Every row of ``documents`` returns, repeated
+    empty string, and an empty benchmark finds nothing. More benchmark text than ``max_benchmark_bytes`` is an error. Every row of ``documents`` returns, repeated
     ones too, whatever the names of its columns.
     """
     context = documents.sparkSession.sparkContext
@@ -123,21 +115,10 @@ def contamination(
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")
     )
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    found = documents.select(
-        F.struct("*").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), F.from_json(F.lit('{"n_words":0,"hit":[],"item_ids":[]}'), _FOUND).alias("found")
-    )
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        rows = context.broadcast([(r["item_id"], r["text"]) for r in block.toLocalIterator()])
-        scan = _scanner(rows, f"{context.applicationId}-{uuid.uuid4().hex}", window)
-        found = found.withColumn("found", scan("body", "found"))
-    out = [
-        "doc",
-        F.col("found.n_words").alias("n_words"),
-        F.size("found.hit").cast("long").alias("n_hit"),
-        F.col("found.item_ids").alias("item_ids"),
-        (F.size("found.hit") > 0).alias("contaminated"),
-    ]
-    return found.select(*out, *([_spans("body", "found.hit").alias("spans")] if spans else []))
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id")).alias("n")).first()["n"] or 0
+    if total > max_benchmark_bytes:
+        raise ValueError(f"the benchmark has {total} bytes of text, more than the {max_benchmark_bytes} that one automaton is built over")
+    rows = context.broadcast([(r["item_id"], r["text"]) for r in items.toLocalIterator()])
+    scan = _scanner(rows, f"{context.applicationId}-{uuid.uuid4().hex}", window)
+    found = documents.select(F.struct("*").alias("doc"), scan(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("found"))
+    return found.select("doc", "found.*", (F.col("found.n_hit") > 0).alias("contaminated"))

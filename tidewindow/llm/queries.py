@@ -61,7 +61,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of each document lie in ten-word windows of the benchmark."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.contamination(documents, table(spark, sf_dir, "benchmark"), spans=False)
+    out = decontaminate.contamination(documents, table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc.doc_id",
         "n_words",
@@ -69,6 +69,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
     )
 
 

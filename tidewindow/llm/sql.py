@@ -56,8 +56,9 @@ FROM texts t LEFT JOIN spans p ON t.r = p.r GROUP BY t.r, t.doc_id
 """
 
 _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OP4 = rf"""
-WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_ALNUM} AS w FROM documents
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS x, {_ALNUM} AS w FROM documents
 ), items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ALNUM} AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
@@ -66,11 +67,21 @@ WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_ALNUM} AS w FROM docum
   SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
 ), hits AS (SELECT r, i, n, item_id FROM grams JOIN windows USING (n, g)
-), words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
-), found AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+), places AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hits
+), words AS (SELECT r, count(*) AS n_hit FROM places GROUP BY r
+), found AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+), runs AS (
+  SELECT r, min(p) AS first, max(p) AS last FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS run FROM places) GROUP BY r, run
+), cut AS (
+  SELECT r, list_transform(regexp_split_to_array(x, '{_PLAIN_WORD}'), lambda y: length(y)) AS gaps,
+    list_transform(regexp_extract_all(x, '{_PLAIN_WORD}'), lambda y: length(y)) AS sizes FROM docs WHERE r IN (SELECT r FROM runs)
+), told AS (
+  SELECT r, string_agg(CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s) AS spans
+  FROM (SELECT r, list_sum(gaps[1:first]) + coalesce(list_sum(sizes[1:first - 1]), 0) AS s, list_sum(gaps[1:last]) + list_sum(sizes[1:last]) AS e FROM runs JOIN cut USING (r)) GROUP BY r
+)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r) LEFT JOIN told USING (r)
 """
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
