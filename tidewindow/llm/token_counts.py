@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -108,7 +109,7 @@ def token_counts(documents: DataFrame, vocabulary: list[bytes], text_col: str =
     """
     small_batches(documents.sparkSession)
     tokens = documents.sparkSession.sparkContext.broadcast(vocabulary)
-    name = f"{documents.sparkSession.sparkContext.applicationId}-{id(tokens)}-{len(vocabulary)}"
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("n_tokens long, n_words long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
