@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewindow.llm.shared import small_batches
+from tidewindow.llm.shared import saved, small_batches
 
 #: N-grams in a profile.
 TOP = 300
@@ -106,7 +106,7 @@ def train_profiles(documents: DataFrame, text_col: str = "text", lang_col: str =
 
 
 def collect_profiles(profiles: DataFrame, top: int = TOP) -> dict[str, list[int]]:
-    """The profiles as lists, after a check that there are few enough."""
+    """The profiles as lists, after a check that there are few enough. The table is read twice."""
     n = profiles.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if n > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if their profiles fit in memory")
@@ -169,7 +169,7 @@ def identify(documents: DataFrame, train: DataFrame, text_col: str = "text", lan
     row returns, repeated ones too, and the language column of ``documents`` is not read.
     """
     small_batches(documents.sparkSession)
-    model = collect_profiles(train_profiles(train, text_col, lang_col, top), top)
+    model = collect_profiles(saved(train_profiles(train, text_col, lang_col, top), "profiles"), top)
     predict = predictor(model, documents.sparkSession.sparkContext, top)
     rows = documents.select(F.struct("*").alias("doc"), predict(F.col(text_col).cast("string")).alias("p"))
     return rows.select("doc", "p.lang_pred", "p.score")
