@@ -123,11 +123,13 @@ def mix(
     A leaf without tokens gets none, and its documents don't return; an empty table returns no rows.
     """
     named = {k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()}
-    rows = documents.select(F.struct("*").alias("doc"), F.col(id_col).alias("row_id"), word_count(F.col(text_col).cast("string")).alias("n_tokens"), *(v.alias(k) for k, v in named.items()))
-    narrow = saved(rows.drop("doc"), "tokens")
+    tokens = word_count(F.col(text_col).cast("string"))
+    narrow = saved(documents.select(F.col(id_col).alias("row_id"), tokens.alias("n_tokens"), *(v.alias(k) for k, v in named.items())), "tokens")
     plan = saved(plan_mix(narrow, list(levels), weights, budget_share, epochs, seed), "plan")
     plan = plan.select(*levels, "full", "cutoff")
     if plan.count() <= BROADCAST_LEAVES:
         plan = F.broadcast(plan)
     taken = F.col("full") + (_key(seed, F.col("full"), F.col("row_id")) <= F.col("cutoff")).cast("long")
-    return rows.join(plan, list(levels)).withColumn("epochs", taken).where("epochs > 0").select("doc", *levels, "n_tokens", "epochs")
+    rows = documents.select(F.struct("*").alias("doc"), F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("body"), *(v.alias(k) for k, v in named.items()))
+    rows = rows.join(plan, list(levels)).withColumn("epochs", taken).where("epochs > 0")
+    return rows.select("doc", *levels, word_count(F.col("body")).alias("n_tokens"), "epochs")  # counted again for what is taken only
