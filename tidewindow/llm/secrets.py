@@ -86,8 +86,8 @@ class Ledger:
             raise ValueError("two rules have the same kind and version")
 
     def scans(self) -> DataFrame:
-        """``(blob, rules, spans)``: all runs so far, one row for each blob."""
-        return self._rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.flatten(F.collect_list("spans")).alias("spans"))
+        """``(blob, rules, spans)``: all runs so far, one row for each blob. What two runs have both found, at once or one after a lost append, counts once."""
+        return self._rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def scan(self, versions: DataFrame, path: str = "path", content: str = "content") -> int:
         """Scans what is new in ``versions`` and returns the number of blobs that had something unseen.
