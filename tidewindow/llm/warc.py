@@ -210,6 +210,10 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+#: Revisits, some hundred bytes each, up to which they are broadcast; above, the pages are shuffled by id and digest to tell them.
+BROADCAST_ROWS = 200_000
+
+
 def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """``pages(page_id, url, html)`` with ``refers_to`` and ``revisit``.
 
@@ -218,8 +222,13 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """
     keyed = pages.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     narrow = keyed.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
+    # tables of their own: a join with an aggregate of the same key would keep the rows of a payload of very many pages in one task
     winners = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    decided = narrow.join(winners, "digest").where("page_id < refers_to or (page_id is null and refers_to is not null)").distinct()
+    winners = saved(winners, "winners")
+    revisits = narrow.join(winners, "digest").where("page_id < refers_to or (page_id is null and refers_to is not null)")
+    decided = saved(revisits.repartition("digest", "page_id").distinct(), "revisits")
+    if decided.count() <= BROADCAST_ROWS:
+        decided = F.broadcast(decided)
     joined = keyed.alias("k").join(decided.alias("d"), F.col("k.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("k.digest") == F.col("d.digest")), "left")
     return joined.select("k.page_id", "k.url", "k.html", "d.refers_to", F.col("d.refers_to").isNotNull().alias("revisit"))
 
