@@ -33,8 +33,9 @@ from tidewindow.llm.textvec import set_id, shingles
 LEAST_BITS, MOST_BITS, BUCKET_BYTES = 18, 24, 6_000
 #: Texts remembered in a task, so that its copies are entered once.
 SEEN = 50_000
-#: Texts to compare up to which their ids, 32 bytes each, are broadcast to find them in the documents; above, the documents are shuffled by id.
-BROADCAST_TEXTS = 200_000
+#: Rows of some hundred bytes up to which a table of linked classes, of n-grams over several components or of the ids of texts to compare is broadcast; above, both sides
+#: of its join are shuffled.
+BROADCAST_ROWS = 200_000
 #: Entries under one n-gram above which the second round joins on pairs of n-grams.
 HOT_ENTRIES = 1_000
 _PIVOTS = (np.arange(1, 64, dtype=np.uint64)) << np.uint64(58)
@@ -155,6 +156,11 @@ def _node(side: str) -> Column:
     return F.struct(F.col(f"{side}.a").alias("a"), F.col(f"{side}.b").alias("b"))
 
 
+def _sized(small: DataFrame) -> DataFrame:
+    """A written table to broadcast where it has few enough rows."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     """The distinct pairs of classes of joined entries x and y, the larger one first."""
     u, v = F.greatest(_node("x"), _node("y")), F.least(_node("x"), _node("y"))
@@ -229,9 +235,7 @@ def ngram_jaccard_groups(
         sides = scratch.save(f"{name}-pairs", sides)
         wanted = sides.selectExpr("ua as a", "ub as b").unionByName(sides.selectExpr("va as a", "vb as b")).distinct()
         wanted = scratch.save(f"{name}-wanted", classes.join(wanted, ["a", "b"]).select("a", "b", "row_id", "text_id"))
-        if wanted.count() <= BROADCAST_TEXTS:
-            wanted = F.broadcast(wanted)
-        bodies = texts.join(wanted, ["row_id", "text_id"]).groupBy("a", "b").agg(F.first("body").alias("body"))
+        bodies = texts.join(_sized(wanted), ["row_id", "text_id"]).groupBy("a", "b").agg(F.first("body").alias("body"))
         bodies = scratch.save(f"{name}-bodies", bodies)
         for side, text in (("u", "left"), ("v", "right")):
             sides = sides.join(bodies.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("body").alias(text)), [f"{side}a", f"{side}b"])
@@ -243,14 +247,14 @@ def ngram_jaccard_groups(
 
     links = verified("links", first)
     labels = scratch.save("labels", components(links).select("node.a", "node.b", "component"))
-    placed = shared.join(labels, ["a", "b"], "left").withColumn("component", F.coalesce("component", F.struct("a", "b")))
+    placed = shared.join(_sized(labels), ["a", "b"], "left").withColumn("component", F.coalesce("component", F.struct("a", "b")))
     placed = scratch.save("placed", placed)
     scratch.drop("shared", "labels")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("members"))
     mains = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("entries"))
     mains = mains.where("parts > 1").select("token", F.col("main.component").alias("main"), (F.col("entries") > hot_entries).alias("hot"))
     mains = scratch.save("mains", mains)
-    open_ = scratch.save("open", placed.join(mains, "token").withColumn("lone", need <= 1))
+    open_ = scratch.save("open", placed.join(_sized(mains), "token").withColumn("lone", need <= 1))
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (_node("x") < _node("y")))
 
     def met(left: DataFrame, *key: str) -> DataFrame:
