@@ -48,6 +48,51 @@ def test_ngram_join(odd, none):
     assert ngram_join.ngram_jaccard_groups(none).count() == 0
 
 
+def test_ngram_join_of_one_id_with_two_texts(spark):
+    """Text A of id 5 links to id 3; text B of id 5 is also the text of id 12 and links with nothing else."""
+    a, b = prose(1, 80), prose(2, 80)
+    rows = spark.createDataFrame([(3, a + " end"), (5, a), (5, b), (12, b)], "doc_id long, text string")
+    got = ngram_join.ngram_jaccard_groups(rows, n_words=3, num=90).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["leads"]) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (12, 5, False)]
+
+
+@pytest.mark.parametrize("hot_entries", [2, 1_000_000])
+def test_ngram_join_of_a_hot_ngram_over_many_components(spark, hot_entries):
+    """Texts that share a few n-grams with all others, and links among some: the way by pairs of n-grams finds the same ones."""
+    r = random.Random(9)
+    shared = [f"all{i} of{i} them{i}" for i in range(6)]
+    rows = []
+    for i in range(60):
+        own = " ".join(f"w{i}x{k}" for k in range(12 + i % 5))
+        rows.append((i, " ".join([own, *r.sample(shared, 3)])))
+        if i % 3 == 0:
+            rows.append((500 + i, rows[-1][1] + " more"))
+    rows.append((900, "one"))
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(max(1, len(t.split()) - 2))} for i, t in rows}
+    got = ngram_join.ngram_jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), n_words=3, num=60, hot_entries=hot_entries).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == groups_of(sets, 60)
+
+
+def test_unlinked_texts_under_one_hot_ngram_do_not_meet(spark):
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), *(F.concat(F.lit(f"w{k}x"), "id", F.lit(" ")) for k in range(4))).alias("text"))
+    got = ngram_join.ngram_jaccard_groups(rows, n_words=3, num=50, den=100)
+    assert got.where("component_id <> doc_id or n_links > 0 or n_shingles <> 5").count() == 0
+
+
+def groups_of(sets, num):
+    """The smallest id reachable by links, by comparing all pairs."""
+    group = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(group[a], group[b])
+            changed |= group[a] != low or group[b] != low
+            group[a] = group[b] = low
+    return group
+
+
 def test_ngram_join_of_many_near_copies(spark):
     r, rows = random.Random(5), []
     base = prose(3, 120).split()
@@ -58,15 +103,7 @@ def test_ngram_join_of_many_near_copies(spark):
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, prose(100 + i, 60)) for i in range(30)]
     sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
-    group = {i: i for i in sets}
-    changed = True
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
-    while changed:
-        changed = False
-        for a, b in links:
-            low = min(group[a], group[b])
-            changed |= group[a] != low or group[b] != low
-            group[a] = group[b] = low
+    group = groups_of(sets, 90)
     got = ngram_join.ngram_jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), n_words=3, num=90).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == group
 
@@ -81,6 +118,8 @@ def test_components(spark):
 def test_language(odd, none):
     out = {r["doc"]["doc_id"]: r for r in language_id.identify(odd, odd).collect()}
     assert [out[i]["lang_pred"] for i in (0, 1, 2, 11, 4)] == ["und"] * 4 + ["en"]
+    same = odd.where("doc_id = 8").withColumn("lang", F.explode(F.array(F.lit("zz"), F.lit("aa"), F.lit("mm"))))
+    assert {r["lang_pred"] for r in language_id.identify(odd, same).where("score > 0").collect()} == {"aa"}  # the first by name of equal distances
     assert language_id.identify(odd, none).where("lang_pred <> 'und' or score <> 0").count() == 0
     assert language_id.identify(none, odd).count() == 0
 
@@ -95,6 +134,9 @@ def test_secrets(spark, odd, none):
     row = found.where("version.doc_id = 9").select(secrets.joined(F.col("spans")).alias("s"), secrets.redacted(F.col("version.text"), F.col("spans")).alias("r")).first()
     assert (row["s"], row["r"]) == ("assign:13:28", "été ünï 漢字 \U0001f600 [ASSIGN]")
     assert ledger.scan(none, "doc_id", "text") == 0
+    spark.read.parquet(ledger.folder).write.mode("append").parquet(ledger.folder)  # as two runs at once would
+    again = ledger.findings(odd, "text").where("version.doc_id = 9").select(secrets.joined(F.col("spans")).alias("s")).first()
+    assert again["s"] == row["s"]
 
 
 def test_a_new_rule_version_scans_all_blobs_again_and_no_other_rule(spark):
@@ -112,13 +154,17 @@ def test_a_new_rule_version_scans_all_blobs_again_and_no_other_rule(spark):
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([("i1", "ALPHA-one; beta two"), ("i2", None), (None, "漢字"), ("i3", prose(2, 40)), ("i1", "ALPHA-one; beta two")], "item_id string, text string")
     docs = odd.unionByName(spark.createDataFrame([(50, "x alpha one, BETA two y alpha one beta", *[None] * 7)], SCHEMA))
-    for block in (10, 1_000_000):
-        out = {r["doc"]["doc_id"]: r for r in decontaminate.contamination(docs, items, block_bytes=block).collect()}
+    large = spark.createDataFrame([(f"j{i}", " ".join(f"w{i}x{k}" for k in range(12))) for i in range(16_000)], items.schema)
+    assert large.agg(F.sum(F.length("text"))).first()[0] > 1_200_000
+    for benchmark in (items, items.unionByName(large)):
+        out = {r["doc"]["doc_id"]: r for r in decontaminate.contamination(docs, benchmark).collect()}
         assert (out[50]["n_words"], out[50]["n_hit"], out[50]["item_ids"]) == (9, 4, ["i1"])
         assert [(s["start"], s["end"]) for s in out[50]["spans"]] == [(2, 21)]
         assert out[9]["item_ids"] == [""] and out[9]["n_hit"] == 1
         assert out[8]["n_hit"] == 40 and out[8]["item_ids"] == ["i3"]
         assert [out[i]["n_words"] for i in (0, 1, 2, 11)] == [0] * 4
+    with pytest.raises(ValueError, match="bytes of text"):
+        decontaminate.contamination(docs, items, max_benchmark_bytes=10)
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(none, items).count() == 0
 
@@ -401,6 +447,17 @@ def test_pipeline_over_empty_documents(spark, data, none):
         assert out.count() == 0
 
 
+def test_pipeline_stages_with_clashing_columns(spark, data, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit("x") for c in ("Domain", "n_tokens", "key", "text_id", "doc", "clean")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        if name == "mixing":
+            assert sorted(out.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "key", "text_id", "doc", "clean", "domain", "n_tokens", "epochs"])
+        else:
+            assert out.columns == docs.columns and out.where("key <> 'x' or doc <> 'x' or clean <> 'x'").count() == 0
+        assert out.count() > 0
+
+
 def test_pipeline_stages_over_odd_documents(spark, data, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
