@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewindow.operators import learning
-from tidewindow.plans.inference import predict_frames, training_windows
+from tidewindow.plans.inference import evaluated, label_free_cache, multiscale_cache, predict_frames, training_windows
 from tidewindow.plans.search import nested_evaluation, pair_search
 from tidewindow.schema import JOINTS
 
@@ -41,3 +41,25 @@ def test_nested_selection_resumes_and_prefers_the_useful_setting(spark, tmp_path
     assert {r["candidate_index"] for r in choices.collect()} == {0}
     assert result.where("held_out_subject is null").first()["accuracy"] == 1.0
     rows.unpersist()
+
+
+def test_window_caches_and_optional_labels(spark, tmp_path):
+    t = F.col("id")
+    poses = spark.range(90).select((t % 2).cast("int").alias("subject_id"), F.floor(t / 2).alias("pos"), F.lit("Walking").alias("label"), *((t % 13 + i).cast("double").alias(f"{j}_{a}") for i, j in enumerate(JOINTS) for a in "xy"))
+    made = []
+
+    def source():
+        made.append(1)
+        return poses
+
+    folder = str(tmp_path)
+    for there in (False, True):
+        rows, hit = label_free_cache(spark, folder, {"v": 1}, source, "C", 20, 10)
+        assert hit is there and rows.where("label is not null").count() == 0 and rows.groupBy("subject_id").count().count() == 2
+    assert len(made) == 1 and label_free_cache(spark, folder, {"v": 2}, source, "C", 20, 10)[1] is False
+    rows, hit = multiscale_cache(spark, folder, {"v": 1}, source, (10, 20), 10)
+    got = {(r["window_size"], r["start_pos"]) for r in rows.select("window_size", "start_pos").distinct().collect()}
+    assert not hit and got == {(10, s) for s in (0, 10, 20, 30, 35)} | {(20, s) for s in (0, 10, 20, 25)}
+    told = poses.select("subject_id", "pos", F.lit("Walking").alias("label"))
+    assert evaluated(told, None, ["Walking"], []) is None and evaluated(told, poses.withColumn("label", F.lit("None")), ["Walking"], []) is None
+    assert evaluated(told, poses, ["Walking"], []).first()["accuracy"] == 1.0

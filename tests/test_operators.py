@@ -134,6 +134,25 @@ def test_decoding_in_blocks_is_decoding_in_one(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_all_settings_are_decoded_as_one_by_one(spark, block):
+    rng = np.random.default_rng(4)
+    t, i = rng.dirichlet([1, 1, 1], 3), rng.dirichlet([1, 1, 1])
+    e = {s: rng.dirichlet([1, 1, 1], n) for s, n in ((1, 3), (2, 30))}
+    g = {s: rng.dirichlet([1, 1], len(own)) for s, own in e.items()}
+    rows = [(s, p, e[s][p].tolist(), g[s][p].tolist(), "A") for s in e for p in range(len(e[s]))]
+    f = spark.createDataFrame(rows, "subject_id int, pos long, probs array<double>, gate array<double>, truth string")
+    out = decode.decode_grid(f.select("subject_id", "pos", "probs"), f.select("subject_id", "pos", F.col("gate").alias("probs")), f.select("subject_id", "pos", "truth"), t, i, "ABC", "B", (0.0, 1.0), (0.0, 0.5, 2.0), block=block)
+    got = {(r["alpha"], r["strength"], r["subject_id"], r["pos"]): r["label"] for r in out.collect()}
+    want = {}
+    for alpha in (0.0, 1.0):
+        for s in e:
+            fused = e[s] * np.maximum(g[s][:, [0, 1, 0]], 1e-12) ** alpha
+            for strength in (0.0, 0.5, 2.0):
+                want |= {(alpha, strength, s, p): "ABC"[k] for p, k in enumerate(decode.viterbi(fused / fused.sum(axis=1, keepdims=True), t, i, strength))}
+    assert got == want
+
+
 def test_probabilities_are_checked(spark):
     df = spark.createDataFrame([([0.0, 0.0],)], "p array<double>")
     with pytest.raises(SparkRuntimeException, match="positive sum"):
@@ -160,10 +179,16 @@ def test_a_leak_is_refused(spark):
 
 def test_a_held_out_score_cannot_win(spark):
     rows = [("1_2", 0, 3, 0.6), ("1_3", 0, 2, 0.6), ("2_3", 0, 1, 0.6), ("1_2", 1, 3, 0.5), ("1_3", 1, 2, 0.5), ("2_3", 1, 1, 0.5), ("1_2", 1, 5, 0.99)]
+    others = [("1_2", 0, 5), ("1_3", 0, 5), ("1_3", 1, 5), ("2_3", 0, 5), ("2_3", 1, 5), *((f"{a}_5", c, v) for a in (1, 2, 3) for v in (1, 2, 3) if a != v for c in (0, 1))]
+    rows += [(*o, 0.1) for o in others]
     s = spark.createDataFrame([(*r, r[3], r[3]) for r in rows], "train_subjects string, candidate_index int, validation_subject int, accuracy double, macro_f1 double, abnormal_f1 double")
     subjects = spark.createDataFrame([(i,) for i in (1, 2, 3, 5)], "subject_id int")
     best = {r["outer_subject"]: r["candidate_index"] for r in selection.outer_choices(s, selection.inner_split_table(subjects)).collect()}
     assert best[5] == 0
+    with pytest.raises(ValueError, match="incomplete"):
+        selection.outer_choices(s.where("accuracy <> 0.99"), selection.inner_split_table(subjects))
+    with pytest.raises(ValueError, match="too many"):
+        selection.unordered_pairs(spark.range(500).select(F.col("id").alias("subject_id")))
 
 
 def test_grid_sample_is_stable(spark):
@@ -194,6 +219,26 @@ def test_resampling_and_mirroring(spark):
     assert twice == p.orderBy("pos").select(*COORDS).collect()
 
 
+def test_noise_and_dropout(spark):
+    p = pose(spark, 400)
+    out = learning.noisy(p, 0.0, 0.25, 7)
+    gone = out.select(*((F.col(c) == 0).cast("int").alias(c) for c in COORDS[:2])).agg(F.avg(COORDS[0]), F.avg(COORDS[1])).first()
+    assert gone[0] == gone[1] and 0.15 < gone[0] < 0.35  # a joint goes as a whole
+    moved = learning.noisy(p, 0.5, 0.0, 7).select("pos", F.col(COORDS[0]).alias("v")).join(p.select("pos", COORDS[0]), "pos")
+    assert 0.4 < moved.agg(F.stddev_pop(F.col("v") - F.col(COORDS[0]))).first()[0] < 0.6
+    assert learning.noisy(p, 0.5, 0.1, 7).orderBy("pos").collect() == learning.noisy(p, 0.5, 0.1, 7).orderBy("pos").collect()
+
+
+def test_spectral_features_of_odd_windows(spark):
+    rows = [("none", 0, None), ("one", 0, 3.0), *(("zeros", i, 0.0) for i in range(5)), *(("flat", i, 2.0) for i in range(8)), *(("wave", i, math.sin(2 * math.pi * i / 8)) for i in range(64)), ("gap", 0, 1.0), ("gap", 1, None), ("gap", 2, -1.0)]
+    long = spark.createDataFrame([(1, 0, s, p, v) for s, p, v in rows], "subject_id int, start_pos int, signal string, pos long, x double")
+    got = {r["signal"]: r for r in features.spectral(long, 16.0).collect()}
+    assert got["none"]["fundamental_frequency"] is None and got["zeros"]["spectral_centroid"] == got["flat"]["max_power"] == got["one"]["spectral_entropy"] == 0
+    assert got["wave"]["fundamental_frequency"] == 2.0 == got["wave"]["max_frequency"]
+    lags = {r["signal"]: r["autocorrelation"] for r in features.autocorrelation(long).collect()}
+    assert (lags["none"], lags["one"], lags["wave"], lags["gap"]) == (0, 1, 2, 1)
+
+
 def test_summaries_of_one_value(spark):
     r = spark.createDataFrame([(1, 0, "s", 0, 2.0)], "subject_id int, start_pos int, signal string, pos long, x double")
     row = features.summaries(r).first()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewindow.functions.expressions import argmax, group_fusion
 from tidewindow.operators.frames import in_order
+from tidewindow.storage import new_folder
 
 FLOOR = 1e-12
 #: Positions of a subject that one task decodes at a time, and the unit of logarithms.
@@ -56,107 +56,126 @@ def _units(p: np.ndarray, strength: float = 1.0) -> np.ndarray:
 
 
 def _forward(emit: np.ndarray, move: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The predecessors of each class at each frame, and the scores at the last one, from the scores before the first."""
-    back = np.zeros(emit.shape, dtype=np.int64)
+    """The predecessors of each class at each frame for each strength, and the scores at the last one, from the scores before the first."""
+    back = np.zeros((len(emit), *score.shape), dtype=np.int64)
     for t in range(len(emit)):
-        reached = score[:, None] + move
-        back[t] = reached.argmax(axis=0)
-        score = reached.max(axis=0) + emit[t]
+        reached = score[:, :, None] + move
+        back[t] = reached.argmax(axis=1)
+        score = reached.max(axis=1) + emit[t]
     return back, score
 
 
-def _backward(back: np.ndarray, end: int) -> np.ndarray:
-    """The class before each frame, from the class at the last one."""
-    path = np.empty(len(back), dtype=np.int64)
+def _backward(back: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The class before each frame for each strength, from the classes at the last one."""
+    path, each = np.empty(back.shape[:2], dtype=np.int64), np.arange(len(end))
     for t in range(len(back) - 1, -1, -1):
-        path[t] = end = back[t, end]
+        path[t] = end = back[t, each, end]
     return path
 
 
+def _scaled(transition: np.ndarray, initial: np.ndarray, strengths: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of transitions and of first classes, scaled by each strength."""
+    return np.stack([_units(transition, s) for s in strengths]), np.stack([_units(initial, s) for s in strengths])
+
+
+def _best_paths(emissions: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The path of class indices of each strength, frames by strengths."""
+    emit = _units(emissions)
+    back, score = _forward(emit[1:], move, emit[0] + first)
+    end = score.argmax(axis=1)
+    return np.vstack([_backward(back, end), end])
+
+
 def viterbi(emissions: np.ndarray, transition: np.ndarray, initial: np.ndarray, strength: float) -> np.ndarray:
     """The most probable path of class indices; ``strength`` scales the logarithms of transition and initial probabilities.
 
     Of equally good predecessors, and of equally good ends, the lowest class is taken.
     """
-    emit = _units(emissions)
-    back, score = _forward(emit[1:], _units(transition, strength), emit[0] + _units(initial, strength))
-    end = score.argmax()
-    return np.append(_backward(back, end), end)
+    return _best_paths(emissions, *_scaled(transition, initial, [strength]))[:, 0]
 
 
-def _paths(rows: DataFrame, keys: Sequence[str], transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], block: int) -> DataFrame:
-    """``rows(keys..., strength, pos, probs)`` without ``probs``, with ``label`` and ``confidence``: the path :func:`viterbi` finds for each of ``keys``.
+def _paths(rows: DataFrame, keys: Sequence[str], transition: np.ndarray, initial: np.ndarray, strengths: Sequence[float], classes: Sequence[str], block: int) -> DataFrame:
+    """``rows(keys..., pos, probs)`` without ``probs``, with ``strength``, ``label`` and ``confidence``: the paths :func:`viterbi` finds for each of ``keys`` at each strength.
 
-    A sequence is cut into blocks of ``pos``, and no task holds more than one of them. Each block's best scores from every class before it to
-    every class at its end are found in parallel; chaining these gives the scores that enter each block. From those a second pass finds the class
+    A sequence is cut into blocks of ``pos``, and no task holds more than one of them. Where no sequence has more than one, its path is found at once. Else each block's best
+    scores from every class before it to every class at its end are found in parallel; chaining these gives the scores that enter each block. From those a second pass finds the class
     before the block for each class at its end; chaining these gives the ends, from which the last pass follows each block's path.
     """
-    k, names = len(classes), np.array(list(classes), dtype=object)
-    keys = [*keys, "strength"]
-    by = [*keys, "block"]
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    rows = rows.withColumn("block", F.floor(F.col("pos") / block)).checkpoint()
-    typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    carried = [c for c in rows.columns if c not in ("block", "probs")]
-    out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried) + ", label string, confidence double"
+    k, n, names = len(classes), len(strengths), np.array(list(classes), dtype=object)
+    move, first = _scaled(transition, initial, strengths)
+    carried = [c for c in rows.columns if c != "probs"]
+    out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried) + ", strength double, label string, confidence double"
 
-    def ordered(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    def ordered(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         g = g.sort_values("pos", kind="stable")
-        emissions, strength = np.stack(g["probs"].to_numpy()), float(g["strength"].iat[0])
-        return g, emissions, _units(transition, strength), _units(initial, strength)
+        return g, np.stack(g["probs"].to_numpy())
+
+    def told(g: pd.DataFrame, emissions: np.ndarray, found: np.ndarray) -> pd.DataFrame:
+        """A row for each frame and strength."""
+        at = np.arange(len(found))
+        return pd.concat([g[carried].assign(strength=float(s), label=names[found[:, i]], confidence=emissions[at, found[:, i]]) for i, s in enumerate(strengths)])
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        g, emissions = ordered(g)
+        return told(g, emissions, _best_paths(emissions, move, first))
+
+    rows = rows.withColumn("block", F.floor(F.col("pos") / block))
+    spark, table = rows.sparkSession, new_folder(rows.sparkSession, "decode")  # read several times, worked out once
+    rows.write.parquet(table)
+    rows = spark.read.schema(rows.schema).parquet(table)
+    if rows.where("block > 0").isEmpty():
+        return rows.drop("block").groupBy(*keys).applyInPandas(whole, out)
+    by = [*keys, "block"]
+    typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def matrix(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        _, emissions, move, first = ordered(g)
-        emit = _units(emissions)
-        best = np.vstack([move, first]) + emit[0]  # the last row is for a block that opens its sequence
+        emit = _units(ordered(g)[1])
+        best = np.concatenate([move, first[:, None, :]], axis=1) + emit[0]  # the last row is for a block that opens its sequence
         for e in emit[1:]:
-            best = (best[:, :, None] + move).max(axis=1) + e
+            best = (best[:, :, :, None] + move[:, None, :, :]).max(axis=2) + e
         return pd.DataFrame([[*key, best.ravel().tolist()]], columns=[*by, "best"])
 
     def chained(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g, entries, score = g.sort_values("block"), [], None
         for best in g["best"]:
-            best = np.asarray(best).reshape(k + 1, k)
-            entries.append([] if score is None else score.tolist())
-            score = best[k] if score is None else (score[:, None] + best[:k]).max(axis=0)
-            score = score - score.max()
-        ends = [-1] * (len(g) - 1) + [int(score.argmax())]
+            best = np.asarray(best).reshape(n, k + 1, k)
+            entries.append([] if score is None else score.ravel().tolist())
+            score = best[:, k] if score is None else (score[:, :, None] + best[:, :k]).max(axis=1)
+            score = score - score.max(axis=1, keepdims=True)
+        ends = [[-1] * n] * (len(g) - 1) + [score.argmax(axis=1).tolist()]
         return g[by].assign(entry=entries, end=ends)
 
     def traced(g: pd.DataFrame, entry: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
         """The block's rows, their emissions, and the predecessors of its frames; of an opening block, from its second frame on."""
-        g, emissions, move, first = ordered(g)
+        g, emissions = ordered(g)
         emit = _units(emissions)
-        back, _ = _forward(emit, move, entry) if len(entry) else _forward(emit[1:], move, emit[0] + first)
+        back, _ = _forward(emit, move, entry.reshape(n, k)) if len(entry) else _forward(emit[1:], move, emit[0] + first)
         return g, emissions, back
 
     def befores(key: tuple, g: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
         _, _, back = traced(g, np.asarray(at["entry"].iat[0], dtype=np.int64))
-        before = np.arange(k)
+        before = np.tile(np.arange(k), (n, 1))
         for b in back[::-1]:
-            before = b[before]
-        return pd.DataFrame([[*key, at["entry"].iat[0], at["end"].iat[0], before.tolist()]], columns=[*by, "entry", "end", "before"])
+            before = np.take_along_axis(b, before, axis=1)
+        return pd.DataFrame([[*key, at["entry"].iat[0], at["end"].iat[0], before.ravel().tolist()]], columns=[*by, "entry", "end", "before"])
 
     def ended(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g, ends = g.sort_values("block", ascending=False), []
-        end = int(g["end"].iat[0])
+        end = np.asarray(g["end"].iat[0])
         for before in g["before"]:
-            ends.append(end)
-            end = int(before[end])
+            ends.append(end.tolist())
+            end = np.asarray(before).reshape(n, k)[np.arange(n), end]
         return g[[*by, "entry"]].assign(end=ends)
 
     def path(g: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        entry, end = np.asarray(at["entry"].iat[0], dtype=np.int64), int(at["end"].iat[0])
+        entry, end = np.asarray(at["entry"].iat[0], dtype=np.int64), np.asarray(at["end"].iat[0])
         g, emissions, back = traced(g, entry)
-        found = np.append(_backward(back, end)[1 if len(entry) else 0 :], end)
-        return g[carried].assign(label=names[found], confidence=emissions[np.arange(len(found)), found])
+        return told(g, emissions, np.vstack([_backward(back, end)[1 if len(entry) else 0 :], end]))
 
     blocks = rows.groupBy(*by)
-    entries = blocks.applyInPandas(matrix, f"{typed}, best array<long>").groupBy(*keys).applyInPandas(chained, f"{typed}, entry array<long>, end int")
-    told = blocks.cogroup(entries.groupBy(*by)).applyInPandas(befores, f"{typed}, entry array<long>, end int, before array<int>")
-    ends = told.groupBy(*keys).applyInPandas(ended, f"{typed}, entry array<long>, end int")
+    entries = blocks.applyInPandas(matrix, f"{typed}, best array<long>").groupBy(*keys).applyInPandas(chained, f"{typed}, entry array<long>, end array<int>")
+    seen = blocks.cogroup(entries.groupBy(*by)).applyInPandas(befores, f"{typed}, entry array<long>, end array<int>, before array<int>")
+    ends = seen.groupBy(*keys).applyInPandas(ended, f"{typed}, entry array<long>, end array<int>")
     return blocks.cogroup(ends.groupBy(*by)).applyInPandas(path, out)
 
 
@@ -168,17 +187,16 @@ def _likeliest(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 def decode(frames: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], strength: float, block: int = BLOCK) -> DataFrame:
     """``(subject_id, pos, label, confidence)``: each subject's path over ``frames(subject_id, pos, probs)``; confidence is the label's probability."""
-    rows = frames.select("subject_id", F.col("pos").cast("long").alias("pos"), "probs", F.lit(float(strength)).alias("strength"))
-    out = _paths(rows, ["subject_id"], transition, initial, classes, block) if strength else _likeliest(rows, classes)
+    rows = frames.select("subject_id", F.col("pos").cast("long").alias("pos"), "probs")
+    out = _paths(rows, ["subject_id"], transition, initial, [strength], classes, block) if strength else _likeliest(rows, classes)
     return out.select("subject_id", "pos", "label", "confidence")
 
 
 def decode_grid(frames: DataFrame, group: DataFrame, truth: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], abnormal: Sequence[str], alphas: Sequence[float], strengths: Sequence[float], block: int = BLOCK) -> DataFrame:
-    """``(alpha, strength, subject_id, pos, truth, label)``: every setting of gate and decoder over every subject."""
+    """``(alpha, strength, subject_id, pos, truth, label)``: every setting of gate and decoder over every subject, all strengths of a gate in one pass."""
     rows = frames.join(group.select("subject_id", "pos", F.col("probs").alias("gate")), ["subject_id", "pos"]).join(truth, ["subject_id", "pos"])
-    settings = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(s)).alias("strength")) for a in alphas for s in strengths)))
-    rows = rows.withColumn("s", settings).select("subject_id", "pos", "truth", "s.alpha", "s.strength", "probs", "gate")
-    rows = rows.withColumn("probs", group_fusion(F.col("probs"), F.col("gate"), F.col("alpha"), classes, abnormal)).drop("gate")
-    keys = ["alpha", "subject_id"]
-    out = _likeliest(rows.where("strength = 0"), classes).unionByName(_paths(rows.where("strength <> 0"), keys, transition, initial, classes, block))
+    rows = rows.withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas))))
+    fused = group_fusion(F.col("probs"), F.col("gate"), F.col("alpha"), classes, abnormal)
+    rows = rows.select("subject_id", F.col("pos").cast("long").alias("pos"), "truth", "alpha", fused.alias("probs"))
+    out = _paths(rows, ["alpha", "subject_id"], transition, initial, strengths, classes, block)
     return out.select("alpha", "strength", "subject_id", "pos", "truth", "label")

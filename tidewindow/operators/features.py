@@ -1,15 +1,20 @@
 """Features of a window of one signal, over rows ``(keys..., signal, pos, x)`` in long form.
 
 Long form keeps the plan narrow: a hundred signals with thirty features are one aggregate, not three thousand columns.
+Spectra and autocorrelations work on a window's values as an array, in Arrow batches of many windows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 GROUP = ("subject_id", "start_pos", "signal")
 SUMMARIES = ("mean", "std", "median", "iqr", "range", "slope", "energy", "q10", "q90")
@@ -117,104 +122,108 @@ def temporal(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP, neighbou
 
 def _ordered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys..., xs)``: the values of each window as an array in order of position."""
-    sorted_rows = F.sort_array(F.collect_list(F.struct("pos", "x")))
+    sorted_rows = F.sort_array(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("pos", "x"))))
     return rows.groupBy(*keys).agg(sorted_rows.alias("r")).select(*keys, F.transform("r", lambda r: r["x"]).alias("xs"))
 
 
+def _by_length(xs: pd.Series, work: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What ``work`` makes of the rows of equal length, each length as one matrix; an empty array for an empty row."""
+    sizes, out = xs.map(len).to_numpy(), [np.empty(0)] * len(xs)
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        found = work(np.stack([np.asarray(xs.iat[i], dtype=np.float64) for i in at]))
+        for i, row in zip(at, found, strict=True):
+            out[i] = row
+    return out
+
+
+def _autocorrelation(x: np.ndarray) -> np.ndarray:
+    """For each row the first lag whose autocorrelation is below 1/e, lag by lag for the rows that have none yet."""
+    n = x.shape[1]
+    c = x - x.mean(axis=1, keepdims=True)
+    limit, out = (c * c).sum(axis=1) / math.e, np.full(len(x), n)
+    open_ = np.arange(len(x))
+    for lag in range(1, n):
+        found = (c[open_, : n - lag] * c[open_, lag:]).sum(axis=1) < limit[open_]
+        out[open_[found]] = lag
+        open_ = open_[~found]
+        if not len(open_):
+            break
+    return out[:, None]
+
+
+@F.pandas_udf(LongType())
+def _first_lags(xs: pd.Series) -> pd.Series:
+    return pd.Series([int(v[0]) if len(v) else 0 for v in _by_length(xs, _autocorrelation)])
+
+
 def autocorrelation(rows: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
-    """``autocorrelation``: the first lag whose autocorrelation is below 1/e, the window's length if there is none."""
-    arrays = _ordered(rows, keys)
-    mean = F.aggregate("xs", F.lit(0.0), lambda acc, v: acc + v) / F.size("xs")
-    arrays = arrays.withColumn("__mean", mean).select(*keys, F.transform("xs", lambda v: v - F.col("__mean")).alias("c"))
+    """``autocorrelation``: the first lag whose autocorrelation is below 1/e, the window's length if there is none. Missing values are left out."""
+    return _ordered(rows, keys).select(*keys, _first_lags("xs").alias("autocorrelation"))
 
-    def at(lag: Column) -> Column:
-        ahead = F.slice("c", lag + 1, F.size("c") - lag)
-        products = F.zip_with(F.slice("c", F.lit(1), F.size("c") - lag), ahead, lambda a, b: a * b)
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
-    lags = F.filter(F.sequence(F.lit(1), F.size("c") - 1), lambda k: at(k) < at(F.lit(0)) / math.e)
-    first = F.when(F.size("c") > 1, F.coalesce(F.get(lags, F.lit(0)), F.size("c"))).otherwise(F.size("c"))
-    return arrays.select(*keys, first.cast("long").alias("autocorrelation"))
+def _lines(x: np.ndarray) -> np.ndarray:
+    """Magnitudes of the real Fourier transform of each row."""
+    return np.abs(np.fft.rfft(x, axis=1))
 
 
-def spectrum(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP, centred: bool = False, window: bool = False) -> DataFrame:
-    """``(keys..., k, frequency, magnitude, power)`` of the real Fourier transform, k from 0 to half the length.
+@F.pandas_udf(ArrayType(DoubleType()))
+def _magnitudes(xs: pd.Series) -> pd.Series:
+    return pd.Series(_by_length(xs, _lines))
 
-    ``centred`` takes the mean off first; ``window`` divides by the deviation and applies a Hann window.
-    """
-    arrays = _ordered(rows, keys).withColumn("n", F.size("xs"))
-    if centred or window:
-        arrays = arrays.withColumn("__mean", F.aggregate("xs", F.lit(0.0), lambda acc, v: acc + v) / F.col("n"))
-        arrays = arrays.withColumn("xs", F.transform("xs", lambda v: v - F.col("__mean"))).drop("__mean")
-    if window:
-        squares = F.aggregate("xs", F.lit(0.0), lambda acc, v: acc + v * v)
-        arrays = arrays.withColumn("__std", F.sqrt(squares / F.col("n")))
-        hann = lambda i: 0.5 - 0.5 * F.cos(2 * math.pi * i / F.col("n"))
-        arrays = arrays.withColumn("xs", F.transform("xs", lambda v, i: F.when(F.col("__std") > 0, v / F.col("__std") * hann(i)).otherwise(0.0))).drop("__std")
-    turn = lambda k, i: 2 * math.pi * ((k * i) % F.col("n")) / F.col("n")
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int")),
-        lambda k: F.struct(
-            k.alias("k"),
-            F.aggregate(F.transform("xs", lambda v, i: v * F.cos(turn(k, i))), F.lit(0.0), lambda acc, v: acc + v).alias("re"),
-            F.aggregate(F.transform("xs", lambda v, i: v * F.sin(turn(k, i))), F.lit(0.0), lambda acc, v: acc + v).alias("im"),
-        ),
-    )
-    lines = arrays.select(*keys, "n", F.explode(parts).alias("p")).select(*keys, "n", "p.*")
-    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    return lines.select(*keys, "k", (F.col("k") * rate / F.col("n")).alias("frequency"), F.sqrt(power).alias("magnitude"), power.alias("power"))
 
+def spectrum(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP) -> DataFrame:
+    """``(keys..., k, frequency, magnitude, power)`` of the real Fourier transform, k from 0 to half the length. Missing values are left out."""
+    lines = _ordered(rows, keys).select(*keys, F.size("xs").alias("n"), F.posexplode(_magnitudes("xs")).alias("k", "magnitude"))
+    return lines.select(*keys, "k", (F.col("k") * rate / F.col("n")).alias("frequency"), "magnitude", (F.col("magnitude") * F.col("magnitude")).alias("power"))
 
-def _at_share(share: float, running: Column, total: Column) -> Column:
-    return F.min(F.when(running >= share * total, F.col("frequency")))
 
+def _spectral(x: np.ndarray, rate: float, share: float) -> np.ndarray:
+    """The eight features of each row, in the order of SPECTRAL; equal magnitudes are told apart from the twelfth digit of the largest one on only."""
+    n = x.shape[1]
+    f = np.arange(n // 2 + 1) * rate / n
+    none = np.zeros(len(x))
 
-def spectral(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP) -> DataFrame:
-    """Six features of the spectrum: frequencies at half and 95 % of the summed magnitude, centroid, spread, entropy, roll-off."""
-    lines = spectrum(rows, rate, keys)
-    own = Window.partitionBy(*keys)
-    m, f = F.col("magnitude"), F.col("frequency")
-    lines = lines.withColumns(
-        {
-            "__running": F.sum(m).over(_spectrum_order(keys)),
-            "__total": F.sum(m).over(own),
-            "__power": F.sum("power").over(own),
-            "__lines": F.count("*").over(own),
-        }
-    )
-    lines = lines.withColumn("__centroid", F.when(F.col("__total") > 0, F.sum(f * m).over(own) / F.col("__total")).otherwise(0.0))
-    share = F.try_divide(F.col("power"), F.col("__power"))
-    half, most = (_at_share(s, F.col("__running"), F.col("__total")) for s in (0.5, 0.95))
-    spread = F.sum((f - F.col("__centroid")) * (f - F.col("__centroid")) * m)
-    return lines.groupBy(*keys).agg(
-        most.alias("max_frequency"),
-        half.alias("median_frequency"),
-        F.max("__centroid").alias("spectral_centroid"),
-        F.coalesce(F.sum(F.when(share > 0, -share * F.log2(share))) / F.log2(F.max("__lines")), F.lit(0.0)).alias("spectral_entropy"),
-        most.alias("spectral_rolloff"),
-        F.coalesce(F.sqrt(F.try_divide(spread, F.max("__total"))), F.lit(0.0)).alias("spectral_spread"),
-    )
+    def steady(m: np.ndarray) -> np.ndarray:
+        top = m.max(axis=1, keepdims=True)
+        return np.where(top > 0, np.round(m / np.where(top > 0, top, 1), 12), 0) * top
+
+    centred = x - x.mean(axis=1, keepdims=True)
+    m = steady(_lines(centred))
+    peak = np.zeros(m.shape, dtype=bool)
+    peak[:, 1:] = (m[:, 1:] > m[:, :-1]) & (m[:, 1:] > np.column_stack((m[:, 2:], none - 1))) & (m[:, 1:] >= share * m.max(axis=1, keepdims=True))
+    fundamental = np.where(peak.any(axis=1), f[peak.argmax(axis=1)], 0)
 
+    std = np.sqrt((centred * centred).mean(axis=1, keepdims=True))
+    hann = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / n)
+    power = _lines(np.where(std > 0, centred / np.where(std > 0, std, 1), 0) * hann) ** 2
+    sides = np.where((np.arange(n // 2 + 1) == 0) | (np.arange(n // 2 + 1) * 2 == n), 1, 2)
+    max_power = (power * sides / (rate * 0.375 * n)).max(axis=1)  # the squares of a Hann window of n points sum to 3/8 n
 
-def _spectrum_order(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = _lines(x)
+    total, running = m.sum(axis=1), m.cumsum(axis=1)
+    some = np.where(total > 0, total, 1)
+    at = [np.where(total > 0, f[(running >= s * total[:, None] * (1 - 1e-12)).argmax(axis=1)], 0) for s in (0.95, 0.5)]
+    centroid = (f * m).sum(axis=1) / some
+    spread = np.sqrt(((f - centroid[:, None]) ** 2 * m).sum(axis=1) / some)
+    power = m * m
+    p = power / np.where(total > 0, power.sum(axis=1), 1)[:, None]
+    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1) / np.log2(len(f)) if len(f) > 1 else none
+    return np.column_stack((fundamental, max_power, at[0], at[1], centroid, entropy, at[0], spread))
 
 
-def fundamental_frequency(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP, share: float = 0.3) -> DataFrame:
-    """``fundamental_frequency``: the lowest peak above 0 of the centred spectrum that reaches ``share`` of its maximum, else 0."""
-    lines = spectrum(rows, rate, keys, centred=True)
-    order = Window.partitionBy(*keys).orderBy("k")
-    m = F.col("magnitude")
-    lines = lines.withColumns({"__before": F.lag(m).over(order), "__after": F.lead(m).over(order), "__max": F.max(m).over(Window.partitionBy(*keys))})
-    peak = (F.col("k") > 0) & (m > F.col("__before")) & (m > F.coalesce("__after", F.lit(-1.0))) & (m >= share * F.col("__max"))
-    return lines.groupBy(*keys).agg(F.coalesce(F.min(F.when(peak, F.col("frequency"))), F.lit(0.0)).alias("fundamental_frequency"))
+def spectral(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP, share: float = 0.3) -> DataFrame:
+    """Eight features of the spectrum of each window, in one pass over its values.
+
+    ``fundamental_frequency`` is the lowest peak above 0 of the centred spectrum that reaches ``share`` of its maximum, else 0; ``max_power`` the largest one-sided power
+    density of the standardised signal under one Hann window; then the frequencies at 95 % and at half of the summed magnitude, centroid, entropy,
+    roll-off (95 %) and spread. Missing values are left out; a window without values has nulls, one of zeros has zeros.
+    """
+    schema = ", ".join(f"{name} double" for name in SPECTRAL)
 
+    @F.pandas_udf(schema)
+    def features(xs: pd.Series) -> pd.DataFrame:
+        found = _by_length(xs, partial(_spectral, rate=rate, share=share))
+        return pd.DataFrame([v if len(v) else [None] * len(SPECTRAL) for v in found], columns=list(SPECTRAL), dtype="float64")
 
-def max_power(rows: DataFrame, rate: float, keys: Sequence[str] = GROUP) -> DataFrame:
-    """``max_power``: the largest one-sided power density of the standardised signal under one Hann window."""
-    lines = spectrum(rows, rate, keys, window=True)
-    n = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    lines = lines.join(n, list(keys))
-    # the squares of a Hann window of n points sum to 3/8 n
-    one_sided = F.when((F.col("k") == 0) | (F.col("k") * 2 == F.col("__n")), 1.0).otherwise(2.0)
-    return lines.groupBy(*keys).agg(F.max(F.col("power") * one_sided / (rate * 0.375 * F.col("__n"))).alias("max_power"))
+    return _ordered(rows, keys).select(*keys, features("xs").alias("f")).select(*keys, "f.*")

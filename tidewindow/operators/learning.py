@@ -147,8 +147,35 @@ def fit_perceptron(rows: DataFrame, features: Sequence[str], classes: Sequence[s
     return Pipeline(stages=stages).fit(index.transform(clean))
 
 
-def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
+@dataclass(frozen=True)
+class ClassMeans:
+    """The mean of each feature over each class's rows: classes times features numbers, in class order; None for a class without rows."""
+
+    means: tuple[tuple[float, ...] | None, ...]
+
+    def probs(self, features: Sequence[str]) -> Column:
+        """Weights exp(-mean squared difference), normalised; 0 for a class without rows."""
+        weights = []
+        for own in self.means:
+            if own is None:
+                weights.append(F.lit(0.0))
+                continue
+            apart = x.array_sum(F.zip_with(F.array(*features), F.array(*map(F.lit, own)), lambda a, b: (a - b) * (a - b)))
+            weights.append(F.exp(-apart / len(features)))
+        return x.normalised(F.array(*weights))
+
+
+def class_means(rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "label") -> ClassMeans:
+    """The nearest-mean model of rows with a label."""
+    found = {r[label]: tuple(r[1:]) for r in rows.where(F.col(label).isin(*classes)).groupBy(label).agg(*(F.avg(c) for c in features)).collect()}  # a row a class
+    return ClassMeans(tuple(found.get(c) for c in classes))
+
+
+def predict(model: PipelineModel | ClassMeans, rows: DataFrame, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Rows with ``probs`` in class order, ``pred`` and ``confidence``."""
+    if isinstance(model, ClassMeans):
+        told = rows.withColumn("probs", model.probs(features))
+        return told.withColumns({"pred": F.get(F.array(*map(F.lit, classes)), x.argmax(F.col("probs"))), "confidence": F.array_max("probs")})
     clean = rows.withColumns({c: x.finite(F.col(c).cast("double")) for c in features})
     probs = vector_to_array("__p")
     some = F.concat(probs, F.array_repeat(F.lit(0.0), F.greatest(F.lit(len(classes)) - F.size(probs), F.lit(0))))

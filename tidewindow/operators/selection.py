@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: How a mean score ranks: accuracy, worst accuracy, macro F1, abnormal F1, all descending.
+#: Subjects up to which splits are made: their number grows with its square, and that of their rows with its cube.
+MAX_SUBJECTS = 200
 RANKING = ("mean_accuracy", "least_accuracy", "mean_macro_f1", "mean_abnormal_f1")
 
 
-@dataclass(frozen=True)
-class Choice:
-    """A chosen setting with its mean scores."""
-
-    setting: Mapping[str, object]
-    scores: Mapping[str, float]
-
-
 # -- splits -----------------------------------------------------------------------------------------------------------
 
 
@@ -29,12 +22,6 @@ def leave_one_out(rows: DataFrame, held_out: int, subject: str = "subject_id") -
     return rows.where(F.col(subject) != held_out), rows.where(F.col(subject) == held_out)
 
 
-def folds(subjects: DataFrame) -> DataFrame:
-    """``(held_out_subject, subject_id)``: each subject's training subjects. ``subjects`` is a small table of distinct ids."""
-    held = subjects.select(F.col("subject_id").alias("held_out_subject"))
-    return held.join(subjects, F.col("held_out_subject") != F.col("subject_id"))
-
-
 def inner_splits(subjects: Sequence[int], outer: int) -> list[tuple[tuple[int, ...], int]]:
     """For an outer subject, each other subject as validation and the rest as training; at least three subjects must stay."""
     inner = sorted(set(subjects) - {outer})
@@ -43,9 +30,17 @@ def inner_splits(subjects: Sequence[int], outer: int) -> list[tuple[tuple[int, .
     return [(tuple(s for s in inner if s != v), v) for v in inner]
 
 
+def _few(subjects: DataFrame) -> DataFrame:
+    """The distinct subjects, or an error if there are too many to combine."""
+    s = subjects.select("subject_id").distinct()
+    if s.limit(MAX_SUBJECTS + 1).count() > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects: their splits are too many")
+    return s
+
+
 def inner_split_table(subjects: DataFrame) -> DataFrame:
     """``(outer_subject, validation_subject, train_subjects)`` for all outer subjects at once."""
-    s = subjects.select("subject_id").distinct()
+    s = _few(subjects)
     pairs = s.select(F.col("subject_id").alias("outer_subject")).join(
         s.select(F.col("subject_id").alias("validation_subject")), F.col("outer_subject") != F.col("validation_subject")
     )
@@ -55,7 +50,7 @@ def inner_split_table(subjects: DataFrame) -> DataFrame:
 
 def unordered_pairs(subjects: DataFrame) -> DataFrame:
     """``(a, b)`` with a before b."""
-    s = subjects.select("subject_id").distinct()
+    s = _few(subjects)
     return s.select(F.col("subject_id").alias("a")).join(s.select(F.col("subject_id").alias("b")), F.col("a") < F.col("b"))
 
 
@@ -112,14 +107,21 @@ def require_complete(scores: DataFrame, setting: Sequence[str], expected: int, g
     return scores
 
 
-def outer_choices(pair_scores: DataFrame, splits: DataFrame, setting: Sequence[str] = ("candidate_index",)) -> DataFrame:
+def outer_choices(pair_scores: DataFrame, splits: DataFrame, setting: Sequence[str] = ("candidate_index",), groups: Sequence[str] = ()) -> DataFrame:
     """The best setting of each outer subject, from scores of pairs that neither train nor validate on it.
 
-    ``pair_scores`` has ``train_subjects ("1_2"), validation_subject`` and metrics, ``splits`` is :func:`inner_split_table`.
+    ``pair_scores`` has ``train_subjects ("1_2"), validation_subject`` and metrics, ``splits`` is :func:`inner_split_table`, at most
+    MAX_SUBJECTS squared rows. A setting without exactly one score for each split of each outer subject is an error. ``groups`` are further columns, each of
+    whose values gets a choice of its own.
     """
     keyed = pair_scores.withColumn("train_subjects", parse_subjects(F.col("train_subjects")))
-    usable = keyed.join(F.broadcast(splits.withColumn("train_subjects", F.col("train_subjects").cast("array<int>"))), ["train_subjects", "validation_subject"])
-    return best(usable, setting, ["outer_subject"])
+    own = F.broadcast(splits.withColumn("train_subjects", F.col("train_subjects").cast("array<int>")))
+    usable = keyed.join(own, ["train_subjects", "validation_subject"])
+    sizes = {r["n"] for r in splits.groupBy("outer_subject").agg(F.count("*").alias("n")).select("n").distinct().collect()}
+    settings, outer = pair_scores.select(*groups, *setting).distinct().count(), splits.select("outer_subject").distinct().count()
+    if len(sizes) != 1 or usable.select(*groups, "outer_subject", *setting).distinct().count() != settings * outer:
+        raise ValueError("incomplete scores: a setting has none for an outer subject")
+    return best(require_complete(usable, [*groups, *setting], sizes.pop(), ["outer_subject"]), setting, ["outer_subject", *groups])
 
 
 def remaining(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

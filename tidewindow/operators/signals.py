@@ -35,16 +35,13 @@ ANGLES = {
     "angle_hip_l": ("left_shoulder", "left_hip", "left_knee"),
     "angle_hip_r": ("right_shoulder", "right_hip", "right_knee"),
 }
-POSTURE = ("angle_shoulder_tilt", "angle_torso", "com_x", "com_y", "pelvis_y", "head_vertical", "wrist_y_diff")
-MOTION = (
-    "vel_dist_lw_nose", "vel_dist_rw_nose", "vel_head_nod", "vel_left_wrist", "vel_right_wrist", "vel_left_ankle", "vel_right_ankle",
-    "vel_com", "vel_knee_angle", "vel_torso_angle", "vel_shoulder_tilt", "left_wrist_jerk", "right_wrist_jerk", "jerk_nose_y", "jerk_com",
-    "accel_left_wrist", "accel_right_wrist", "delta_knee_l_y", "delta_knee_r_y", "duck_proxy", "max_frame_jerk_rw", "min_dist_wrist_head",
-    "total_movement",
-)
-MASKS = (
-    "hand_near_head", "micro_bite", "strong_bite", "knee_flex", "knee_extend", "elbow_flex", "static_wrist", "low_motion", "ground_mask_l",
-    "ground_mask_r", "both_on_ground", "ratio_rwjerk_comjerk",
+OTHER_SIGNALS = (
+    "angle_shoulder_tilt", "angle_torso", "com_x", "com_y", "pelvis_y", "head_vertical", "wrist_y_diff", "vel_dist_lw_nose", "vel_dist_rw_nose",
+    "vel_head_nod", "vel_left_wrist", "vel_right_wrist", "vel_left_ankle", "vel_right_ankle", "vel_com", "vel_knee_angle", "vel_torso_angle",
+    "vel_shoulder_tilt", "left_wrist_jerk", "right_wrist_jerk", "jerk_nose_y", "jerk_com", "accel_left_wrist", "accel_right_wrist",
+    "delta_knee_l_y", "delta_knee_r_y", "duck_proxy", "max_frame_jerk_rw", "min_dist_wrist_head", "total_movement", "hand_near_head", "micro_bite",
+    "strong_bite", "knee_flex", "knee_extend", "elbow_flex", "static_wrist", "low_motion", "ground_mask_l", "ground_mask_r", "both_on_ground",
+    "ratio_rwjerk_comjerk",
 )
 FLOOR_DISTANCES = ("dist_lw_floor_norm", "dist_rw_floor_norm")
 SET_B = (
@@ -91,7 +88,7 @@ COMPACT_DISTANCES = {
 }
 # -- end of fixed values ----------------------------------------------------------------------------------------------
 
-POSE_SIGNALS = (*DISTANCES, *FLOOR_DISTANCES, *ANGLES, *POSTURE, *MOTION, *MASKS)
+POSE_SIGNALS = (*DISTANCES, *FLOOR_DISTANCES, *ANGLES, *OTHER_SIGNALS)
 
 
 def _flag(condition: Column) -> Column:

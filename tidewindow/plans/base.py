@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,12 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that ``spark.checkpoint.dir`` names, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 8) -> DataFrame:
     """Doubles whose last bits depend on the order of sums, rounded; -0 is 0."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
@@ -112,9 +104,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRED = f"{EV}, pr AS (SELECT * FROM (SELECT subject_id, pos, event_type AS truth, lag(event_type) OVER (PARTITION BY subject_id ORDER BY pos) AS pred FROM ev) WHERE pred IS NOT NULL)"
 
 
-def window_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def window_probs(spark: SparkSession, sf_dir: str, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
     """``subject_id, start_pos, end_pos, probs``: shares of the event types in a window, each counted once more."""
-    framed = frames_in_windows(frames(spark, sf_dir), SIZE, STRIDE)
+    framed = frames_in_windows(frames(spark, sf_dir), size, stride)
     counts = [(F.count_if(F.col("event_type") == t) + 1).cast("double") for t in TYPES]
     own = framed.groupBy("subject_id", "start_pos").agg((F.max("pos") + 1).alias("end_pos"), F.array(*counts).alias("probs"))
     return own
@@ -122,26 +114,42 @@ def window_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COUNTS = ", ".join(f"CAST(count(*) FILTER (event_type = '{t}') + 1 AS DOUBLE) AS c{i}" for i, t in enumerate(TYPES))
 _TOTAL = "(" + " + ".join(f"c{i}" for i in range(len(TYPES))) + ")"
-PROBS = f"""{EV}, {windows_sql(SIZE, STRIDE, False)}, {framed_sql()},
+
+
+def probs_sql(size: int = SIZE, stride: int = STRIDE) -> str:
+    """``wp(subject_id, start_pos, end_pos, p0, p1, ...)``."""
+    return f"""{EV}, {windows_sql(size, stride, False)}, {framed_sql()},
 wc AS (SELECT subject_id, start_pos, end_pos, {_COUNTS} FROM fr GROUP BY subject_id, start_pos, end_pos),
 wp AS (SELECT subject_id, start_pos, end_pos, {", ".join(f"c{i} / {_TOTAL} AS p{i}" for i in range(len(TYPES)))} FROM wc)"""
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``candidate_index, validation_subject, train_subjects`` and metrics, made of order lines."""
+PROBS = probs_sql()
+
+
+#: Each pair of four training subjects with each of the other two as validation.
+FOLDS = tuple((a, b, v) for a in range(1, 5) for b in range(a + 1, 5) for v in range(1, 5) if v not in (a, b))
+SCALES, THRESHOLDS, STRIDES = (60, 150, 300), (0.70, 0.85), (15, 30)
+
+
+def scores(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``candidate_index, validation_subject, train_subjects`` and metrics, made of order lines: each line falls to one of the twelve folds.
+
+    ``extra`` names further settings that lines are told apart by: ``scale``, ``threshold`` and ``stride``.
+    """
     li = table(spark, sf_dir, "lineitem")
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")) / (F.count("*") * 100.0)
+    number = (F.col("l_orderkey") + F.col("l_partkey") + F.col("l_suppkey")) % 12
     li = li.select(
         F.col("l_linenumber").alias("candidate_index"),
-        (F.col("l_suppkey") % 4 + 1).cast("int").alias("validation_subject"),
-        (F.col("l_partkey") % 4 + 1).cast("int").alias("other"),
-        (F.col("l_orderkey") % 4 + 1).cast("int").alias("another"),
+        F.get(F.array(*(F.struct(F.lit(v).alias("validation_subject"), F.lit(f"{a}_{b}").alias("train_subjects")) for a, b, v in FOLDS)), number.cast("int")).alias("fold"),
+        F.get(F.array(*map(F.lit, SCALES)), (F.col("l_suppkey") % 3).cast("int")).alias("scale"),
+        F.get(F.array(*map(F.lit, THRESHOLDS)), (F.col("l_partkey") % 2).cast("int")).alias("threshold"),
+        F.get(F.array(*map(F.lit, STRIDES)), (F.col("l_orderkey") % 2).cast("int")).alias("stride"),
         "l_discount",
         "l_tax",
         "l_quantity",
-    ).where("other < another and other <> validation_subject and another <> validation_subject")
-    pair = F.concat_ws("_", F.col("other").cast("string"), F.col("another").cast("string"))
-    return li.groupBy("candidate_index", "validation_subject", pair.alias("train_subjects")).agg(
+    )
+    return li.groupBy(*extra, "candidate_index", "fold.validation_subject", "fold.train_subjects").agg(
         cents("l_discount").alias("accuracy"), cents("l_tax").alias("macro_f1"), (cents("l_quantity") / 50).alias("abnormal_f1")
     )
 
@@ -150,8 +158,14 @@ def _cents(c: str) -> str:
     return f"CAST(sum(CAST(round({c} * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100.0::DOUBLE)"
 
 
-SCORES = f"""sc AS (
-  SELECT candidate_index, validation_subject, other || '_' || another AS train_subjects, {_cents("l_discount")} AS accuracy, {_cents("l_tax")} AS macro_f1, {_cents("l_quantity")} / 50 AS abnormal_f1
-  FROM (SELECT l_linenumber AS candidate_index, CAST(l_suppkey % 4 + 1 AS INTEGER) AS validation_subject, CAST(l_partkey % 4 + 1 AS INTEGER) AS other, CAST(l_orderkey % 4 + 1 AS INTEGER) AS another, l_discount, l_tax, l_quantity FROM lineitem)
-  WHERE other < another AND other <> validation_subject AND another <> validation_subject
-  GROUP BY candidate_index, validation_subject, other, another)"""
+def scores_sql(extra: Sequence[str] = ()) -> str:
+    """``sc``: the same in SQL."""
+    keys = ", ".join((*extra, "candidate_index", "validation_subject", "train_subjects"))
+    numbers = {"scale": (SCALES, "l_suppkey % 3"), "threshold": (THRESHOLDS, "l_partkey % 2"), "stride": (STRIDES, "l_orderkey % 2")}
+    more = "".join(f", [{', '.join(f'{v}::DOUBLE' if name == 'threshold' else str(v) for v in values)}][{place} + 1] AS {name}" for name, (values, place) in numbers.items())
+    return f"""sc AS (SELECT {keys}, {_cents("l_discount")} AS accuracy, {_cents("l_tax")} AS macro_f1, {_cents("l_quantity")} / 50 AS abnormal_f1
+  FROM (SELECT l_linenumber AS candidate_index, CAST([{", ".join(str(v) for *_, v in FOLDS)}][n + 1] AS INTEGER) AS validation_subject, [{", ".join(f"'{a}_{b}'" for a, b, _ in FOLDS)}][n + 1] AS train_subjects{more}, l_discount, l_tax, l_quantity
+    FROM (SELECT *, (l_orderkey + l_partkey + l_suppkey) % 12 AS n FROM lineitem)) GROUP BY {keys})"""
+
+
+SCORES = scores_sql()

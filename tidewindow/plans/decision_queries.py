@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,33 +17,44 @@ from tidewindow.operators import fusion as fu
 from tidewindow.operators import learning as ln
 from tidewindow.operators import metrics as mt
 from tidewindow.operators import selection as sl
+from tidewindow.plans import search
 from tidewindow.plans.base import (
-    BAD_TYPES, EV, POSE, PRED, PROBS, SCORES, TYPES, frames, poses, predictions, query, round_sql, rounded, scores, table, window_probs,
+    BAD_TYPES, EV, ORACLES, POSE, PRED, PROBS, SCORES, TYPES, frames, poses, predictions, probs_sql, query, round_sql, rounded, scores, scores_sql, table, window_probs,
 )
 from tidewindow.schema import COORDS
 from tidewindow.sources import files
 
 K = range(len(TYPES))
-_P = ", ".join(f"p{i}" for i in K)
 _TYPE_LIST = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 _BAD = ", ".join(f"'{t}'" for t in BAD_TYPES)
 
 # -- fusion -----------------------------------------------------------------------------------------------------------
 
-COVERED = f"""{PROBS}, fm AS (SELECT subject_id, pos, {", ".join(f"avg(p{i}) AS p{i}" for i in K)}, count(*) AS coverage FROM (SELECT w.*, unnest(range(start_pos, end_pos)) AS pos FROM wp w) GROUP BY subject_id, pos)"""
+def _covered(n: int) -> str:
+    return f"""fm AS (SELECT subject_id, pos, {", ".join(f"avg(p{i}) AS p{i}" for i in range(n))}, count(*) AS coverage FROM (SELECT w.*, unnest(range(start_pos, end_pos)) AS pos FROM wp w) GROUP BY subject_id, pos)"""
+
+
+COVERED = f"{PROBS}, {_covered(len(TYPES))}"
 
 
 def _nearest(c: str) -> str:
     return f"CASE WHEN rp IS NULL OR pos - lp <= rp - pos THEN coalesce(l_{c}, r_{c}) ELSE r_{c} END AS {c}"
 
 
-_FILLED = f"""{COVERED}, fj AS (SELECT e.subject_id, e.pos, {_P}, coverage FROM ev e LEFT JOIN fm USING (subject_id, pos)),
-fs AS (SELECT *, {", ".join(f"last_value(p{i} IGNORE NULLS) OVER up AS l_p{i}, first_value(p{i} IGNORE NULLS) OVER dn AS r_p{i}" for i in K)},
+def filled_sql(types: Sequence[str]) -> str:
+    """``fl(subject_id, pos, coverage, probs, label, confidence)`` of windows ``wp`` and frames ``ev``."""
+    n = range(len(types))
+    names = ", ".join(f"p{i}" for i in n)
+    return f"""{_covered(len(types))}, fj AS (SELECT e.subject_id, e.pos, {names}, coverage FROM ev e LEFT JOIN fm USING (subject_id, pos)),
+fs AS (SELECT *, {", ".join(f"last_value(p{i} IGNORE NULLS) OVER up AS l_p{i}, first_value(p{i} IGNORE NULLS) OVER dn AS r_p{i}" for i in n)},
   last_value(CASE WHEN coverage IS NOT NULL THEN pos END IGNORE NULLS) OVER up AS lp, first_value(CASE WHEN coverage IS NOT NULL THEN pos END IGNORE NULLS) OVER dn AS rp FROM fj
   WINDOW up AS (PARTITION BY subject_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), dn AS (PARTITION BY subject_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-ff AS (SELECT subject_id, pos, coalesce(coverage, 0) AS coverage, {", ".join(_nearest(f"p{i}") for i in K)} FROM fs),
-fp AS (SELECT subject_id, pos, coverage, [{", ".join(f"p{i} / ({' + '.join(f'p{j}' for j in K)})" for i in K)}] AS probs FROM ff),
-fl AS (SELECT *, {_TYPE_LIST}[list_position(probs, list_max(probs))] AS label, list_max(probs) AS confidence FROM fp)"""
+ff AS (SELECT subject_id, pos, coalesce(coverage, 0) AS coverage, {", ".join(_nearest(f"p{i}") for i in n)} FROM fs),
+fp AS (SELECT subject_id, pos, coverage, [{", ".join(f"p{i} / ({' + '.join(f'p{j}' for j in n)})" for i in n)}] AS probs FROM ff),
+fl AS (SELECT *, [{", ".join(f"'{t}'" for t in types)}][list_position(probs, list_max(probs))] AS label, list_max(probs) AS confidence FROM fp)"""
+
+
+_FILLED = f"{PROBS}, {filled_sql(TYPES)}"
 FRAME_LABELS = f"WITH {_FILLED}"
 
 
@@ -140,6 +153,27 @@ def scale_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.col("u")[0], 8).alias("first"), F.round(F.col("u")[3], 8).alias("fourth"))
 
 
+_SCALES = ((8, 4), (16, 8), (24, 12))
+
+
+def _scale_sql(i: int, size: int, stride: int) -> str:
+    return f"z{i} AS (WITH {probs_sql(size, stride)}, {filled_sql(TYPES)} SELECT subject_id, pos, probs FROM fl)"
+
+
+@query(
+    "e12_fused_scales",
+    f"""WITH {", ".join(_scale_sql(i, *s) for i, s in enumerate(_SCALES))}, u AS (SELECT subject_id, pos, [a.probs[i] * 0.2 + b.probs[i] * 0.6 + c.probs[i] * 0.2 FOR i IN range(1, {len(TYPES) + 1})] AS u
+  FROM z0 a JOIN z1 b USING (subject_id, pos) JOIN z2 c USING (subject_id, pos)), v AS (SELECT subject_id, pos, [round(w / list_sum(u), 12) FOR w IN u] AS p FROM u)
+SELECT subject_id, pos, {_TYPE_LIST}[list_position(p, list_max(p))] AS label, round(list_max(p), 8) AS confidence, CAST(1 AS BIGINT) AS coverage FROM v""",
+)
+def fused_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three sizes, put to frames one by one and fused by weights; equal probabilities are told from the twelfth digit on only."""
+    told = [window_probs(spark, sf_dir, *s) for s in _SCALES]
+    out = search.fused_scale_frames(told, (0.2, 0.6, 0.2), FUSION_WEIGHTS, frames(spark, sf_dir), TYPES)
+    out = fu.labelled(out.withColumn("probs", F.transform("probs", lambda p: F.round(p, 12))), TYPES)
+    return rounded(out.select("subject_id", "pos", "label", "confidence", "coverage"), ["confidence"])
+
+
 # -- decoding ---------------------------------------------------------------------------------------------------------
 
 _VALID = ("click", "error", "purchase", "view")
@@ -177,11 +211,62 @@ def viterbi_without_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["confidence"])
 
 
-@query("v1_viterbi")
+_UNITS = "CAST(round_even(ln(greatest({}, 1e-12)) * {} * 4294967296, 0) AS BIGINT)"
+
+
+def viterbi_sql(emissions: str, keys: str, types: Sequence[str]) -> str:
+    """``vp(keys, subject_id, strength, pos, cls)``: the best path over ``emissions(keys, subject_id, pos, probs, strength)``, forwards frame by frame and back again, with
+    the transitions of the labels of ``ev``."""
+    k, by = len(types) + 1, ", ".join(filter(None, (keys, "subject_id")))
+    return f"""sa AS (SELECT event_type AS label, lag(event_type) OVER (PARTITION BY subject_id ORDER BY pos) AS before FROM ev),
+dim AS (SELECT unnest([{", ".join(f"'{t}'" for t in types)}]) AS class, unnest(range(1, {k})) AS i),
+mv AS (SELECT before, label, count(*) AS n FROM sa WHERE before IS NOT NULL GROUP BY before, label), op AS (SELECT label, count(*) AS n FROM sa WHERE before IS NULL GROUP BY label),
+wm AS (SELECT a.class AS before, a.i AS bi, b.class, b.i, CAST(coalesce(n, 0) + 1 AS DOUBLE) AS w FROM dim a CROSS JOIN dim b LEFT JOIN mv ON mv.before = a.class AND mv.label = b.class),
+wi AS (SELECT i, CAST(coalesce(n, 0) + 1 AS DOUBLE) AS w FROM dim LEFT JOIN op ON op.label = class),
+pm AS (SELECT bi, i, w / sum(w) OVER (PARTITION BY bi) AS p FROM wm), pi AS (SELECT i, w / sum(w) OVER () AS p FROM wi),
+st_all AS (SELECT DISTINCT strength FROM {emissions}),
+md AS (SELECT strength, (SELECT list(u ORDER BY i) FROM (SELECT i, {_UNITS.format("p", "strength")} AS u FROM pi)) AS first,
+  (SELECT list(r ORDER BY bi) FROM (SELECT bi, list({_UNITS.format("p", "strength")} ORDER BY i) AS r FROM pm GROUP BY bi)) AS mv FROM st_all),
+em AS MATERIALIZED (SELECT {by}, pos, probs, e.strength, first, mv, [{_UNITS.format("p", "1")} FOR p IN probs] AS u FROM {emissions} e JOIN md USING (strength)),
+vt AS (
+  SELECT {by}, strength, pos, [u[i] + first[i] FOR i IN range(1, {k})] AS s, CAST([] AS BIGINT[]) AS b FROM em WHERE pos = 0
+  UNION ALL
+  SELECT {by}, strength, pos, [list_max(r[j]) + u[j] FOR j IN range(1, {k})], [list_position(r[j], list_max(r[j])) FOR j IN range(1, {k})]
+  FROM (SELECT {", ".join(f"e.{c}" for c in by.split(", "))}, e.strength, e.pos, e.u, [[v.s[i] + e.mv[i][j] FOR i IN range(1, {k})] FOR j IN range(1, {k})] AS r
+    FROM vt v JOIN em e ON {" AND ".join(f"e.{c} = v.{c}" for c in by.split(", "))} AND e.strength = v.strength AND e.pos = v.pos + 1)
+),
+vl AS (SELECT {by}, strength, max(pos) AS pos, arg_max(list_position(s, list_max(s)), pos) AS cls FROM vt GROUP BY {by}, strength),
+vp AS (
+  SELECT {by}, strength, pos, cls FROM vl
+  UNION ALL
+  SELECT {", ".join(f"p.{c}" for c in by.split(", "))}, p.strength, p.pos - 1, v.b[p.cls] FROM vp p JOIN vt v ON {" AND ".join(f"v.{c} = p.{c}" for c in by.split(", "))} AND v.strength = p.strength AND v.pos = p.pos WHERE p.pos > 0
+)"""
+
+
+_RECURSIVE = f"WITH RECURSIVE {_FILLED}"
+
+
+@query("v1_viterbi", f"{_RECURSIVE}, e1 AS (SELECT subject_id, pos, probs, 1.0::DOUBLE AS strength FROM fl), {viterbi_sql('e1', '', TYPES)} SELECT subject_id, pos, {_TYPE_LIST}[cls] AS label, round(probs[cls], 8) AS confidence FROM vp JOIN em USING (subject_id, strength, pos)")
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels smoothed by the transition model."""
     transition, initial = model_arrays(spark, sf_dir)
-    return dc.decode(frame_labels(spark, sf_dir).select("subject_id", "pos", "probs"), transition, initial, TYPES, 1.0)
+    out = dc.decode(frame_labels(spark, sf_dir).select("subject_id", "pos", "probs"), transition, initial, TYPES, 1.0)
+    return rounded(out, ["confidence"])
+
+
+#: Settings of gate and decoder that are searched.
+GATE_ALPHAS, DECODER_STRENGTHS = (0.0, 0.5, 1.0, 2.0), (0.0, 0.25, 0.5, 1.0, 2.0)
+
+
+def _grid_sql() -> str:
+    bad = [t in BAD_TYPES for t in TYPES]
+    gate = {True: " + ".join(f"probs[{i + 1}]" for i in K if bad[i]), False: " + ".join(f"probs[{i + 1}]" for i in K if not bad[i])}
+    fused = ", ".join(f"greatest(probs[{i + 1}] * power(greatest({gate[bad[i]]}, 1e-12), alpha), 1e-12)" for i in K)
+    alphas, strengths = (f"[{', '.join(f'{v}::DOUBLE' for v in x)}]" for x in (GATE_ALPHAS, DECODER_STRENGTHS))
+    return f"""{_RECURSIVE}, gs AS (SELECT a.alpha, s.strength FROM (SELECT unnest({alphas}) AS alpha) a, (SELECT unnest({strengths}) AS strength) s),
+gf AS (SELECT subject_id, pos, alpha, strength, [{fused}] AS g FROM fl CROSS JOIN gs), ge AS (SELECT subject_id, pos, alpha, strength, [v / list_sum(g) FOR v IN g] AS probs FROM gf), {viterbi_sql("ge", "alpha", TYPES)},
+pr AS (SELECT alpha, strength, subject_id, pos, event_type AS truth, {_TYPE_LIST}[cls] AS pred FROM vp JOIN ev USING (subject_id, pos))
+{{evaluate}}"""
 
 
 @query("v2_gate_decoder_grid")
@@ -192,8 +277,8 @@ def gate_decoder_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("probs")
     gate = own.select("subject_id", "pos", F.array(p[0] + p[3] + p[4], p[1] + p[2]).alias("probs"))
     truth = frames(spark, sf_dir).select("subject_id", "pos", F.col("event_type").alias("truth"))
-    told = dc.decode_grid(own, gate, truth, transition, initial, TYPES, BAD_TYPES, (0.0, 0.5, 1.0), (0.0, 0.5, 1.0))
-    return mt.evaluate(mt.counts(told, ["alpha", "strength"], pred="label"), TYPES, BAD_TYPES, ["alpha", "strength"])
+    told = dc.decode_grid(own, gate, truth, transition, initial, TYPES, BAD_TYPES, GATE_ALPHAS, DECODER_STRENGTHS)
+    return rounded(mt.evaluate(mt.counts(told, ["alpha", "strength"], pred="label"), TYPES, BAD_TYPES, ["alpha", "strength"]), ["macro_f1"])
 
 
 # -- evaluation -------------------------------------------------------------------------------------------------------
@@ -211,6 +296,9 @@ def _evaluate_sql(group: str = "", present: bool = False) -> str:
 coalesce(CAST({tp} AS DOUBLE) / nullif({said}, 0), 0) AS abnormal_precision, coalesce(CAST({tp} AS DOUBLE) / nullif({real}, 0), 0) AS abnormal_recall, coalesce(2.0::DOUBLE * {tp} / nullif({said} + {real}, 0), 0) AS abnormal_f1 FROM pr {by}"""
 
 
+ORACLES["v2_gate_decoder_grid"] = _grid_sql().replace("{evaluate}", _evaluate_sql("alpha, strength"))
+
+
 @query("a7_a9_evaluate", f"WITH {PRED} {_evaluate_sql('subject_id')}")
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each subject over all classes, rows without a true class left out."""
@@ -218,11 +306,12 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mt.evaluate(mt.counts(rows, ["subject_id"]), TYPES, BAD_TYPES, ["subject_id"]), ["macro_f1"])
 
 
-@query("a8_evaluate_present_classes", f"WITH {PRED} {_evaluate_sql('subject_id', True)}".replace("FROM pr GROUP", "FROM (SELECT * FROM pr WHERE pos < 4) pr GROUP"))
+@query("a8_evaluate_present_classes", f"WITH {PRED} {_evaluate_sql('subject_id, part', True)}".replace("FROM pr GROUP", "FROM (SELECT *, pos // 4 AS part FROM pr) pr GROUP"))
 def evaluate_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of each subject's first rows over the classes found in them."""
-    rows = predictions(spark, sf_dir).where("pos < 4")
-    return rounded(mt.evaluate(mt.counts(rows, ["subject_id"]), TYPES, BAD_TYPES, ["subject_id"], present_only=True), ["macro_f1"])
+    """Metrics of every four rows of each subject over the classes found in them."""
+    rows = predictions(spark, sf_dir).withColumn("part", F.floor(F.col("pos") / 4))
+    by = ["subject_id", "part"]
+    return rounded(mt.evaluate(mt.counts(rows, by), TYPES, BAD_TYPES, by, present_only=True), ["macro_f1"])
 
 
 @query(
@@ -275,10 +364,10 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mt.class_weights(mt.class_counts(rows, TYPES, "event_type")), ["mean_scaled"])
 
 
-@query("a15_channel_stats", f"WITH {POSE} " + " UNION ALL ".join(f"SELECT '{c}' AS channel, round(avg({c}), 8) AS mean, round(CASE WHEN stddev_pop({c}) <= 1e-5 THEN 1.0 ELSE stddev_pop({c}) END, 8) AS std FROM pose" for c in COORDS[:6]))
+@query("a15_channel_stats", f"WITH {POSE} " + " UNION ALL ".join(f"SELECT '{c}' AS channel, round(avg({c}), 8) AS mean, round(CASE WHEN stddev_pop({c}) <= 1e-5 THEN 1.0 ELSE stddev_pop({c}) END, 8) AS std FROM pose" for c in COORDS))
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of channels."""
-    return rounded(mt.channel_stats(poses(spark, sf_dir), COORDS[:6]), ["mean", "std"])
+    return rounded(mt.channel_stats(poses(spark, sf_dir), COORDS), ["mean", "std"])
 
 
 _FOLD = "(SELECT CAST(subject_id % 4 AS BIGINT) AS held_out_subject, truth, pred FROM pr)"
@@ -324,6 +413,7 @@ def top_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUBJ = "su AS (SELECT DISTINCT CAST(l_suppkey % 4 + 1 AS INTEGER) AS s FROM lineitem)"
+_SPLITS = f"{_SUBJ}, sp AS (SELECT o.s AS outer_subject, v.s AS validation_subject, string_agg(CAST(t.s AS VARCHAR), '_' ORDER BY t.s) AS train_subjects FROM su o JOIN su v ON o.s <> v.s JOIN su t ON t.s NOT IN (o.s, v.s) GROUP BY o.s, v.s)"
 
 
 def four_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,6 +446,21 @@ def outer_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("outer_subject", "candidate_index", "n_scores", *_MEANS), _MEANS)
 
 
+_SETTING = ("candidate_index", "threshold", "stride")
+
+
+@query(
+    "e9_e11_scale_settings",
+    f"""WITH {_SPLITS}, {scores_sql(("scale", "threshold", "stride"))}, s AS (SELECT outer_subject, scale, {", ".join(_SETTING)}, {_SUMMARY} FROM sc JOIN sp USING (validation_subject, train_subjects) GROUP BY ALL)
+SELECT outer_subject, scale, {", ".join(_SETTING)}, n_scores, {round_sql(_MEANS)} FROM (SELECT *, row_number() OVER (PARTITION BY outer_subject, scale ORDER BY {_RANK}, threshold, stride) AS place FROM s) WHERE place = 1""",
+)
+def scale_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each outer subject's candidate, threshold and stride for each scale; every setting must have all of its scores."""
+    s = scores(spark, sf_dir, ("scale", "threshold", "stride"))
+    out = sl.outer_choices(s, sl.inner_split_table(four_subjects(spark, sf_dir)), _SETTING, ("scale",))
+    return rounded(out.select("outer_subject", "scale", *_SETTING, "n_scores", *_MEANS), _MEANS)
+
+
 @query("e7_c8_remaining_settings", f"WITH {SCORES} SELECT DISTINCT candidate_index, validation_subject FROM sc WHERE (candidate_index, validation_subject) NOT IN (SELECT candidate_index, validation_subject FROM sc WHERE accuracy > 0.05)")
 def remaining_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of a grid that a resumed search still has to score."""
@@ -425,11 +530,10 @@ def fusion_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- files, keys ------------------------------------------------------------------------------------------------------
 
 
-@query("k1_k2_filled_predictions", f"{FRAME_LABELS} SELECT e.event_id, label AS predicted_label, round(confidence, 8) AS prediction_confidence FROM ev e JOIN fl USING (subject_id, pos) WHERE e.subject_id = 1")
+@query("k1_k2_filled_predictions", f"{FRAME_LABELS} SELECT e.event_id, label AS predicted_label, round(confidence, 8) AS prediction_confidence FROM ev e JOIN fl USING (subject_id, pos)")
 def filled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One subject's rows with their predictions, as the writers put them."""
-    own = frame_labels(spark, sf_dir).where("subject_id = 1")
-    out = files.filled(frames(spark, sf_dir).where("subject_id = 1"), own, TYPES)
+    """Rows with their predictions, as the writers put them."""
+    out = files.filled(frames(spark, sf_dir), frame_labels(spark, sf_dir), TYPES)
     return out.select("event_id", "predicted_label", F.round("prediction_confidence", 8).alias("prediction_confidence"))
 
 
@@ -458,11 +562,11 @@ def tables_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- learning ---------------------------------------------------------------------------------------------------------
 
-_FEATURES = tuple(COORDS[:8])
+_FEATURES = tuple(COORDS)
 
 
 def learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as labelled windows: eight features, three classes, four subjects."""
+    """Embeddings as labelled windows: 34 features, three classes, four subjects."""
     p = fr.with_pos(table(spark, sf_dir, "embeddings"), "label", ["vec_id"])
     label = F.concat(F.lit("c"), (F.col("label") % 3).cast("string"))
     return p.select("vec_id", (F.col("vec_id") % 4).cast("int").alias("subject_id"), label.alias("label"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_FEATURES)))
@@ -485,7 +589,7 @@ def binned_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ln.binned_information(learning_rows(spark, sf_dir), _FEATURES), ["information"])
 
 
-_RANKS = "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _FEATURES) + " FROM ft)"
+_RANKS = "rk AS MATERIALIZED (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _FEATURES) + " FROM ft)"
 _CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM rk" for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1 :])
 
 
@@ -510,16 +614,18 @@ def leave_one_subject_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of weighted forests by held-out subject and pooled."""
     rows = learning_rows(spark, sf_dir)
     subjects = sorted(r["subject_id"] for r in rows.select("subject_id").distinct().collect())  # a row a subject
-    return ln.leave_one_subject_out(rows, _FEATURES, ("c0", "c1", "c2"), ("c1",), subjects, trees=10, depth=4)[1]
+    return ln.leave_one_subject_out(rows, _FEATURES, ("c0", "c1", "c2"), ("c1",), subjects)[1]
 
 
 @query("l10_perceptron")
 def perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a perceptron on the rows of one held-out subject."""
-    train, test = sl.leave_one_out(learning_rows(spark, sf_dir), 0)
-    names = ("c0", "c1", "c2")
-    told = ln.predict(ln.fit_perceptron(train, _FEATURES, names, hidden=(8,), epochs=20), test, _FEATURES, names)
-    return mt.evaluate(mt.counts(told.withColumnRenamed("label", "truth")), names, ("c1",))
+    """Metrics of perceptrons by held-out subject and pooled."""
+    rows, names, told = learning_rows(spark, sf_dir), ("c0", "c1", "c2"), []
+    for held in sorted(r["subject_id"] for r in rows.select("subject_id").distinct().collect()):  # a row a subject
+        train, test = sl.leave_one_out(rows, held)
+        own = ln.predict(ln.fit_perceptron(train, _FEATURES, names), test, _FEATURES, names)
+        told.append(own.select(F.lit(held).alias("held_out_subject"), F.col("label").alias("truth"), "pred"))
+    return mt.pooled_and_folds(reduce(DataFrame.unionByName, told), names, ("c1",))
 
 
 _TURN = math.radians(30.0)

@@ -237,9 +237,17 @@ def _step(name: str, source: str, columns: dict[str, str]) -> str:
     return f"{name} AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in columns.items())} FROM {source} WINDOW o AS (PARTITION BY subject_id ORDER BY pos))"
 
 
-def _signals_sql(base: str, names: list[str] | tuple[str, ...]) -> str:
+def signals_sql(base: str = NORMAL) -> str:
+    """``s5``: all signals of a normalised pose."""
     steps = [_step("s1", "np", _GEO), _step("s2", "s1", _FIRST), _step("s3", "s2", _SECOND), _step("s4", "s3", _BOTH), _step("s5", "s4", _SYMMETRIC)]
-    return f"WITH {base}, {', '.join(steps)} SELECT subject_id, pos, {round_sql(names, 6)} FROM s5"
+    return f"{base}, {', '.join(steps)}"
+
+
+SET_B_NAMES = (*COORDS, *sg.SET_B)
+
+
+def _signals_sql(base: str, names: list[str] | tuple[str, ...]) -> str:
+    return f"WITH {signals_sql(base)} SELECT subject_id, pos, {round_sql(names, 6)} FROM s5"
 
 
 @query("n1_n14_pose_signals", _signals_sql(NORMAL, sg.POSE_SIGNALS))
@@ -273,7 +281,12 @@ _COMPACT2 = {f"{j}_acceleration": f"coalesce(abs({_d(f'{j}_speed')}), 0) * 30" f
 COMPACT_NAMES = (*COORDS, *_COMPACT1, *_COMPACT2)
 
 
-@query("n18_compact_signals", f"WITH {NORMAL}, {_step('c1', 'np', _COMPACT1)}, {_step('c2', 'c1', _COMPACT2)} SELECT subject_id, pos, {round_sql(COMPACT_NAMES, 6)} FROM c2")
+def compact_sql() -> str:
+    """``c2``: the compact signals of a normalised pose."""
+    return f"{NORMAL}, {_step('c1', 'np', _COMPACT1)}, {_step('c2', 'c1', _COMPACT2)}"
+
+
+@query("n18_compact_signals", f"WITH {compact_sql()} SELECT subject_id, pos, {round_sql(COMPACT_NAMES, 6)} FROM c2")
 def compact_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 122 compact signals."""
     out, names = sg.compact_signals(fr.normalise_pose(poses(spark, sf_dir)))
@@ -283,10 +296,16 @@ def compact_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BONES = ", ".join(f"{b}_x - {a}_x, {b}_y - {a}_y, {_dist(a, b)}" for a, b in sg.BONES.values())
 
 
+def streams_sql() -> str:
+    """``sv(subject_id, pos, coordinates, bones, velocity)``."""
+    return f"""{NORMAL}, v AS (SELECT *, {", ".join(f"coalesce({c} - lag({c}) OVER (PARTITION BY subject_id ORDER BY pos), 0) * 30 AS v_{c}" for c in COORDS)} FROM np),
+sv AS (SELECT subject_id, pos, [{", ".join(COORDS)}] AS coordinates, [{_BONES}] AS bones, [{", ".join(f"v_{c}" for c in COORDS)}] AS velocity FROM v)"""
+
+
 @query(
     "n19_model_streams",
-    f"""WITH {NORMAL}, v AS (SELECT *, {", ".join(f"coalesce({c} - lag({c}) OVER (PARTITION BY subject_id ORDER BY pos), 0) * 30 AS v_{c}" for c in COORDS)} FROM np)
-SELECT subject_id, pos, round(list_sum([{", ".join(COORDS)}]), 6) AS coordinates, round(list_sum([{_BONES}]), 6) AS bones, round(list_sum([{", ".join(f"abs(v_{c})" for c in COORDS)}]), 6) AS velocity FROM v""",
+    f"""WITH {streams_sql()}
+SELECT subject_id, pos, round(list_sum(coordinates), 6) AS coordinates, round(list_sum(bones), 6) AS bones, round(list_sum(list_transform(velocity, lambda v: abs(v))), 6) AS velocity FROM sv""",
 )
 def model_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three arrays for each frame, told by their sums."""

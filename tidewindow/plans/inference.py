@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewindow.operators import decode, features, frames, fusion, learning, signals, windows
+from tidewindow.operators import decode, features, frames, fusion, learning, metrics, signals, windows
 from tidewindow.schema import CLASSES, MAJORITY, TEST_STRIDE, TRAIN_STRIDE, WINDOW
+from tidewindow.sources import cache
 
 
 def signal_frames(poses: DataFrame, signal_set: str = "A") -> tuple[DataFrame, list[str]]:
@@ -25,14 +27,78 @@ def window_features(framed: DataFrame, names: Sequence[str], chosen: Sequence[st
     return meta.join(wide, list(windows.KEYS)), [f"{s}__{n}" for n in chosen for s in names]
 
 
-def training_windows(poses: DataFrame, signal_set: str = "A", size: int = WINDOW, stride: int = TRAIN_STRIDE, threshold: float = MAJORITY, classes: Sequence[str] = CLASSES) -> tuple[DataFrame, list[str]]:
-    """Features of the windows that a class has the majority of."""
+def experiment_windows(
+    poses: DataFrame, signal_set: str = "A", size: int = WINDOW, stride: int = TRAIN_STRIDE, threshold: float = MAJORITY, classes: Sequence[str] = CLASSES
+) -> tuple[DataFrame, list[str]]:
+    """The signals of set A, B or C in the windows that a class has the majority of, with that label; and the signals' names."""
     own, names = signal_frames(poses, signal_set)
-    return window_features(windows.labelled_windows(own, classes, size, stride, threshold), names)
+    return windows.labelled_windows(own, classes, size, stride, threshold), names
+
+
+def compact_windows(poses: DataFrame, size: int, stride: int, threshold: float = MAJORITY, labelled: bool = False, classes: Sequence[str] = CLASSES) -> tuple[DataFrame, list[str]]:
+    """The 122 compact signals in windows, and their names. A window is never padded; with ``labelled`` only windows with a label, else the tail is covered."""
+    own, names = signals.compact_signals(frames.normalise_pose(frames.prepare(poses)))
+    return windows.labelled_windows(own, classes, size, stride, threshold) if labelled else windows.unlabelled_windows(own, size, stride), names
+
+
+def stream_windows(poses: DataFrame, size: int, stride: int, threshold: float = MAJORITY, labelled: bool = False, classes: Sequence[str] = CLASSES) -> DataFrame:
+    """``subject_id, start_pos, coordinates, bones, velocity``, the last three as arrays of frames, with ``label`` where ``labelled``; windows as in :func:`compact_windows`."""
+    clean = frames.normalise_pose(frames.prepare(poses))
+    own = signals.streams(clean)
+    if labelled:
+        own = own.join(clean.select("subject_id", "pos", "label"), ["subject_id", "pos"])
+    framed = windows.labelled_windows(own, classes, size, stride, threshold) if labelled else windows.unlabelled_windows(own, size, stride)
+    kinds = ("coordinates", "bones", "velocity")
+    rows = framed.groupBy(*windows.KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", *kinds))).alias("rows"), F.first("label").alias("label"))  # a window's frames, size of them
+    return rows.select(*windows.KEYS, *(["label"] if labelled else []), *(F.col(f"rows.{k}").alias(k) for k in kinds))
+
+
+def training_windows(
+    poses: DataFrame, signal_set: str = "A", size: int = WINDOW, stride: int = TRAIN_STRIDE, threshold: float = MAJORITY, classes: Sequence[str] = CLASSES, chosen: Sequence[str] = features.SUMMARIES
+) -> tuple[DataFrame, list[str]]:
+    """Features of the windows that a class has the majority of."""
+    framed, names = experiment_windows(poses, signal_set, size, stride, threshold, classes)
+    return window_features(framed, names, chosen)
+
+
+def label_free_cache(spark: SparkSession, folder: str, sources: Mapping, poses: Callable[[], DataFrame], signal_set: str = "C", size: int = WINDOW, stride: int = TRAIN_STRIDE) -> tuple[DataFrame, bool]:
+    """Features of windows made without a look at labels, as a table of their sources' signature; and whether it was there. A table with labels is an error."""
+    key = cache.signature(sources, f"windows-{signal_set}", {"size": size, "stride": stride, "labelled": False})
+
+    def make() -> DataFrame:
+        own, names = signal_frames(poses(), signal_set)
+        return window_features(windows.unlabelled_windows(own, size, stride), names)[0]
+
+    rows, there = cache.cached(spark, folder, key, make, ("subject_id",))
+    return cache.label_free(rows), there
+
+
+def multiscale_cache(spark: SparkSession, folder: str, sources: Mapping, poses: Callable[[], DataFrame], sizes: Sequence[int] = (60, 150, 300), stride: int = 15) -> tuple[DataFrame, bool]:
+    """The nine numbers of each compact signal in windows of several sizes at a fine stride, as floats in long form, a folder a subject and size; and whether it was there."""
+    key = cache.signature(sources, "compact", {"sizes": list(sizes), "stride": stride})
+
+    def make() -> DataFrame:
+        each = []
+        for size in sizes:
+            rows, names = compact_windows(poses(), size, stride)
+            out = features.summaries(features.long_form(rows, names))
+            each.append(out.select(*features.GROUP, F.lit(size).alias("window_size"), *(F.col(c).cast("float").alias(c) for c in features.SUMMARIES)))
+        return windows.concatenated(each)
+
+    return cache.cached(spark, folder, key, make, ("subject_id", "window_size"))
+
+
+def evaluated(told: DataFrame, labels: DataFrame | None, classes: Sequence[str], abnormal: Sequence[str]) -> DataFrame | None:
+    """Metrics of predicted frames where there are labels of known classes for them, else None."""
+    if labels is None:
+        return None
+    rows = told.join(labels.select("subject_id", "pos", F.col("label").alias("truth")), ["subject_id", "pos"]).withColumnRenamed("label", "pred")
+    rows = metrics.valid_truth(rows, classes)
+    return None if rows.isEmpty() else metrics.evaluate(metrics.counts(rows), classes, abnormal)
 
 
 def predict_frames(
-    model: PipelineModel,
+    model: PipelineModel | learning.ClassMeans,
     poses: DataFrame,
     transition: np.ndarray,
     initial: np.ndarray,
@@ -41,10 +107,11 @@ def predict_frames(
     stride: int = TEST_STRIDE,
     strength: float = 1.0,
     classes: Sequence[str] = CLASSES,
+    chosen: Sequence[str] = features.SUMMARIES,
 ) -> DataFrame:
     """``subject_id, pos, label, confidence, coverage`` of every frame, with no look at labels."""
     own, names = signal_frames(poses.drop("label"), signal_set)
-    rows, used = window_features(windows.unlabelled_windows(own, size, stride), names)
+    rows, used = window_features(windows.unlabelled_windows(own, size, stride), names, chosen)
     told = learning.predict(model, rows, used, classes).select("subject_id", "start_pos", "end_pos", "probs")
     probs = fusion.frame_probabilities(told, own, classes)
     path = decode.decode(probs.select("subject_id", "pos", "probs"), transition, initial, classes, strength)

@@ -9,7 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.operators import learning, metrics, selection
+from tidewindow.functions import expressions as x
+from tidewindow.operators import fusion, learning, metrics, selection
 
 KEYS = ("train_subjects", "candidate_index", "validation_subject")
 
@@ -55,6 +56,16 @@ def pair_search(
     return selection.resumed_search(spark, folder, pair_grid(spark, subjects, len(candidates)), KEYS, score)
 
 
+def fused_scale_frames(told: Sequence[DataFrame], weights: Sequence[float], allowed: Sequence[Sequence[float]], frames: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """``subject_id, pos, probs, coverage, label, confidence``: windows of several scales, each put to frames by itself, fused by declared weights; coverage is 1."""
+    rows = frames.select("subject_id", "pos")
+    for i, windows in enumerate(told):
+        own = fusion.frame_probabilities(windows, frames, classes).select("subject_id", "pos", F.col("probs").alias(f"scale_{i}"))
+        rows = rows.join(own, ["subject_id", "pos"])
+    probs = x.scale_fusion([F.col(f"scale_{i}") for i in range(len(told))], weights, allowed)
+    return fusion.labelled(rows.select("subject_id", "pos", probs.alias("probs"), F.lit(1).cast("long").alias("coverage")), classes)
+
+
 def nested_evaluation(
     scores: DataFrame,
     rows: DataFrame,

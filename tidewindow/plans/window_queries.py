@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewindow.operators import features as ft
 from tidewindow.operators import windows as wn
-from tidewindow.plans.base import EV, SIZE, STRIDE, WIN, frames, framed_sql, query, round_sql, rounded, scratch, windows_sql
+from tidewindow.plans.base import EV, SIZE, STRIDE, WIN, frames, framed_sql, query, round_sql, rounded, windows_sql
+from tidewindow.storage import new_folder
 from tidewindow.streaming.windows import replayed
 
 CLASSES = ("click", "error", "purchase", "view")
@@ -45,32 +46,42 @@ def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: windows with the tail covered, their places, exact moments and majority label."""
     rows = cents(framed(spark, sf_dir))
     p, c = F.col("pos"), F.col("c")
-    own = rows.groupBy("subject_id", "start_pos").agg(
-        (F.max(p) + 1).alias("end_pos"),
-        F.min_by("event_id", "pos").alias("frame_start"),
-        F.max_by("event_id", "pos").alias("frame_end"),
+    # by label first: the same rows give the labels' counts, and the windows' sums from theirs
+    parts = rows.groupBy("subject_id", "start_pos", F.col("event_type").alias("label")).agg(
+        F.min(F.struct("pos", "event_id")).alias("head"),
+        F.max(F.struct("pos", "event_id")).alias("tail"),
         F.count("*").alias("n"),
         F.sum(c).alias("sx"),
         F.sum(c * c).alias("sxx"),
         F.sum(c * p).alias("sxp"),
         F.sum(p).alias("sp"),
         F.sum(p * p).alias("spp"),
-        (F.max(c) - F.min(c)).alias("spread"),
+        F.min(c).alias("least"),
+        F.max(c).alias("most"),
+    )
+    valid = F.when(F.col("label").isin(*CLASSES), F.struct("n", (-F.col("head.pos")).alias("early"), "label"))
+    own = parts.groupBy("subject_id", "start_pos").agg(
+        (F.max("tail.pos") + 1).alias("end_pos"),
+        F.min("head").alias("head"),
+        F.max("tail").alias("tail"),
+        *(F.sum(k).alias(k) for k in ("n", "sx", "sxx", "sxp", "sp", "spp")),
+        (F.max("most") - F.min("least")).alias("spread"),
+        F.max(valid).alias("best"),
     )
     n, spread_p = F.col("n"), F.col("n") * F.col("spp") - F.col("sp") * F.col("sp")
     own = own.select(
         "subject_id",
         "start_pos",
         "end_pos",
-        "frame_start",
-        "frame_end",
+        F.col("head.event_id").alias("frame_start"),
+        F.col("tail.event_id").alias("frame_end"),
         (F.col("sx").cast("double") / n).alias("mean"),
         (F.col("sxx").cast("double") / n).alias("energy"),
         F.when(spread_p == 0, 0.0).otherwise((n * F.col("sxp") - F.col("sx") * F.col("sp")).cast("double") / spread_p).alias("slope"),
         "spread",
+        F.when(F.col("best.n") / n >= 0.5, F.col("best.label")).alias("label"),
     )
-    labels = wn.majority_labels(rows, CLASSES, 0.5, "event_type").drop("share")
-    return own.join(labels, list(wn.KEYS))
+    return own
 
 
 @query(
@@ -170,7 +181,7 @@ def window_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete windows by a stream with keyed state."""
     e = cents(frames(spark, sf_dir)).select("subject_id", "pos", F.col("c").cast("double").alias("x"))
-    return replayed(e, SIZE, STRIDE, scratch(spark, "stream"))
+    return replayed(e, SIZE, STRIDE, new_folder(spark, "stream"))
 
 
 # -- features ---------------------------------------------------------------------------------------------------------
@@ -186,10 +197,15 @@ def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.long_form(rows, ["value", "k"])
 
 
+def summaries_sql(source: str = "lg", out: str = "s") -> str:
+    """``out``: nine numbers of each window and signal."""
+    return f"""{out} AS (SELECT {_BY}, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, max(x) - min(x) AS range,
+  coalesce(regr_slope(x, CAST(pos AS DOUBLE)), 0) AS slope, avg(x * x) AS energy, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.9) AS q90 FROM {source} GROUP BY {_BY})"""
+
+
 @query(
     "a5_window_summaries",
-    f"""{_LONG}, s AS (SELECT {_BY}, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, max(x) - min(x) AS range,
-  coalesce(regr_slope(x, CAST(pos AS DOUBLE)), 0) AS slope, avg(x * x) AS energy, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.9) AS q90 FROM lg GROUP BY {_BY})
+    f"""{_LONG}, {summaries_sql()}
 SELECT {_BY}, {round_sql(ft.SUMMARIES, 6)} FROM s""",
 )
 def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,11 +213,16 @@ def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ft.summaries(long_rows(spark, sf_dir)), ft.SUMMARIES, 6)
 
 
+def statistical_sql(source: str = "lg", out: str = "s") -> str:
+    """``out``: twelve statistics of each window and signal."""
+    return f"""{out}_m AS (SELECT *, avg(x) OVER w AS mu, quantile_cont(x, 0.5) OVER w AS md FROM {source} WINDOW w AS (PARTITION BY {_BY})),
+{out} AS (SELECT {_BY}, sum(x * x) AS abs_energy, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, max(x) AS max, avg(x) AS mean, quantile_cont(x, 0.5) AS median, min(x) AS min, max(x) - min(x) AS peak_to_peak,
+  sqrt(avg(x * x)) AS rms, stddev_pop(x) AS std, var_pop(x) AS var, avg(abs(x - mu)) AS mean_abs_deviation, quantile_cont(abs(x - md), 0.5) AS median_abs_deviation FROM {out}_m GROUP BY {_BY})"""
+
+
 @query(
     "f1_f12_statistical_features",
-    f"""{_LONG}, m AS (SELECT *, avg(x) OVER w AS mu, quantile_cont(x, 0.5) OVER w AS md FROM lg WINDOW w AS (PARTITION BY {_BY})),
-s AS (SELECT {_BY}, sum(x * x) AS abs_energy, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, max(x) AS max, avg(x) AS mean, quantile_cont(x, 0.5) AS median, min(x) AS min, max(x) - min(x) AS peak_to_peak,
-  sqrt(avg(x * x)) AS rms, stddev_pop(x) AS std, var_pop(x) AS var, avg(abs(x - mu)) AS mean_abs_deviation, quantile_cont(abs(x - md), 0.5) AS median_abs_deviation FROM m GROUP BY {_BY})
+    f"""{_LONG}, {statistical_sql()}
 SELECT {_BY}, {round_sql(ft.STATISTICAL, 6)} FROM s""",
 )
 def statistical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,15 +233,19 @@ def statistical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEMPORAL_DOUBLES = ("auc", "mean_abs_diff", "slope", "median_abs_diff", "signal_distance", "sum_abs_diff")
 
 
+def temporal_sql(source: str = "lg", rate: float = RATE, neighbours: int = 3, out: str = "s") -> str:
+    """``out``: ten temporal features of each window and signal."""
+    return f"""{out}_a AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY {_BY}) AS n, x - lag(x) OVER w AS d, abs(x + lag(x) OVER w) / 2 / {rate} AS area, sign(x) <> sign(lag(x) OVER w) AS sg,
+  max(x) OVER (PARTITION BY {_BY} ORDER BY pos ROWS BETWEEN {neighbours} PRECEDING AND 1 PRECEDING) AS l, max(x) OVER (PARTITION BY {_BY} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {neighbours} FOLLOWING) AS r FROM {source} WINDOW w AS (PARTITION BY {_BY} ORDER BY pos)),
+{out}_b AS (SELECT *, lead(d) OVER (PARTITION BY {_BY} ORDER BY pos) AS e FROM {out}_a),
+{out} AS (SELECT {_BY}, coalesce(sum(area), 0) AS auc, avg(abs(d)) AS mean_abs_diff, coalesce(regr_slope(x, CAST(i AS DOUBLE)), 0) AS slope, count(*) FILTER (sg) AS zero_crossings, quantile_cont(abs(d), 0.5) AS median_abs_diff,
+  count(*) FILTER (d < 0 AND e > 0) AS negative_turning, count(*) FILTER (x > l AND x > r AND i > {neighbours} AND i <= n - {neighbours}) AS neighbourhood_peaks, count(*) FILTER (d > 0 AND e < 0) AS positive_turning,
+  coalesce(sum(sqrt(1 + d * d)), 0) AS signal_distance, coalesce(sum(abs(d)), 0) AS sum_abs_diff FROM {out}_b GROUP BY {_BY})"""
+
+
 @query(
     "f13_f23_temporal_features",
-    f"""WITH {EV}, {windows_sql(16, 8, True)}, {framed_sql()}, lg AS (SELECT subject_id, start_pos, pos, 'value' AS signal, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS x FROM fr),
-a AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY {_BY}) AS n, x - lag(x) OVER w AS d, abs(x + lag(x) OVER w) / 2 / {RATE} AS area, sign(x) <> sign(lag(x) OVER w) AS sg,
-  max(x) OVER (PARTITION BY {_BY} ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS l, max(x) OVER (PARTITION BY {_BY} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS r FROM lg WINDOW w AS (PARTITION BY {_BY} ORDER BY pos)),
-b AS (SELECT *, lead(d) OVER (PARTITION BY {_BY} ORDER BY pos) AS e FROM a),
-s AS (SELECT {_BY}, coalesce(sum(area), 0) AS auc, avg(abs(d)) AS mean_abs_diff, coalesce(regr_slope(x, CAST(i AS DOUBLE)), 0) AS slope, count(*) FILTER (sg) AS zero_crossings, quantile_cont(abs(d), 0.5) AS median_abs_diff,
-  count(*) FILTER (d < 0 AND e > 0) AS negative_turning, count(*) FILTER (x > l AND x > r AND i > 3 AND i <= n - 3) AS neighbourhood_peaks, count(*) FILTER (d > 0 AND e < 0) AS positive_turning,
-  coalesce(sum(sqrt(1 + d * d)), 0) AS signal_distance, coalesce(sum(abs(d)), 0) AS sum_abs_diff FROM b GROUP BY {_BY})
+    f"""WITH {EV}, {windows_sql(16, 8, True)}, {framed_sql()}, lg AS (SELECT subject_id, start_pos, pos, 'value' AS signal, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS x FROM fr), {temporal_sql()}
 SELECT {_BY}, zero_crossings, negative_turning, neighbourhood_peaks, positive_turning, {round_sql(_TEMPORAL_DOUBLES, 5)} FROM s""",
 )
 def temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,20 +257,20 @@ def temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f14_autocorrelation",
-    f"""{_LONG}, c AS (SELECT {_BY}, x - avg(x) OVER (PARTITION BY {_BY}) AS x, row_number() OVER (PARTITION BY {_BY} ORDER BY pos) AS i, count(*) OVER (PARTITION BY {_BY}) AS n FROM lg WHERE signal = 'value'),
-r AS (SELECT a.subject_id, a.start_pos, a.signal, b.i - a.i AS lag, sum(a.x * b.x) AS v, max(a.n) AS n FROM c a JOIN c b ON a.subject_id = b.subject_id AND a.start_pos = b.start_pos AND b.i >= a.i GROUP BY ALL),
+    f"""{_LONG}, c AS (SELECT {_BY}, x - avg(x) OVER (PARTITION BY {_BY}) AS x, row_number() OVER (PARTITION BY {_BY} ORDER BY pos) AS i, count(*) OVER (PARTITION BY {_BY}) AS n FROM lg),
+r AS (SELECT a.subject_id, a.start_pos, a.signal, b.i - a.i AS lag, sum(a.x * b.x) AS v, max(a.n) AS n FROM c a JOIN c b ON a.subject_id = b.subject_id AND a.start_pos = b.start_pos AND a.signal = b.signal AND b.i >= a.i GROUP BY ALL),
 z AS (SELECT {_BY}, v AS v0, n FROM r WHERE lag = 0)
 SELECT z.subject_id, z.start_pos, z.signal, CAST(coalesce(min(r.lag) FILTER (r.lag > 0 AND r.v < v0 / exp(1)), max(z.n)) AS BIGINT) AS autocorrelation FROM z JOIN r USING ({_BY}) GROUP BY z.subject_id, z.start_pos, z.signal""",
 )
 def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first lag whose autocorrelation is below 1/e."""
-    return ft.autocorrelation(long_rows(spark, sf_dir).where("signal = 'value'"))
+    return ft.autocorrelation(long_rows(spark, sf_dir))
 
 
 def _dft_sql(centred: bool, hann: bool = False) -> str:
     x = "x - avg(x) OVER p" if centred or hann else "x"
-    weight = " * (0.5 - 0.5 * cos(2 * pi() * i / n)) / sd" if hann else ""
-    return f"""{_LONG}, c AS (SELECT {_BY}, {x} AS x, row_number() OVER (PARTITION BY {_BY} ORDER BY pos) - 1 AS i, count(*) OVER p AS n, stddev_pop(x) OVER p AS sd FROM lg WHERE signal = 'value' WINDOW p AS (PARTITION BY {_BY})),
+    weight = " * CASE WHEN sd > 0 THEN (0.5 - 0.5 * cos(2 * pi() * i / n)) / sd ELSE 0 END" if hann else ""
+    return f"""{_LONG}, c AS (SELECT {_BY}, {x} AS x, row_number() OVER (PARTITION BY {_BY} ORDER BY pos) - 1 AS i, count(*) OVER p AS n, stddev_pop(x) OVER p AS sd FROM lg WINDOW p AS (PARTITION BY {_BY})),
 k AS (SELECT {_BY}, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT {_BY}, n FROM c)),
 t AS (SELECT c.subject_id, c.start_pos, c.signal, k.k, any_value(n) AS n, sum(x{weight} * cos(2 * pi() * ((k.k * i) % n) / n)) AS re, sum(x{weight} * sin(2 * pi() * ((k.k * i) % n) / n)) AS im FROM c JOIN k USING ({_BY}) GROUP BY c.subject_id, c.start_pos, c.signal, k.k),
 sp AS (SELECT {_BY}, k, n, k * {RATE} / n AS frequency, sqrt(re * re + im * im) AS magnitude, re * re + im * im AS power FROM t)"""
@@ -254,7 +279,7 @@ sp AS (SELECT {_BY}, k, n, k * {RATE} / n AS frequency, sqrt(re * re + im * im)
 @query("f32_spectrum", f"{_dft_sql(False)} SELECT {_BY}, CAST(k AS INTEGER) AS k, frequency, round(magnitude, 4) AS magnitude FROM sp")
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The real Fourier transform of each window."""
-    out = ft.spectrum(long_rows(spark, sf_dir).where("signal = 'value'"), RATE)
+    out = ft.spectrum(long_rows(spark, sf_dir), RATE)
     return out.select(*ft.GROUP, "k", "frequency", F.round("magnitude", 4).alias("magnitude"))
 
 
@@ -263,15 +288,15 @@ _SPECTRAL = ("max_frequency", "median_frequency", "spectral_centroid", "spectral
 
 @query(
     "f26_f31_spectral_features",
-    f"""{_dft_sql(False)}, q AS (SELECT *, sum(magnitude) OVER (PARTITION BY {_BY} ORDER BY k) AS run, sum(magnitude) OVER p AS tot, sum(power) OVER p AS pw, count(*) OVER p AS nl, sum(frequency * magnitude) OVER p / sum(magnitude) OVER p AS ce FROM sp WINDOW p AS (PARTITION BY {_BY})),
+    f"""{_dft_sql(False)}, q AS (SELECT *, sum(magnitude) OVER (PARTITION BY {_BY} ORDER BY k) AS run, sum(magnitude) OVER p AS tot, sum(power) OVER p AS pw, count(*) OVER p AS nl, CASE WHEN sum(magnitude) OVER p > 0 THEN sum(frequency * magnitude) OVER p / sum(magnitude) OVER p ELSE 0 END AS ce FROM sp WINDOW p AS (PARTITION BY {_BY})),
 s AS (SELECT {_BY}, min(frequency) FILTER (run >= 0.95 * tot) AS max_frequency, min(frequency) FILTER (run >= 0.5 * tot) AS median_frequency, max(ce) AS spectral_centroid,
   coalesce(sum(CASE WHEN power > 0 THEN -power / pw * log2(power / pw) END) / log2(max(nl)), 0) AS spectral_entropy, min(frequency) FILTER (run >= 0.95 * tot) AS spectral_rolloff,
-  coalesce(sqrt(sum((frequency - ce) * (frequency - ce) * magnitude) / max(tot)), 0) AS spectral_spread FROM q GROUP BY {_BY})
+  CASE WHEN max(tot) > 0 THEN sqrt(sum((frequency - ce) * (frequency - ce) * magnitude) / max(tot)) ELSE 0 END AS spectral_spread FROM q GROUP BY {_BY})
 SELECT {_BY}, {round_sql(_SPECTRAL, 6)} FROM s""",
 )
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six features of the spectrum."""
-    return rounded(ft.spectral(long_rows(spark, sf_dir).where("signal = 'value'"), RATE), _SPECTRAL, 6)
+    return rounded(ft.spectral(long_rows(spark, sf_dir), RATE).select(*ft.GROUP, *_SPECTRAL), _SPECTRAL, 6)
 
 
 @query(
@@ -281,7 +306,7 @@ SELECT {_BY}, coalesce(min(frequency) FILTER (k > 0 AND magnitude > b AND magnit
 )
 def fundamental_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest high peak of the centred spectrum."""
-    return ft.fundamental_frequency(long_rows(spark, sf_dir).where("signal = 'value'"), RATE)
+    return ft.spectral(long_rows(spark, sf_dir), RATE).select(*ft.GROUP, "fundamental_frequency")
 
 
 @query(
@@ -290,7 +315,7 @@ def fundamental_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def max_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest power density under a Hann window."""
-    return rounded(ft.max_power(long_rows(spark, sf_dir).where("signal = 'value'"), RATE), ["max_power"], 6)
+    return rounded(ft.spectral(long_rows(spark, sf_dir), RATE).select(*ft.GROUP, "max_power"), ["max_power"], 6)
 
 
 @query(

@@ -46,11 +46,6 @@ def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFr
     return spark.read.parquet(path), hit
 
 
-def missing_keys(done: DataFrame | None, wanted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The wanted keys that a score table does not have yet."""
-    return wanted if done is None else wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
-
-
 def label_free(windows: DataFrame) -> DataFrame:
     """The windows themselves, or an error if any of them has a label."""
     if not windows.where(F.col("label").isNotNull()).limit(1).isEmpty():

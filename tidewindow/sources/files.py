@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidewindow.operators.frames import missing_columns, require
 from tidewindow.schema import COORDS
@@ -18,12 +17,6 @@ ID_NAMES = ("frame_id", "frame", "frame_number", "frame_index", "id", "index")
 TIME_NAMES = ("timestamp", "time", "time_s", "seconds")
 
 
-def pose_schema(labelled: bool) -> StructType:
-    """Frame id, 34 coordinates as text or numbers, and the label."""
-    fields = [StructField("frame_id", LongType()), *(StructField(c, DoubleType()) for c in COORDS)]
-    return StructType(fields + ([StructField(LABEL, StringType())] if labelled else []))
-
-
 def header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file, of which only the first lines are read."""
     return spark.read.option("header", True).csv(path).columns
@@ -90,12 +83,17 @@ def prediction_table(frames: DataFrame) -> DataFrame:
     return frames.select(F.col("pos").alias("frame_index"), F.col("label").alias("predicted_label"), "confidence", "coverage")
 
 
+def _meeting(source: DataFrame, frames: DataFrame) -> list[str]:
+    """The columns that rows and frames meet by."""
+    return ["subject_id", "pos"] if "subject_id" in source.columns and "subject_id" in frames.columns else ["pos"]
+
+
 def filled(source: DataFrame, frames: DataFrame, classes: Sequence[str]) -> DataFrame:
     """The source's columns with ``predicted_label`` and ``prediction_confidence``; an error for a row without a prediction or with an unknown label.
 
     Rows meet by subject and place where both sides have a subject, else by place.
     """
-    keys = ["subject_id", "pos"] if "subject_id" in source.columns and "subject_id" in frames.columns else ["pos"]
+    keys = _meeting(source, frames)
     own = frames.select(*keys, F.col("label").alias("predicted_label"), F.col("confidence").alias("prediction_confidence"))
     out = source.join(own, keys, "left")
     known = F.coalesce(F.col("predicted_label").isin(*classes), F.lit(False))
@@ -104,10 +102,14 @@ def filled(source: DataFrame, frames: DataFrame, classes: Sequence[str]) -> Data
 
 
 def submission(source: DataFrame, frames: DataFrame, participant: int, label_name: str = "predicted_label") -> DataFrame:
-    """``participant_id, timestamp`` and the label: time is the source's timestamp, else its frame id, else the row's number."""
+    """``participant_id, timestamp`` and the label: time is the source's timestamp, else its frame id, else the row's number.
+
+    Rows meet by subject and place where both sides have a subject, else by place.
+    """
     time = first_column(source, None, ("timestamp", "frame_id"))
     stamp = F.col(time) if time else F.col("pos")
-    out = source.select("pos", stamp.alias("timestamp")).join(frames.select("pos", F.col("label").alias(label_name)), "pos")
+    keys = _meeting(source, frames)
+    out = source.select(*keys, stamp.alias("timestamp")).join(frames.select(*keys, F.col("label").alias(label_name)), keys)
     return out.select(F.lit(participant).alias("participant_id"), "timestamp", label_name)
 
 
