@@ -6,11 +6,13 @@ import re
 import zlib
 from html import unescape
 
+import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tidewindow.llm import html_text, language_id, registry, token_counts
-from tidewindow.llm.queries import VOCABULARY
+from tidewindow.llm import html_text, language_id, registry, sql, token_counts
+from tidewindow.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, VOCABULARY
 from tidewindow.llm.textvec import shingles
 
 
@@ -65,20 +67,27 @@ def plain_profile(counts):
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:300]]
 
 
-def test_predictions_equal_plain_distances(spark, data):
-    docs = rows_of(spark, data, "documents", "doc_id", "text", "lang")
+def plain_predictions(docs, train):
+    """Id -> language and score of ``docs`` by out-of-place distances to the profiles of ``train``."""
     counts = collections.defaultdict(collections.Counter)
-    for r in docs:
-        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+    for r in train:
+        if r["lang"] is not None:
             counts[r["lang"]].update(plain_ngrams(r["text"]))
     places = {lang: {g: i for i, g in enumerate(plain_profile(c))} for lang, c in counts.items()}
-    out = {r["doc_id"]: r for r in registry.queries()["op2_language_id"](spark, data).collect()}
+    out = {}
     for r in docs:
         own = plain_profile(plain_ngrams(r["text"]))
         apart = {lang: sum(abs(i - p[g]) if g in p else 300 for i, g in enumerate(own)) for lang, p in places.items()}
         best = min(apart, key=lambda x: (apart[x], x)) if own else "und"
-        assert out[r["doc_id"]]["lang_pred"] == best
-        assert out[r["doc_id"]]["score"] == (pytest.approx(1 - apart[best] / (300 * len(own))) if own else 0)
+        out[r["doc_id"]] = best, 1 - apart[best] / (300 * len(own)) if own else 0.0
+    return out
+
+
+def test_predictions_equal_plain_distances(spark, data):
+    docs = rows_of(spark, data, "documents", "doc_id", "text", "lang")
+    plain = plain_predictions(docs, [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 5])
+    for r in registry.queries()["op2_language_id"](spark, data).collect():
+        assert (r["lang_pred"], r["score"]) == (plain[r["doc_id"]][0], pytest.approx(plain[r["doc_id"]][1]))
 
 
 def greedy(word, vocabulary, longest):
@@ -124,7 +133,9 @@ def test_main_text_is_the_article(spark, data):
 
 
 def brute_groups(docs, n, num):
-    sets = {i: frozenset(shingles(t, n).tolist()) for i, t in docs}
+    lower = {c: c + 32 for c in range(65, 91)}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for i, t in docs}
+    sets = {i: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for i, w in words.items()}
     group = {i: i for i in sets}
 
     def find(i):
@@ -155,7 +166,10 @@ def test_pipeline_stages_one_by_one(spark, data):
         if name != "mixing":
             assert out.columns == docs.columns
         if name == "language_id":
-            assert len(rows) == sum(any(c.isalpha() for c in r["text"] or "") for r in kept)
+            plain = plain_predictions(kept, kept)
+            assert {r["doc_id"] for r in rows} == {i for i, (lang, score) in plain.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+            given = {r["doc_id"]: r["lang"] for r in kept}
+            assert all(r["lang"] == (given[r["doc_id"]] or plain[r["doc_id"]][0]) for r in rows)
         elif name == "near_duplicates":
             group = brute_groups([(r["doc_id"], r["text"]) for r in kept], 5, 80)
             assert sorted(r["doc_id"] for r in rows) == sorted(set(group.values()))
@@ -168,7 +182,10 @@ def test_pipeline_stages_one_by_one(spark, data):
             planted = spark.createDataFrame([(1, "x password=b7db7aa4a5fcc78305 y", "en", "src1", 31)], docs.schema)
             assert stage(spark, planted, data).select("text", "n_chars").collect() == [("x [ASSIGN] y", 12)]
         else:
-            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in kept} and all(r["epochs"] >= 1 for r in rows)
+            db = duckdb.connect()
+            db.register("documents", pd.DataFrame([r.asDict() for r in kept]))
+            expected = db.sql(f"SELECT doc_id, domain, n_tokens, epochs FROM ({sql.mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)})").fetchall()
+            assert sorted((r["doc_id"], r["domain"], r["n_tokens"], r["epochs"]) for r in rows) == sorted(expected)
         kept = [tuple(r[c] for c in docs.columns) for r in rows]
         kept = spark.createDataFrame(kept, docs.schema).collect() if kept else []
     assert len({r["doc_id"] for r in corpus_pipeline.run(spark, data).select("doc_id").collect()} ^ {r["doc_id"] for r in kept}) == 0

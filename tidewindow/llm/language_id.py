@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewindow.llm.shared import saved, small_batches
+from tidewindow.llm.shared import Scratch, small_batches
 
 #: N-grams in a profile.
 TOP = 300
@@ -169,7 +169,9 @@ def identify(documents: DataFrame, train: DataFrame, text_col: str = "text", lan
     row returns, repeated ones too, and the language column of ``documents`` is not read.
     """
     small_batches(documents.sparkSession)
-    model = collect_profiles(saved(train_profiles(train, text_col, lang_col, top), "profiles"), top)
+    scratch = Scratch(documents.sparkSession, "language")
+    model = collect_profiles(scratch.save("profiles", train_profiles(train, text_col, lang_col, top)), top)
+    scratch.drop("profiles")
     predict = predictor(model, documents.sparkSession.sparkContext, top)
     rows = documents.select(F.struct("*").alias("doc"), predict(F.col(text_col).cast("string")).alias("p"))
     return rows.select("doc", "p.lang_pred", "p.score")

@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewindow.llm.shared import saved
+from tidewindow.llm.shared import Scratch, saved
 
 #: Leaves up to which the plan, a row of some hundred bytes a leaf, is broadcast.
 BROADCAST_LEAVES = 50_000
@@ -124,8 +124,10 @@ def mix(
     """
     named = {k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()}
     tokens = word_count(F.col(text_col).cast("string"))
-    narrow = saved(documents.select(F.col(id_col).alias("row_id"), tokens.alias("n_tokens"), *(v.alias(k) for k, v in named.items())), "tokens")
+    scratch = Scratch(documents.sparkSession, "mixing")
+    narrow = scratch.save("tokens", documents.select(F.col(id_col).alias("row_id"), tokens.alias("n_tokens"), *(v.alias(k) for k, v in named.items())))
     plan = saved(plan_mix(narrow, list(levels), weights, budget_share, epochs, seed), "plan")
+    scratch.drop("tokens")
     plan = plan.select(*levels, "full", "cutoff")
     if plan.count() <= BROADCAST_LEAVES:
         plan = F.broadcast(plan)
