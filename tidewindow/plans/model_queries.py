@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidewindow.functions import expressions as x
 from tidewindow.operators import decode as dc
 from tidewindow.operators import features as ft
-from tidewindow.operators import frames as fr
 from tidewindow.operators import windows as wn
 from tidewindow.plans import inference as inf
 from tidewindow.plans.base import SIZE, STRIDE, TYPES, framed_sql, poses, query, round_sql, rounded, windows_sql
