@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewindow.llm.shared import Scratch
 
 MAX_ROUNDS = 60
+#: Links that one task can hold.
+FEW_LINKS = 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,11 +17,12 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # a table of its own: a join with an aggregate of the same key would keep a node of very many links in one task
-    least = scratch.save("least", both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    if n > FEW_LINKS:  # a table of its own: a join with an aggregate of the same key would keep a node of very many links in one task
+        least = scratch.save("least", least)
     return (
         both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     )
@@ -46,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = scratch.save("edges", _small_star(_large_star(edges, scratch)))
+        edges = scratch.save("edges", _small_star(_large_star(edges, state[0], scratch)))
         state, before = _state(edges), state
         if state == before:
             break

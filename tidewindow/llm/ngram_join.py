@@ -40,9 +40,11 @@ BROADCAST_ROWS = 200_000
 HOT_ENTRIES = 1_000
 _PIVOTS = (np.arange(1, 64, dtype=np.uint64)) << np.uint64(58)
 
-_PROFILE = "row_id long, text_id long, n int, a long, b long, s0 long, s1 long, s2 long, s3 long, bucket int, uses long"
+#: Bits of a set's parity bitmap, which tells unlike sets apart as long as their bound of unlike items is below half of it or so.
+PARITY_BITS = 1024
+_BITS = tuple(f"s{i}" for i in range(PARITY_BITS // 64))
+_PROFILE = f"row_id long, text_id long, n int, a long, b long, {', '.join(f'{s} long' for s in _BITS)}, bucket int, uses long"
 _POSTING = "token long, a long, b long, n int, pos int"
-_BITS = ("s0", "s1", "s2", "s3")
 
 
 def order_bits(text_bytes: int) -> int:
@@ -51,8 +53,8 @@ def order_bits(text_bytes: int) -> int:
 
 
 def _parity(items: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the count of items that fall on it: unlike bits never outnumber unlike items."""
-    bits = np.bincount((items & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """PARITY_BITS bits, each the parity of the count of items that fall on it: unlike bits never outnumber unlike items."""
+    bits = np.bincount((items & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -70,7 +72,7 @@ def _profile(batches: Iterator[pa.RecordBatch], n_words: int, bits: int) -> Iter
         if held > 4 << LEAST_BITS:
             uses += np.bincount(np.concatenate(waiting), minlength=1 << bits)
             waiting, held = [], 0
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        columns = list(zip(*rows, strict=True)) or [[]] * (3 + len(_BITS))
         none = pa.nulls(len(rows))
         own = [pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, none.cast(pa.int32()), none.cast(pa.int64())], names=names)
@@ -78,7 +80,7 @@ def _profile(batches: Iterator[pa.RecordBatch], n_words: int, bits: int) -> Iter
         uses += np.bincount(np.concatenate(waiting), minlength=1 << bits)
     used = np.flatnonzero(uses)
     none = pa.nulls(len(used))
-    own = [none.cast(pa.int64())] * 2 + [none.cast(pa.int32())] + [none.cast(pa.int64())] * 6
+    own = [none.cast(pa.int64())] * 2 + [none.cast(pa.int32())] + [none.cast(pa.int64())] * (2 + len(_BITS))
     yield pa.RecordBatch.from_arrays([*own, pa.array(used, pa.int32()), pa.array(uses[used], pa.int64())], names=names)
 
 
@@ -234,22 +236,24 @@ def ngram_jaccard_groups(
         sides = sides.where(differ <= total - 2 * F.ceil(num * total / F.lit(num + den))).select("ua", "ub", "va", "vb")
         sides = scratch.save(f"{name}-pairs", sides)
         wanted = sides.selectExpr("ua as a", "ub as b").unionByName(sides.selectExpr("va as a", "vb as b")).distinct()
-        wanted = scratch.save(f"{name}-wanted", classes.join(wanted, ["a", "b"]).select("a", "b", "row_id", "text_id"))
-        bodies = texts.join(_sized(wanted), ["row_id", "text_id"]).groupBy("a", "b").agg(F.first("body").alias("body"))
+        wanted = classes.join(wanted, ["a", "b"]).select("a", "b", "row_id", "text_id")
+        if 2 * sides.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        bodies = texts.join(wanted, ["row_id", "text_id"]).groupBy("a", "b").agg(F.first("body").alias("body"))
         bodies = scratch.save(f"{name}-bodies", bodies)
         for side, text in (("u", "left"), ("v", "right")):
             sides = sides.join(bodies.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("body").alias(text)), [f"{side}a", f"{side}b"])
         sides = sides.select("ua", "ub", "va", "vb", "left", "right")
         links = sides.mapInArrow(partial(_linked, n_words=n_words, num=num, den=den), "ua long, ub long, va long, vb long")
         links = scratch.save(name, links.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v")))
-        scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-bodies")
+        scratch.drop(f"{name}-pairs", f"{name}-bodies")
         return links
 
     links = verified("links", first)
-    labels = scratch.save("labels", components(links).select("node.a", "node.b", "component"))
-    placed = shared.join(_sized(labels), ["a", "b"], "left").withColumn("component", F.coalesce("component", F.struct("a", "b")))
+    labels = scratch.save("labels", components(links))
+    placed = shared.join(_sized(labels.select("node.a", "node.b", "component")), ["a", "b"], "left").withColumn("component", F.coalesce("component", F.struct("a", "b")))
     placed = scratch.save("placed", placed)
-    scratch.drop("shared", "labels")
+    scratch.drop("shared")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("members"))
     mains = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("entries"))
     mains = mains.where("parts > 1").select("token", F.col("main.component").alias("main"), (F.col("entries") > hot_entries).alias("hot"))
@@ -272,14 +276,14 @@ def ngram_jaccard_groups(
     scratch.drop("placed", "mains", "open", "first", "twice")
     more = verified("more", second)
     all_links = links.unionByName(more)
-    labels = components(all_links)
+    labels = labels if more.isEmpty() else components(all_links)
     degree = all_links.selectExpr("u as node").unionByName(all_links.selectExpr("v as node")).groupBy("node").agg(F.count("*").alias("n_links"))
     members = classes.select("a", "b", "row_id", "text_id", F.struct("a", "b").alias("node")).join(labels, "node", "left")
-    members = scratch.save("members", members.withColumn("component", F.coalesce("component", "node")))
+    members = members.withColumn("component", F.coalesce("component", "node"))
     least = scratch.save("least", members.groupBy("component").agg(F.min(F.struct("row_id", "text_id")).alias("leader")))
     named = members.select("a", "b", "node", "component").join(least, "component").join(degree, "node", "left")
     named = scratch.save("named", named.select("a", "b", "leader", "n_links"))
-    scratch.drop("classes", "links", "more", "second", "members", "least")
+    scratch.drop("classes", "links", "more", "second", "labels", "least")
     linked = F.col("n") > 0
     leads = ~linked | F.col("row_id").isNull() | F.struct("row_id", "text_id").eqNullSafe(F.col("leader"))
     return profile.join(named, ["a", "b"], "left").select(
