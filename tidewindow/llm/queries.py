@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.llm import chat_format, decontaminate, html_text, language_id, mixing, quality, secrets, token_counts, warc
+from tidewindow.llm import chat_format, decontaminate, html_text, language_id, mixing, quality, secrets, token_counts, warc, whitening
 from tidewindow.llm.ngram_join import ngram_jaccard_groups
 from tidewindow.llm.shared import new_path
 
@@ -122,3 +122,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of each document and whether it is kept."""
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of each embedding."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
+    return out.withColumnRenamed("id", "vec_id")

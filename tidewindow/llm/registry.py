@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": q.op8_source_mixing,
         "op9_warc_packages": q.op9_warc_packages,
         "op10_quality_rules": q.op10_quality_rules,
+        "op11_embedding_whitening": q.op11_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
