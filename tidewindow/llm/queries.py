@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.llm import chat_format, decontaminate, html_text, language_id, mixing, quality, secrets, token_counts, warc, whitening
+from tidewindow.llm import chat_format, decontaminate, html_text, language_id, mixing, quality, quality_classifier, secrets, token_counts, warc, whitening
 from tidewindow.llm.ngram_join import ngram_jaccard_groups
 from tidewindow.llm.shared import new_path
 
@@ -128,3 +128,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen whitened components of each embedding."""
     out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
     return out.withColumnRenamed("id", "vec_id")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document, learned from the labels of two thirds of them."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    labels = table(spark, sf_dir, "labels").where(part != 1)
+    out = quality_classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_classifier.label_means(labels, F.col("quality")))
+    return out.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted")

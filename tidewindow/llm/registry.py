@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op9_warc_packages": q.op9_warc_packages,
         "op10_quality_rules": q.op10_quality_rules,
         "op11_embedding_whitening": q.op11_embedding_whitening,
+        "op12_quality_classifier": q.op12_quality_classifier,
         "pipeline": corpus_pipeline.run,
     }
 
