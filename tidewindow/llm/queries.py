@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.llm import chat_format, decontaminate, html_text, language_id, mixing, quality, quality_classifier, secrets, token_counts, warc, whitening
+from tidewindow.llm import chat_format, decontaminate, html_text, language_id, merkle, mixing, quality, quality_classifier, secrets, token_counts, warc, whitening
 from tidewindow.llm.ngram_join import ngram_jaccard_groups
 from tidewindow.llm.shared import new_path
 
@@ -136,3 +136,13 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(part != 1)
     out = quality_classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_classifier.label_means(labels, F.col("quality")))
     return out.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for each document, those of every seventh checksum against a changed leaf."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in documents.columns]
+    changed = [*fields[:3], F.col("n_chars").cast("decimal(20,0)") + 1, fields[4]]
+    altered = F.when((F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull(), merkle.leaf_of(changed))
+    rows = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("tree"), merkle.leaf_of(fields).alias("leaf"), altered.alias("altered"))
+    return merkle.proofs(rows).withColumnRenamed("id", "doc_id")

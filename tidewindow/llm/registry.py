@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op10_quality_rules": q.op10_quality_rules,
         "op11_embedding_whitening": q.op11_embedding_whitening,
         "op12_quality_classifier": q.op12_quality_classifier,
+        "op13_merkle_manifest": q.op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -42,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_source_mixing": sql.mixing_sql(q.MIX_WEIGHTS, q.MIX_SHARE, q.MIX_EPOCHS, q.MIX_SEED),
         "op9_warc_packages": sql.OP9,
         "op10_quality_rules": sql.quality_sql(),
+        "op13_merkle_manifest": sql.OP13,
     }

@@ -196,3 +196,48 @@ WITH texts AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept FROM judged
 """
+
+
+def _counted(column: str) -> str:
+    """A leaf's text of a column: its bytes, a colon and itself, or a hyphen."""
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(_counted(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_CRC = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)), CAST(4294967295 AS BIGINT))"""
+#: The digits of the tree of subroots follow on those of a language's tree.
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, sha256({_LEAF}) AS leaf, sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) AS changed,
+    n_chars IS NOT NULL AND doc_id IS NOT NULL AND xor({_CRC}, 4294967295) % 7 = 0 AS tampered FROM documents
+), ranked AS (
+  SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), lower AS (
+  SELECT tree, 0 AS lvl, i, n, leaf AS digest FROM ranked
+  UNION ALL
+  SELECT tree, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM lower WHERE n > 1 GROUP BY tree, lvl, i // 2, n
+), subroots AS (SELECT tree, lvl AS height, digest, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM lower WHERE n = 1
+), upper AS (
+  SELECT 0 AS lvl, i, n, digest FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY lvl, i // 2, n
+), steps AS (
+  SELECT r.doc_id, r.leaf, r.changed, r.tampered, r.tree, r.i, s.digest AS subroot, k.lvl,
+    CASE WHEN k.lvl < s.height THEN r.i >> k.lvl ELSE s.i >> (k.lvl - s.height) END AS at, CASE WHEN k.lvl < s.height THEN k.lvl END AS low, k.lvl - s.height AS high
+  FROM ranked r JOIN subroots s ON r.tree = s.tree JOIN (SELECT unnest(range(200)) AS lvl) k ON k.lvl < s.height + (SELECT max(lvl) FROM upper)
+), beside AS (
+  SELECT p.*, coalesce(l.digest, u.digest, '') AS sibling FROM steps p
+  LEFT JOIN lower l ON l.tree = p.tree AND l.lvl = p.low AND l.i = xor(p.at, 1)
+  LEFT JOIN upper u ON p.low IS NULL AND u.lvl = p.high AND u.i = xor(p.at, 1)
+), paths AS (SELECT tree, i, string_agg(sibling, '' ORDER BY lvl) AS proof FROM beside GROUP BY tree, i
+), folds AS (
+  SELECT tree, i, 0 AS lvl, CASE WHEN tampered THEN changed ELSE leaf END AS digest FROM ranked
+  UNION ALL
+  SELECT f.tree, f.i, f.lvl + 1, sha256(CASE WHEN b.at % 2 = 1 THEN b.sibling || f.digest ELSE f.digest || b.sibling END)
+  FROM folds f JOIN beside b ON b.tree = f.tree AND b.i = f.i AND b.lvl = f.lvl
+), ends AS (SELECT tree, i, arg_max(digest, lvl) AS digest FROM folds GROUP BY tree, i
+), root AS (SELECT digest FROM upper WHERE n = 1)
+SELECT r.doc_id, r.leaf, s.digest AS subroot, root.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.digest AS folded_root, e.digest = root.digest AS verified
+FROM ranked r JOIN subroots s ON r.tree = s.tree JOIN ends e ON e.tree = r.tree AND e.i = r.i LEFT JOIN paths p ON p.tree = r.tree AND p.i = r.i, root
+"""
