@@ -8,9 +8,9 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: How a mean score ranks: accuracy, worst accuracy, macro F1, abnormal F1, all descending.
 #: Subjects up to which splits are made: their number grows with its square, and that of their rows with its cube.
 MAX_SUBJECTS = 200
+#: How a mean score ranks: accuracy, worst accuracy, macro F1, abnormal F1, all descending.
 RANKING = ("mean_accuracy", "least_accuracy", "mean_macro_f1", "mean_abnormal_f1")
 
 
@@ -115,13 +115,14 @@ def outer_choices(pair_scores: DataFrame, splits: DataFrame, setting: Sequence[s
     whose values gets a choice of its own.
     """
     keyed = pair_scores.withColumn("train_subjects", parse_subjects(F.col("train_subjects")))
-    own = F.broadcast(splits.withColumn("train_subjects", F.col("train_subjects").cast("array<int>")))
-    usable = keyed.join(own, ["train_subjects", "validation_subject"])
-    sizes = {r["n"] for r in splits.groupBy("outer_subject").agg(F.count("*").alias("n")).select("n").distinct().collect()}
-    settings, outer = pair_scores.select(*groups, *setting).distinct().count(), splits.select("outer_subject").distinct().count()
-    if len(sizes) != 1 or usable.select(*groups, "outer_subject", *setting).distinct().count() != settings * outer:
-        raise ValueError("incomplete scores: a setting has none for an outer subject")
-    return best(require_complete(usable, [*groups, *setting], sizes.pop(), ["outer_subject"]), setting, ["outer_subject", *groups])
+    splits = splits.withColumn("train_subjects", F.col("train_subjects").cast("array<int>"))
+    summary = summarise(keyed.join(F.broadcast(splits), ["train_subjects", "validation_subject"]), setting, ["outer_subject", *groups])
+    sizes = F.broadcast(splits.groupBy("outer_subject").agg(F.count("*").alias("expected")))
+    every = pair_scores.select(*groups, *setting).distinct().crossJoin(sizes)  # settings by outer subjects, at most MAX_SUBJECTS
+    odd = every.join(summary, ["outer_subject", *groups, *setting], "left").where(F.coalesce("n_scores", F.lit(0)) != F.col("expected"))
+    if found := odd.select("outer_subject", *groups, *setting, "n_scores", "expected").limit(1).collect():
+        raise ValueError(f"incomplete scores: {found[0].asDict()}")
+    return ranked(summary, setting, ["outer_subject", *groups]).where("place = 1")
 
 
 def remaining(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -129,12 +129,14 @@ PROBS = probs_sql()
 #: Each pair of four training subjects with each of the other two as validation.
 FOLDS = tuple((a, b, v) for a in range(1, 5) for b in range(a + 1, 5) for v in range(1, 5) if v not in (a, b))
 SCALES, THRESHOLDS, STRIDES = (60, 150, 300), (0.70, 0.85), (15, 30)
+_SETTINGS = {"scale": SCALES, "threshold": THRESHOLDS, "stride": STRIDES}
 
 
 def scores(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:
     """``candidate_index, validation_subject, train_subjects`` and metrics, made of order lines: each line falls to one of the twelve folds.
 
-    ``extra`` names further settings that lines are told apart by: ``scale``, ``threshold`` and ``stride``.
+    ``extra`` names further settings that lines are told apart by: ``scale``, ``threshold`` and ``stride``. With them, every setting has a row for each fold, with metrics
+    of 0 where no line falls to it.
     """
     li = table(spark, sf_dir, "lineitem")
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")) / (F.count("*") * 100.0)
@@ -149,9 +151,17 @@ def scores(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataF
         "l_tax",
         "l_quantity",
     )
-    return li.groupBy(*extra, "candidate_index", "fold.validation_subject", "fold.train_subjects").agg(
+    found = li.groupBy(*extra, "candidate_index", "fold.validation_subject", "fold.train_subjects").agg(
         cents("l_discount").alias("accuracy"), cents("l_tax").alias("macro_f1"), (cents("l_quantity") / 50).alias("abnormal_f1")
     )
+    if not extra:
+        return found
+    every = li.select("candidate_index").distinct()
+    for name in extra:
+        every = every.withColumn(name, F.explode(F.array(*map(F.lit, _SETTINGS[name]))))
+    folds = F.explode(F.array(*(F.struct(F.lit(v).alias("validation_subject"), F.lit(f"{a}_{b}").alias("train_subjects")) for a, b, v in FOLDS)))
+    every = every.withColumn("fold", folds).select(*extra, "candidate_index", "fold.*")
+    return every.join(found, every.columns, "left").fillna(0.0, ["accuracy", "macro_f1", "abnormal_f1"])
 
 
 def _cents(c: str) -> str:
@@ -163,9 +173,17 @@ def scores_sql(extra: Sequence[str] = ()) -> str:
     keys = ", ".join((*extra, "candidate_index", "validation_subject", "train_subjects"))
     numbers = {"scale": (SCALES, "l_suppkey % 3"), "threshold": (THRESHOLDS, "l_partkey % 2"), "stride": (STRIDES, "l_orderkey % 2")}
     more = "".join(f", [{', '.join(f'{v}::DOUBLE' if name == 'threshold' else str(v) for v in values)}][{place} + 1] AS {name}" for name, (values, place) in numbers.items())
-    return f"""sc AS (SELECT {keys}, {_cents("l_discount")} AS accuracy, {_cents("l_tax")} AS macro_f1, {_cents("l_quantity")} / 50 AS abnormal_f1
+    name = "found" if extra else "sc"
+    found = f"""{name} AS (SELECT {keys}, {_cents("l_discount")} AS accuracy, {_cents("l_tax")} AS macro_f1, {_cents("l_quantity")} / 50 AS abnormal_f1
   FROM (SELECT l_linenumber AS candidate_index, CAST([{", ".join(str(v) for *_, v in FOLDS)}][n + 1] AS INTEGER) AS validation_subject, [{", ".join(f"'{a}_{b}'" for a, b, _ in FOLDS)}][n + 1] AS train_subjects{more}, l_discount, l_tax, l_quantity
     FROM (SELECT *, (l_orderkey + l_partkey + l_suppkey) % 12 AS n FROM lineitem)) GROUP BY {keys})"""
+    if not extra:
+        return found
+    folds = ", ".join(f"({v}, '{a}_{b}')" for a, b, v in FOLDS)
+    grids = ", ".join(f"(SELECT unnest([{', '.join(f'{v}::DOUBLE' if e == 'threshold' else str(v) for v in numbers[e][0])}]) AS {e}) AS g_{e}" for e in extra)
+    metrics = ", ".join(f"coalesce({m}, 0) AS {m}" for m in ("accuracy", "macro_f1", "abnormal_f1"))
+    return f"""{found}, sc AS (SELECT {keys}, {metrics} FROM (SELECT * FROM (SELECT DISTINCT l_linenumber AS candidate_index FROM lineitem) c, (VALUES {folds}) f(validation_subject, train_subjects), {grids}) k
+  LEFT JOIN found USING ({keys}))"""
 
 
 SCORES = scores_sql()

@@ -537,13 +537,6 @@ def filled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "predicted_label", F.round("prediction_confidence", 8).alias("prediction_confidence"))
 
 
-@query("k1_k2_all_filled_predictions", f"{FRAME_LABELS} SELECT e.event_id, label AS predicted_label, round(confidence, 8) AS prediction_confidence FROM ev e JOIN fl USING (subject_id, pos)")
-def all_filled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every subject's rows with their predictions."""
-    out = files.filled(frames(spark, sf_dir), frame_labels(spark, sf_dir), TYPES)
-    return out.select("event_id", "predicted_label", F.round("prediction_confidence", 8).alias("prediction_confidence"))
-
-
 @query("m6_m7_signatures", "SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS signature, CAST(user_id AS VARCHAR) || '_' || event_type AS key FROM events")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of settings as JSON with sorted names, and joined keys."""
