@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
-from tidewindow.operators import learning
+from tidewindow.operators import metrics, scans
 from tidewindow.storage import delete_folder, new_folder
 
 #: Gradients, curvatures and losses are counted in 1 / UNIT.
 UNIT = 2.0**24
 #: Features whose counts of a node meet in one group, cells that a task counts at a time, and rounds after which scores are written anew.
-TOGETHER, CELLS, RENEW = 8, 4_000_000, 20
+TOGETHER, CELLS, RENEW = 16, 4_000_000, 20
 _BEST = "target long, feature int, cut int, gain double, gl long, hl long, nl long, g long, h long, n long"
 
 
@@ -145,25 +146,34 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 # -- before the first tree ------------------------------------------------------------------------------------------------
 
 
-def _prepared(rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str, settings: Settings, weighting: str) -> tuple[Boosted, np.ndarray, bool]:
-    """An empty model with its fill values, cuts and first scores, the weight of each class, and whether losses are to be told.
+def _prepared(
+    rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str, settings: Settings, weighting: str, masks: Sequence[Column]
+) -> list[tuple[Boosted, np.ndarray, bool]]:
+    """For the rows of each mask: an empty model with its fill values, cuts and first scores, the weight of each class, and whether losses are to be told.
 
     Early stopping is off where a class that occurs has fewer than two rows, or where fewer rows than classes would be held out.
     """
-    fills = learning.medians(rows, features)
-    clean = learning.imputed(rows, fills)
+    names = [[f"m{k}_{i}" for i in range(len(features))] for k in range(len(masks))]
+    known = {n: F.when(mask, x.finite(F.col(f"`{c}`").cast("double"))) for mask, own in zip(masks, names, strict=True) for n, c in zip(own, features, strict=True)}
+    fills = {n: v if v is not None else 0.0 for n, v in scans.medians(rows.select(*(v.alias(n) for n, v in known.items())), list(known)).items()}
     places = [(i + 1) / settings.bins for i in range(settings.bins - 1)]
-    n = np.array([r["n"] for r in learning.metrics.class_counts(rows, classes, label).orderBy("class_idx").collect()], dtype=float)
-    marks = clean.agg(*(F.struct(F.percentile_approx(c, places, 10_000).alias("at"), F.max(c).alias("top")).alias(f"f{i}") for i, c in enumerate(features))).first()
-    cuts = [sorted({v for v in row["at"] or () if v < row["top"]}) for row in marks]
-    present, total = np.count_nonzero(n), n.sum()
-    if not total:
-        raise ValueError("no rows of any class to train on")
-    weight = {"none": np.ones(len(n)), "balanced": total / (present * np.maximum(n, 1)), "root": np.sqrt(total / (present * np.maximum(n, 1)))}[weighting]
-    share = n * weight / (n * weight).sum()
-    stops = settings.held_out > 0 and n[n > 0].min() >= 2 and np.ceil(total * settings.held_out) >= present
-    base = [float(np.log(s)) if s > 0 else None for s in share]
-    return Boosted(list(features), list(classes), [fills[c] for c in features], cuts, base), weight, bool(stops)
+    filled = [F.when(mask, F.coalesce(known[n], F.lit(fills[n]))).alias(n) for mask, own in zip(masks, names, strict=True) for n in own]
+    counts = [F.count_if(mask & (F.col(label) == c)).alias(f"n{k}_{j}") for k, mask in enumerate(masks) for j, c in enumerate(classes)]
+    count = rows.agg(*counts).first()
+    marks = rows.select(*filled).agg(*(F.struct(F.percentile_approx(n, places, 10_000).alias("at"), F.max(n).alias("top")).alias(n) for n in known)).first()
+    out = []
+    for k, own in enumerate(names):
+        n = np.array([count[f"n{k}_{j}"] for j in range(len(classes))], dtype=float)
+        present, total = np.count_nonzero(n), n.sum()
+        if not total:
+            raise ValueError("no rows of any class to train on")
+        cuts = [sorted({v for v in marks[c]["at"] or () if v < marks[c]["top"]}) for c in own]
+        weight = {"none": np.ones(len(n)), "balanced": total / (present * np.maximum(n, 1)), "root": np.sqrt(total / (present * np.maximum(n, 1)))}[weighting]
+        share = n * weight / (n * weight).sum()
+        stops = settings.held_out > 0 and n[n > 0].min() >= 2 and np.ceil(total * settings.held_out) >= present
+        base = [float(np.log(s)) if s > 0 else None for s in share]
+        out.append((Boosted(list(features), list(classes), [fills[c] for c in own], cuts, base), weight, bool(stops)))
+    return out
 
 
 class _Fit:
@@ -306,7 +316,7 @@ def fit_boosted(
         raise ValueError("between 2 and 256 bins")
     rows = rows.where(F.col(label).isin(*classes))
     fold = F.lit(None).cast("int") if fold is None else fold.cast("int")
-    prepared = [_prepared(rows if f is None else rows.where(~fold.eqNullSafe(F.lit(f))), features, classes, label, settings, weighting) for f in folds]
+    prepared = _prepared(rows, features, classes, label, settings, weighting, [F.lit(True) if f is None else ~fold.eqNullSafe(F.lit(f)) for f in folds])
     held = F.pmod(F.xxhash64(F.lit(settings.seed), *keys), F.lit(1_000_000)) < int(settings.held_out * 1_000_000)
     index = F.array_position(F.array(*map(F.lit, classes)), F.col(label)).cast("int") - 1
     given = rows.select(
@@ -366,3 +376,13 @@ def _round(fit: _Fit, going: list[int]) -> list[int]:
 
 def _leaf(g: int, h: int, settings: Settings) -> float:
     return -settings.rate * (g / UNIT) / (h / UNIT + settings.l2 + 1e-12)
+
+
+def leave_one_subject_out(
+    rows: DataFrame, features: Sequence[str], classes: Sequence[str], abnormal: Sequence[str], subjects: Sequence[int], keys: Sequence[str], settings: Settings | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(held_out_subject, truth, pred)`` of every row by the trees of the other subjects, which grow in the same passes, and the metrics by fold and pooled."""
+    models = fit_boosted(rows, features, classes, keys, settings=settings, fold=F.col("subject_id"), folds=subjects)
+    told = [models[s].predict(rows.where(F.col("subject_id") == s)).select(F.lit(s).alias("held_out_subject"), F.col("label").alias("truth"), "pred") for s in subjects]
+    out = reduce(DataFrame.unionByName, told)
+    return out, metrics.pooled_and_folds(metrics.valid_truth(out, classes), classes, abnormal)

@@ -8,14 +8,14 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexerModel, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexerModel, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
-from tidewindow.operators import metrics, selection
+from tidewindow.operators import information, metrics, scans, selection
 from tidewindow.schema import COORDS
 
 
@@ -24,8 +24,7 @@ from tidewindow.schema import COORDS
 
 def medians(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """The exact median of each feature over its finite values; 0 where there is none."""
-    row = rows.agg(*(F.median(x.finite(F.col(c))).alias(c) for c in features)).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in features}
+    return {c: v if v is not None else 0.0 for c, v in scans.medians(rows, features).items()}
 
 
 def imputed(rows: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -95,8 +94,9 @@ class Selector:
         return rows.select(*others, *(x.finite(F.col(c)).alias(c) for c in self.features))
 
 
-def fit_selector(rows: DataFrame, features: Sequence[str], budget: int | None = None, label: str = "label", limit: float = 0.98) -> Selector:
-    """Median fill, constants out, later ones of correlated features out, the rest by information, then by name."""
+def fit_selector(rows: DataFrame, features: Sequence[str], budget: int | None = None, label: str = "label", limit: float = 0.98, binned: bool = False) -> Selector:
+    """Median fill, constants out, later ones of correlated features out, the rest by information (of nearest neighbours, or of bins), then by name."""
+    informed = binned_information if binned else information.neighbour_information
     values = medians(rows, features)
     filled = imputed(rows, values).persist()
     try:
@@ -104,7 +104,7 @@ def fit_selector(rows: DataFrame, features: Sequence[str], budget: int | None =
         if not kept:
             raise ValueError("all features are constant")
         kept = without_correlated(rank_correlations(filled, kept), kept, limit) if len(kept) > 1 else kept
-        scores = {r["feature"]: r["information"] for r in binned_information(filled, kept, label).collect()}  # a row a feature
+        scores = dict.fromkeys(kept, 0.0) | {r["feature"]: r["information"] for r in informed(filled, kept, label).collect()}  # a row a feature
     finally:
         filled.unpersist()
     ranking = sorted(kept, key=lambda c: (-scores[c], c))
@@ -121,12 +121,17 @@ def balanced_weights(rows: DataFrame, classes: Sequence[str], label: str = "labe
     return rows.join(F.broadcast(table.select(F.col("class").alias(label), weight)), label)
 
 
+def _filling(values: dict[str, float]) -> SQLTransformer:
+    """A stage that adds ``__c`` for each feature c: its value, or the fill value where it is missing."""
+    return SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(`{c}`, double('{v!r}')) AS `__{c}`" for c, v in values.items()) + " FROM __THIS__")
+
+
 def fit_model(rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "label", trees: int = 60, depth: int = 8, seed: int = 42, root: bool = False) -> PipelineModel:
     """Median fill, features without variance out, a weighted random forest over classes in a fixed order."""
     index = StringIndexerModel.from_labels(list(classes), inputCol=label, outputCol="__y", handleInvalid="error")
     clean = rows.withColumns({c: x.finite(F.col(c).cast("double")) for c in features})
     stages = [
-        Imputer(strategy="median", relativeError=0.0, inputCols=list(features), outputCols=[f"__{c}" for c in features]),
+        _filling(medians(clean, features)),
         VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="__all"),
         VarianceThresholdSelector(varianceThreshold=1e-10, featuresCol="__all", outputCol="__features"),
         RandomForestClassifier(featuresCol="__features", labelCol="__y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred"),
@@ -139,7 +144,7 @@ def fit_perceptron(rows: DataFrame, features: Sequence[str], classes: Sequence[s
     index = StringIndexerModel.from_labels(list(classes), inputCol=label, outputCol="__y", handleInvalid="error")
     clean = rows.withColumns({c: x.finite(F.col(c).cast("double")) for c in features})
     stages = [
-        Imputer(strategy="median", relativeError=0.0, inputCols=list(features), outputCols=[f"__{c}" for c in features]),
+        _filling(medians(clean, features)),
         VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="__all"),
         StandardScaler(withMean=True, inputCol="__all", outputCol="__features"),
         MultilayerPerceptronClassifier(layers=[len(features), *hidden, len(classes)], featuresCol="__features", labelCol="__y", maxIter=epochs, seed=seed, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred"),

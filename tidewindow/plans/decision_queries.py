@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
+from tidewindow.operators import boosting
 from tidewindow.operators import decode as dc
 from tidewindow.operators import frames as fr
 from tidewindow.operators import fusion as fu
+from tidewindow.operators import information
 from tidewindow.operators import learning as ln
 from tidewindow.operators import metrics as mt
 from tidewindow.operators import selection as sl
@@ -582,6 +584,26 @@ def binned_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ln.binned_information(learning_rows(spark, sf_dir), _FEATURES), ["information"])
 
 
+def _psi(n: str) -> str:
+    """The digamma function in SQL: the asymptotic series ten steps on, less the steps."""
+    far = f"({n} + 10.0::DOUBLE)"
+    steps = " + ".join(f"1 / ({n} + {i}.0::DOUBLE)" for i in range(10))
+    return f"(ln({far}) - 1 / (2 * {far}) - 1 / (12 * {far} * {far}) + 1 / (120 * power({far}, 4)) - 1 / (252 * power({far}, 6)) - ({steps}))"
+
+
+@query(
+    "l7_neighbour_information",
+    f"""WITH {_FEAT}, fl AS (UNPIVOT (SELECT row_number() OVER () AS id, * FROM ft) ON {", ".join(_FEATURES)} INTO NAME feature VALUE v), nl AS (SELECT label, count(*) AS n FROM ft GROUP BY label HAVING count(*) > 1),
+dd AS (SELECT a.feature, a.id, a.v, abs(b.v - a.v) AS d, a.label = b.label AND a.id <> b.id AS own, nl.n FROM fl a JOIN fl b USING (feature) JOIN nl ON nl.label = a.label WHERE b.label IN (SELECT label FROM nl)),
+rr AS (SELECT feature, id, n, list(d ORDER BY d) FILTER (own)[least(3, n - 1)] AS r FROM dd GROUP BY feature, id, n),
+mm AS (SELECT feature, id, n, count(*) FILTER (d < r OR d = 0) AS m FROM dd JOIN rr USING (feature, id, n) GROUP BY feature, id, n)
+SELECT feature, round(greatest({_psi("count(*)")} + avg({_psi("least(3, n - 1)")}) - avg({_psi("n")}) - avg({_psi("m")}), 0), 8) AS information FROM mm GROUP BY feature""",
+)
+def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of features and label by the third neighbour of the own label."""
+    return rounded(information.neighbour_information(learning_rows(spark, sf_dir), _FEATURES), ["information"])
+
+
 _RANKS = "rk AS MATERIALIZED (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _FEATURES) + " FROM ft)"
 _CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM rk" for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1 :])
 
@@ -602,12 +624,24 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, c, chosen.scores[c]) for i, c in enumerate(chosen.features)], "place int, feature string, information double")
 
 
+#: Small trees and few rounds of them, as the rows are few.
+_TREES = boosting.Settings(rounds=8, rate=0.3, leaves=6, min_leaf=10, bins=64)
+
+
 @query("l1_e1_leave_one_subject_out")
 def leave_one_subject_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of weighted forests by held-out subject and pooled."""
+    """Metrics of boosted trees by held-out subject and pooled."""
     rows = learning_rows(spark, sf_dir)
     subjects = sorted(r["subject_id"] for r in rows.select("subject_id").distinct().collect())  # a row a subject
-    return ln.leave_one_subject_out(rows, _FEATURES, ("c0", "c1", "c2"), ("c1",), subjects)[1]
+    return boosting.leave_one_subject_out(rows, _FEATURES, ("c0", "c1", "c2"), ("c1",), subjects, ["vec_id"], _TREES)[1]
+
+
+@query("l1_l2_boosted_rows")
+def boosted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's class and confidence by the trees of the other subjects, with early stopping (L1, L2)."""
+    rows = learning_rows(spark, sf_dir)
+    model = boosting.fit_boosted(rows, _FEATURES, ("c0", "c1", "c2"), ["vec_id"], settings=_TREES, weighting="root", fold=F.col("subject_id"), folds=(0,))[0]
+    return model.predict(rows.where("subject_id = 0")).select("vec_id", "label", "pred", F.round("confidence", 8).alias("confidence"))
 
 
 @query("l10_perceptron")
