@@ -80,7 +80,7 @@ def test_information_equals_a_plain_count(spark, block):
 
 def test_selector_ranks_by_neighbours(spark):
     rng = random.Random(3)
-    rows = [(str(i % 2), (i % 2) * 3 + rng.gauss(0, 1), rng.random(), 1.0, None if i % 7 == 0 else (i % 2) * 6 + rng.gauss(0, 1)) for i in range(120)]
+    rows = [(str(i % 2), (i % 2) * 1.5 + rng.gauss(0, 1), rng.random(), 1.0, None if i % 40 == 0 else (i % 2) * 9 + rng.gauss(0, 1)) for i in range(120)]
     df = spark.createDataFrame(rows, "label string, useful double, noise double, constant double, best double")
     chosen = learning.fit_selector(df, ["noise", "useful", "constant", "best"])
     assert chosen.ranking == ["best", "useful", "noise"]
