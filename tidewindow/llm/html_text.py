@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,20 +29,28 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 #: Tags whose content is never text of the article.
-CUT_TAGS = frozenset(
-    "head title script style noscript template nav footer aside form button input select textarea iframe object svg canvas audio video menu dialog search".split()
-)
+CUT_TAGS = frozenset("head title script style noscript template iframe object svg canvas audio video".split())
+INPUTS = frozenset("input select textarea".split())
+#: Tags, roles, and whole names of a class or id that mark page furniture. What they mark stays if an article, or most of the text, is in it.
+SOFT_TAGS = frozenset("nav footer aside form button menu dialog search".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Whole names of a class or id that mark page furniture.
 CUT_NAMES = frozenset(
-    "banner comment commentlist consent copyright disqus footer gdpr header login masthead menu menubar nav navbar navigation overlay pager pagination "
-    "promo recommended related replies respond share sharing sidebar skip social subscribe subscription toolbar topbar widget "
-    "left-sidebar right-sidebar sidebar-left sidebar-right related-articles related-content related-links related-posts related-stories "
-    "recommended-articles recommended-posts share-buttons share-links sharing-buttons skip-link skip-to-content social-icons social-links social-media social-share "
-    "site-header site-footer site-nav main-menu copyright-notice login-form reply-form user-comments reader-comments".split()
+    "ad ads advert adverts advertisement advertising adsense ad-banner ad-block ad-box ad-container ad-label ad-slot ad-unit ad-wrapper sponsor sponsored sponsored-content sponsored-links "
+    "breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comments-list comments-section reader-comments user-comments disqus replies respond reply-form "
+    "cookie cookies cookie-banner cookie-bar cookie-box cookie-consent cookie-dialog cookie-message cookie-notice cookie-popup cookies-banner consent gdpr "
+    "modal modal-dialog notice notice-bar notice-banner popup popup-overlay overlay newsletter newsletter-box newsletter-form newsletter-signup subscribe subscription "
+    "copyright copyright-notice footer site-footer header site-header masthead topbar login login-form "
+    "menu menubar main-menu nav navbar navigation site-nav pager pagination toolbar sidebar left-sidebar right-sidebar sidebar-left sidebar-right".split()
+)
+#: Names of lists of links, which mark furniture only where most is in links or next to nothing is there.
+LINK_NAMES = frozenset(
+    "banner promo widget related related-articles related-content related-links related-posts related-stories recommended recommended-articles recommended-posts "
+    "share sharing share-buttons share-links sharing-buttons skip skip-link skip-to-content social social-icons social-links social-media social-share".split()
 )
-#: Words that mark it as a whole name and as the first part of one, as in ``ad-slot``.
-CUT_PREFIXES = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comments cookie cookies modal newsletter notice popup sponsor sponsored".split())
+#: Characters outside of links from which on something under such a name may be text.
+LINK_PROSE = 200
+#: Elements that ask for input, and those that hold its names; a form is no text if it has fewer than so many characters of other text for each of the former.
+CONTROLS, CONTROL_TEXT, CONTROL_PROSE = INPUTS | {"button"}, INPUTS | frozenset("a button label legend option".split()), 100
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What may stand beside the text within the same part of a page.
 BESIDE = HEADINGS | frozenset("header p blockquote figure pre ul ol dl table hr br".split())
@@ -102,7 +111,7 @@ class _Tree(HTMLParser):
                 self._close_to(last)
         node = Node(tag, dict(attrs), self.stack[-1])
         node.parent.children.append(node)
-        if tag not in VOID and (len(self.stack) < MAX_DEPTH or tag in CUT_TAGS):
+        if tag not in VOID and (len(self.stack) < MAX_DEPTH or tag in CUT_TAGS | INPUTS | SOFT_TAGS):
             self.stack.append(node)
             self.open[tag] += 1
 
@@ -124,23 +133,32 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.stack[-1].children.append(data)
 
+    def parse_starttag(self, i: int) -> int:
+        """A tag that the page ends in is no text, nor is what follows it, as in browsers; so no part of a page is looked at for each of many such tags."""
+        end = super().parse_starttag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return super().parse_pi(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment without an end goes up to the end of the page."""
+        return super().parse_comment(i, report) if self.rawdata.find("-->", i) >= 0 else len(self.rawdata)
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![...`` is a comment up to the next ``>``, as in browsers; without one it is text."""
         return self.rawdata.find(">", i) + 1 or -1
 
 
-def _is_cut(node: Node, inside: bool) -> bool:
-    """Whether an element is page furniture; ``inside``: within an article or main element."""
-    if node.tag in CUT_TAGS or (node.tag == "header" and not inside):
-        return True
-    if node.tag in ("html", "body", "article", "main", "#root"):
-        return node.tag == "article" and not _names(node).isdisjoint(("comment", "comments"))
-    attrs = node.attrs
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
-        return True
-    if attrs.get("role") in CUT_ROLES:
-        return True
-    return False
+def _is_cut(node: Node) -> bool:
+    """Whether an element is never text: by its tag, or as it is hidden."""
+    if node.tag in ("html", "body", "#root"):
+        return False
+    hidden = "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or _HIDDEN.search(node.attrs.get("style") or "")
+    return node.tag in CUT_TAGS or bool(hidden) and node.tag not in ("article", "main")
 
 
 def _names(node: Node) -> set[str]:
@@ -148,32 +166,71 @@ def _names(node: Node) -> set[str]:
     return set(f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}".lower().replace("_", "-").split())
 
 
-def _is_named(node: Node) -> bool:
-    """Whether an element's class or id names page furniture."""
-    if node.tag in ("html", "body", "article", "main", "#root", "h1", "h2", "h3", "h4", "h5", "h6"):
+@dataclass
+class _Held:
+    """What an element holds: an article, characters outside of links, characters in links, text that is not of controls, and controls; white space is not counted."""
+
+    article: bool = False
+    plain: int = 0
+    linked: int = 0
+    prose: int = 0
+    controls: int = 0
+
+
+def _held(nodes: list[Node]) -> dict[int, _Held]:
+    """What each of the nodes, parents before children, holds."""
+    out: dict[int, _Held] = {}
+    for node in reversed(nodes):
+        h = out[id(node)] = _Held()
+        chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        h.plain = h.prose = chars
+        for c in node.children:
+            if isinstance(c, Node):
+                own = out[id(c)]
+                h.article = h.article or own.article
+                h.plain, h.linked, h.prose, h.controls = h.plain + own.plain, h.linked + own.linked, h.prose + own.prose, h.controls + own.controls
+        h.article = h.article or node.tag in ("article", "main")
+        if node.tag == "a":
+            h.plain, h.linked = 0, h.plain + h.linked
+        if node.tag in INPUTS:
+            h.plain = h.linked = 0
+        if node.tag in CONTROL_TEXT:
+            h.prose = 0
+        h.controls += node.tag in CONTROLS and node.attrs.get("type") != "hidden"
+    return out
+
+
+def _is_furniture(node: Node, held: _Held, inside: bool) -> bool:
+    """Whether an element's tag, role or name says that it is page furniture; ``inside``: within an article or main element."""
+    if node.tag == "article":
+        return not _names(node).isdisjoint(("comment", "comments"))
+    if node.tag in ("html", "body", "main", "#root") or node.tag in HEADINGS:
         return False
+    if node.tag in ("form", "search") or node.attrs.get("role") in ("form", "search"):
+        return held.prose < CONTROL_PROSE * max(1, held.controls)
+    if node.tag in SOFT_TAGS or (node.tag == "header" and not inside) or node.attrs.get("role") in CUT_ROLES:
+        return True
     names = _names(node)
-    return not names.isdisjoint(CUT_NAMES) or any(name.split("-")[0] in CUT_PREFIXES for name in names)
+    if not names.isdisjoint(LINK_NAMES) and (held.plain < LINK_PROSE or held.linked > held.plain):
+        return True
+    return not names.isdisjoint(CUT_NAMES)
 
 
 def _prune(root: Node) -> None:
-    """Cuts page furniture, by names only where neither an article nor most of the text outside of links would go with it."""
-    _prune_by(root, _is_cut)
-    nodes = _in_order(root)
-    holds, plain = set(), {}
-    for node in reversed(nodes):
-        inner = [c for c in node.children if isinstance(c, Node)]
-        if node.tag in ("article", "main") or any(id(c) in holds for c in inner):
-            holds.add(id(node))
-        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
-        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(c)] for c in inner)
-    total, apart = plain[id(root)], id(root) in holds
+    """Cuts what is never text, then fields and page furniture, the latter where neither an article nor most of the text outside of links would go with it."""
+    _prune_by(root, lambda node, inside: _is_cut(node))
+    held = _held(_in_order(root))
+    total, apart = held[id(root)].plain, held[id(root)].article
 
-    def named(node: Node, inside: bool) -> bool:
-        most = 2 * plain[id(node)] > total and (inside or not apart)
-        return _is_named(node) and id(node) not in holds and not most
+    def furniture(node: Node, inside: bool) -> bool:
+        own = held[id(node)]
+        if node.tag in INPUTS:
+            return True
+        most = 2 * own.plain > total and (inside or not apart)
+        kept = own.article and node.tag != "article" or most
+        return not kept and _is_furniture(node, own, inside)
 
-    _prune_by(root, named)
+    _prune_by(root, furniture)
 
 
 def _prune_by(root: Node, cut: Callable[[Node, bool], bool]) -> None:
@@ -236,12 +293,19 @@ def _content(root: Node) -> list[Node]:
         head = at
         while kept[0] is node and head and beside[head - 1].tag in HEADINGS:
             head -= 1
-        before = [c for i, c in enumerate(beside[:at]) if i >= head or c.density >= threshold > 0]
-        kept = before + kept + [c for c in beside[at + 1 :] if c.density >= threshold > 0]
+        before = [c for i, c in enumerate(beside[:at]) if i >= head or _is_text(c, best, threshold)]
+        kept = before + kept + [c for c in beside[at + 1 :] if _is_text(c, best, threshold)]
         node = node.parent
     return kept
 
 
+def _is_text(node: Node, best: Node, threshold: float) -> bool:
+    """Whether a node beside the path is text: by its density, or as a further article with no more of it in links than in the densest one."""
+    if node.tag == "article" and node.chars and node.link_chars * best.chars <= best.link_chars * node.chars:
+        return True
+    return node.density >= threshold > 0
+
+
 def _plain_beside(node: Node) -> bool:
     """Whether all that stands beside a node is headings and text with few links."""
     for c in node.parent.children:
@@ -283,6 +347,7 @@ def _blocks(root: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by line feeds, or the empty string.
 
+    A further article beside the text stays if it has no larger share of its characters in links, however short it is. A page that ends within a tag or a comment ends before it.
     Where several nodes have the largest sum of densities, the first in level order is taken. A node whose neighbours are all headings and text with few links
     gives way to its parent, up to the children of the body; headings right before it are its title. No markup is an error.
     """
