@@ -46,9 +46,9 @@ def _powers_to(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(LOWER), dtype=np.uint8)
+def word_hashes(text: str | None, table: bytes = LOWER) -> np.ndarray:
+    """64-bit hashes of the lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; with ``ALNUM``, of its words of letters, digits and characters beyond ASCII."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(table), dtype=np.uint8)
     inside = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
