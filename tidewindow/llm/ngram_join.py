@@ -9,8 +9,9 @@ pivots of the sorted sets), and each distinct pair is compared once.
 To stay linear on large groups of near copies, a first round compares each class only with the
 leader of its n-gram, the class that reaches it at the earliest position. Pairs inside one
 component of these links need no further comparison for the components; a second round compares all
-remaining pairs whose components differ, without a cap. An n-gram under which very many such classes are left is not joined by itself: a link
-shares two n-grams of prefixes that are one n-gram longer, so those classes meet under pairs of n-grams.
+remaining pairs whose components differ, without a cap. An n-gram under which very many such classes are left is not joined by itself. Two sets of n and m items that link
+have at most D = n + m - 2 * overlap unlike items, so of their first D + 2 common items two stand side by side in both: each unlike item parts one such pair at most.
+Those classes meet under pairs of neighbours in the order, of which a prefix twice as long has no more than it has items.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewindow.llm.components import components
 from tidewindow.llm.shared import Scratch, small_batches
-from tidewindow.llm.textvec import set_id, shingles
+from tidewindow.llm.textvec import mix64, set_id, shingles
 
 #: Buckets of hash space whose occurrences are counted, as powers of two: the broadcast order table has 4 bytes for each,
 #: so 1 MB at least and 64 MB at most. They grow with the corpus, to hold BUCKET_BYTES of text each until there are most.
@@ -43,7 +44,9 @@ _PIVOTS = (np.arange(1, 64, dtype=np.uint64)) << np.uint64(58)
 #: Bits of a set's parity bitmap, which tells unlike sets apart as long as their bound of unlike items is below half of it or so.
 PARITY_BITS = 1024
 _BITS = tuple(f"s{i}" for i in range(PARITY_BITS // 64))
-_PROFILE = f"row_id long, text_id long, n int, a long, b long, {', '.join(f'{s} long' for s in _BITS)}, bucket int, uses long"
+_PROFILE = f"row_id long, text_id long, n int, a long, b long, {', '.join(f'{s} long' for s in _BITS)}, range int, uses binary"
+#: Buckets whose counts a task writes as one row, as a power of two.
+_RANGE_BITS = 12
 _POSTING = "token long, a long, b long, n int, pos int"
 
 
@@ -59,7 +62,7 @@ def _parity(items: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n_words: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end a row for each used bucket of the order table."""
+    """A row for each document, and at the end a row for each range of buckets of the order table that has any n-gram: its counts, packed."""
     names = [x.split()[0] for x in _PROFILE.split(", ")]
     uses, waiting, held = np.zeros(1 << bits, dtype=np.int64), [], 0
     for batch in batches:
@@ -75,13 +78,22 @@ def _profile(batches: Iterator[pa.RecordBatch], n_words: int, bits: int) -> Iter
         columns = list(zip(*rows, strict=True)) or [[]] * (3 + len(_BITS))
         none = pa.nulls(len(rows))
         own = [pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, none.cast(pa.int32()), none.cast(pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
     if waiting:
         uses += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-    used = np.flatnonzero(uses)
+    ranges = uses.reshape(-1, 1 << _RANGE_BITS)
+    used = np.flatnonzero(ranges.any(axis=1))
     none = pa.nulls(len(used))
     own = [none.cast(pa.int64())] * 2 + [none.cast(pa.int32())] + [none.cast(pa.int64())] * (2 + len(_BITS))
-    yield pa.RecordBatch.from_arrays([*own, pa.array(used, pa.int32()), pa.array(uses[used], pa.int64())], names=names)
+    yield pa.RecordBatch.from_arrays([*own, pa.array(used, pa.int32()), pa.array([ranges[r].tobytes() for r in used], pa.binary())], names=names)
+
+
+def _summed(parts: pa.Table) -> pa.Table:
+    """The counts of one range of buckets, a row each a task, added up."""
+    total = np.zeros(1 << _RANGE_BITS, dtype=np.int64)
+    for part in parts.column("uses"):
+        total += np.frombuffer(part.as_py(), dtype=np.int64)
+    return pa.table({"range": parts.column("range").slice(0, 1), "uses": pa.array([total.tobytes()], pa.binary())})
 
 
 def _need(n: int, num: int, den: int) -> int:
@@ -118,6 +130,46 @@ def _postings(batches: Iterator[pa.RecordBatch], order, n_words: int, num: int,
             )
 
 
+def _beyond(num: int, den: int) -> int:
+    """The size from which a set has enough common items with any that it links with for two of them to be neighbours in both; 0 if there is none.
+
+    Of n and m items, the overlap has to be two more than the unlike items: 3 * overlap >= n + m + 2, and it is num * (n + m) / (num + den) at least.
+    """
+    spare = 2 * num - den  # 3 * overlap is more than n + m by spare / (num + den) of them, and n + m by (num + den) / den more than n alone
+    return -(-2 * den // spare) if spare > 0 else 0
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], order, n_words: int, num: int, den: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """As :func:`_postings`, entries of each two neighbours in the order of a set, as far as the first pair that both sets of a link have as neighbours can stand: up to
+    place n - overlap + D + 1, largest for the smallest set that links."""
+    rank, seen = order.value, set()
+    shift, low = np.uint64(64 - bits), np.uint64((1 << (64 - bits)) - 1)
+    for batch in batches:
+        tokens, a_s, b_s, sizes, places = [], [], [], [], []
+        for text in batch.column(0):
+            items = shingles(text.as_py(), n_words)
+            own, n = set_id(items), len(items)
+            if n < _beyond(num, den) or own in seen:
+                continue
+            if len(seen) < SEEN:
+                seen.add(own)
+            least = num * n // den
+            k = min(n, 2 * n + least - 3 * (num * (n + least) // (num + den)) + 3)
+            keys = (rank[(items >> shift).astype(np.int64)].astype(np.uint64) << shift) | (items & low)
+            if k < n:
+                keys = np.partition(keys, k - 1)[:k]
+            keys.sort()
+            tokens.append(mix64(mix64(keys[:-1]) + keys[1:]).view(np.int64))
+            a_s.append(np.full(k - 1, own[0]))
+            b_s.append(np.full(k - 1, own[1]))
+            sizes.append(np.full(k - 1, n, dtype=np.int32))
+            places.append(np.arange(k - 1, dtype=np.int32))
+        if tokens:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in (tokens, a_s, b_s, sizes, places)], names=["token", "a", "b", "n", "pos"]
+            )
+
+
 def _linked(batches: Iterator[pa.RecordBatch], n_words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets are as alike as asked for."""
     kept_id, kept = None, None
@@ -147,6 +199,13 @@ def _may_link(num: int, den: int) -> Column:
     )
 
 
+def _near(num: int, den: int) -> Column:
+    """Length filter, and a filter on the places of two entries x and y of neighbours: what stands before them in one set only is unlike."""
+    n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
+    least = F.ceil((num * (n + m)) / F.lit(num + den))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.abs(F.col("x.pos") - F.col("y.pos")) <= n + m - 2 * least)
+
+
 def _same(*columns: str) -> Column:
     out = F.lit(True)
     for column in columns:
@@ -196,11 +255,13 @@ def ngram_jaccard_groups(
     texts = texts.select("row_id", F.xxhash64("body").alias("text_id"), "body")
     bits = order_bits(texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
 
-    both = scratch.save("profile", texts.mapInArrow(partial(_profile, n_words=n_words, bits=bits), _PROFILE))
-    profile = both.where("bucket is null").drop("bucket", "uses")
-    used = both.where("bucket is not null").groupBy("bucket").agg(F.sum("uses").alias("uses")).toArrow()  # at most 2 ** bits rows
+    both = texts.mapInArrow(partial(_profile, n_words=n_words, bits=bits), _PROFILE).withColumn("counts", F.col("range").isNotNull())
+    both = scratch.save("profile", both, partitions=["counts"])  # profiles and counts are files of their own
+    profile = both.where("not counts").drop("range", "uses", "counts")
+    ranges = both.where("counts").select("range", "uses").groupBy("range").applyInArrow(_summed, "range int, uses binary")
     counts = np.zeros(1 << bits, dtype=np.int64)
-    counts[used.column("bucket").to_numpy()] = used.column("uses").to_numpy()
+    for row in ranges.toLocalIterator():  # 8 bytes a bucket
+        counts[row["range"] << _RANGE_BITS : (row["range"] + 1) << _RANGE_BITS] = np.frombuffer(row["uses"], dtype=np.int64)
     rank = np.empty(1 << bits, dtype=np.uint32)
     rank[np.argsort(counts, kind="stable")] = np.arange(1 << bits, dtype=np.uint32)
     order = spark.sparkContext.broadcast(rank)
@@ -254,26 +315,37 @@ def ngram_jaccard_groups(
     placed = shared.join(_sized(labels.select("node.a", "node.b", "component")), ["a", "b"], "left").withColumn("component", F.coalesce("component", F.struct("a", "b")))
     placed = scratch.save("placed", placed)
     scratch.drop("shared")
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("members"))
-    mains = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("entries"))
-    mains = mains.where("parts > 1").select("token", F.col("main.component").alias("main"), (F.col("entries") > hot_entries).alias("hot"))
-    mains = scratch.save("mains", mains)
-    open_ = scratch.save("open", placed.join(_sized(mains), "token").withColumn("lone", need <= 1))
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (_node("x") < _node("y")))
 
-    def met(left: DataFrame, *key: str) -> DataFrame:
-        return left.where("component <> main").alias("x").join(left.alias("y"), _same(*key) & apart & _may_link(num, den))
-
-    inside = open_.where(F.col("pos") <= F.col("n") - need)
-    second = _pairs(met(inside.where("not hot or lone"), "token"))
-    if not mains.where("hot").isEmpty():
-        beside = placed.select("a", "b", F.col("token").alias("token2"))
-        twice = inside.where("hot").join(beside, ["a", "b"]).where("token <> token2")
-        twice = scratch.save("twice", twice)
-        second = second.unionByName(_pairs(met(twice, "token", "token2"))).distinct()
+    def opened(name: str, entries: DataFrame) -> DataFrame:
+        """The entries under n-grams that several components have, with the component that has most of them."""
+        sizes = entries.groupBy("token", "component").agg(F.count("*").alias("members"))
+        mains = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("entries"))
+        mains = mains.where("parts > 1").select("token", F.col("main.component").alias("main"), (F.col("entries") > hot_entries).alias("hot"))
+        mains = scratch.save(f"{name}-mains", mains)
+        out = scratch.save(name, entries.join(_sized(mains), "token"))
+        scratch.drop(f"{name}-mains")
+        return out
+
+    def met(left: DataFrame, alike: Column) -> DataFrame:
+        return _pairs(left.where("component <> main").alias("x").join(left.alias("y"), _same("token") & apart & alike))
+
+    # of a pair with a set below that size, both sets are small, and meet under their n-grams however many there are
+    beyond = _beyond(num, den)
+    small = F.col("n") < 2 * beyond if beyond else F.lit(True)
+    inside = opened("open", placed.where(F.col("pos") <= F.col("n") - need))
+    second = met(inside.where(~F.col("hot") | small), _may_link(num, den))
+    crowded = scratch.save("crowded", inside.where(F.col("hot") & ~small).select("a", "b", "component").distinct())
+    if not crowded.isEmpty():
+        wanted = crowded.join(classes, ["a", "b"]).select("row_id", "text_id")
+        bodies = texts.join(wanted, ["row_id", "text_id"], "left_semi").select("body")
+        paired = bodies.mapInArrow(partial(_neighbours, order=order, n_words=n_words, num=num, den=den, bits=bits), _POSTING)
+        paired = scratch.save("paired", paired.repartition("token", "a").distinct())
+        twice = opened("twice", paired.join(_sized(crowded), ["a", "b"]))
+        second = second.unionByName(met(twice, _near(num, den))).distinct()
     second = second.join(first, ["ua", "ub", "va", "vb"], "left_anti")
     second = scratch.save("second", second)
-    scratch.drop("placed", "mains", "open", "first", "twice")
+    scratch.drop("placed", "open", "first", "crowded", "paired", "twice")
     more = verified("more", second)
     all_links = links.unionByName(more)
     labels = labels if more.isEmpty() else components(all_links)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,10 +57,10 @@ def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows of ``df``, written once as Parquet and read from there."""
+def written(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``df``, written once as Parquet and read from there; ``partitions`` are columns whose values get files of their own."""
     with _tidy_shuffles(df.sparkSession):
-        df.write.parquet(path)
+        df.write.partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,10 +82,10 @@ class Scratch:
         self.spark, self.folder = spark, new_path(spark, name)
         self._paths: dict[str, str] = {}
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
+    def save(self, name: str, df: DataFrame, partitions: Sequence[str] = ()) -> DataFrame:
         """``df`` as a written table; a name that is used again stands for the newer table and drops the older one."""
         before, path = self._paths.get(name), f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        out = written(df, path)
+        out = written(df, path, partitions)
         self._paths[name] = path
         if before:
             delete_path(self.spark, before)
