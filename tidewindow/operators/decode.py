@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewindow.functions.expressions import argmax, group_fusion
@@ -94,11 +95,102 @@ def viterbi(emissions: np.ndarray, transition: np.ndarray, initial: np.ndarray,
     return _best_paths(emissions, *_scaled(transition, initial, [strength]))[:, 0]
 
 
+#: Numbers of predecessors that a task holds at a time: sequences by positions by strengths by classes.
+HELD = 32_000_000
+
+
+def _trellis(emissions: np.ndarray, lengths: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The paths of many sequences at once: sequences by strengths by positions. ``emissions``: sequences, longest first, by positions by classes, filled up behind their lengths.
+
+    A step is taken for all sequences that last so long and all strengths.
+    """
+    emit = _units(emissions)
+    s, t, k = emit.shape
+    n = len(move)
+    active = np.searchsorted(-lengths, -np.arange(t), side="left")  # sequences longer than each position
+    score = emit[:, 0, None, :] + first
+    back = np.zeros((t, s, n, k), dtype=np.uint8 if k < 256 else np.int32)
+    for at in range(1, t):
+        m = active[at]
+        reached = score[:m, :, :, None] + move
+        back[at, :m] = reached.argmax(axis=2)
+        score[:m] = reached.max(axis=2) + emit[:m, at, None, :]
+    path = np.zeros((s, n, t), dtype=np.int32)
+    now = score.argmax(axis=2)
+    rows, strengths = np.arange(s)[:, None], np.arange(n)[None, :]
+    path[rows, strengths, lengths[:, None] - 1] = now
+    for at in range(t - 1, 0, -1):
+        m = active[at]
+        now[:m] = back[at, rows[:m], strengths, now[:m]]
+        path[:m, :, at - 1] = now[:m]
+    return path
+
+
+def _sequences(sequences: DataFrame, move: np.ndarray, first: np.ndarray) -> DataFrame:
+    """``sequences(..., frames array<struct<pos, probs, ...>>)`` with ``paths``, an array of class numbers for each strength."""
+    n, k = first.shape
+    columns = sequences.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frames = b.column("frames")
+            lengths = np.diff(frames.offsets.to_numpy())
+            probs = frames.flatten().field("probs").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            begins = np.cumsum(lengths) - lengths
+            order, found, at = np.argsort(-lengths, kind="stable"), {}, 0
+            while at < len(order):
+                longest = max(int(lengths[order[at]]), 1)
+                own = order[at : at + max(1, HELD // (longest * n * k))]
+                at += len(own)
+                padded = np.ones((len(own), longest, k))
+                for i, r in enumerate(own):
+                    padded[i, : lengths[r]] = probs[begins[r] : begins[r] + lengths[r]]
+                paths = _trellis(padded, lengths[own], move, first)
+                found |= {r: paths[i, :, : lengths[r]] for i, r in enumerate(own)}
+            flat = np.concatenate([found[r].ravel() for r in range(len(lengths))]) if len(lengths) else np.empty(0, dtype=np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.repeat(lengths, n))]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(lengths) + 1, n, dtype=np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), outer], [*columns, "paths"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sequences.schema)
+    return sequences.mapInArrow(run, f"{kinds}, paths array<array<int>>")
+
+
+def _told(sequences: DataFrame, strengths: Sequence[float], classes: Sequence[str]) -> DataFrame:
+    """The frames of sequences with paths, a row for each strength and frame with ``strength``, ``label`` and ``confidence``."""
+    keys = [c for c in sequences.columns if c not in ("frames", "paths")]
+    each = sequences.select(*keys, "frames", F.posexplode("paths").alias("which", "path")).select(*keys, "which", F.inline(F.arrays_zip("frames", "path"))).select(*keys, "which", "frames.*", "path")
+    names, at = F.array(*map(F.lit, classes)), F.array(*(F.lit(float(v)) for v in strengths))
+    return each.withColumns({"strength": F.get(at, F.col("which")), "label": F.get(names, F.col("path")), "confidence": F.get("probs", F.col("path"))}).drop("which", "probs", "path")
+
+
+def _collected(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., frames``: the other columns of a sequence's rows as structs in order of ``pos``; a sequence is a block at most."""
+    others = [c for c in rows.columns if c not in (*keys, "pos")]
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *others))).alias("frames"))
+
+
 def _paths(rows: DataFrame, keys: Sequence[str], transition: np.ndarray, initial: np.ndarray, strengths: Sequence[float], classes: Sequence[str], block: int) -> DataFrame:
-    """``rows(keys..., pos, probs)`` without ``probs``, with ``strength``, ``label`` and ``confidence``: the paths :func:`viterbi` finds for each of ``keys`` at each strength.
+    """``rows(keys..., pos, probs, ...)`` without ``probs``, with ``strength``, ``label`` and ``confidence``: the paths :func:`viterbi` finds for each of ``keys`` at each strength.
 
-    A sequence is cut into blocks of ``pos``, and no task holds more than one of them. Where no sequence has more than one, its path is found at once. Else each block's best
-    scores from every class before it to every class at its end are found in parallel; chaining these gives the scores that enter each block. From those a second pass finds the class
+    Sequences up to a block are decoded many at a time, filled up to a common length. Longer ones, if there are any, are cut into blocks that tasks decode in parallel.
+    """
+    move, first = _scaled(transition, initial, strengths)
+    spark, table = rows.sparkSession, new_folder(rows.sparkSession, "decode")  # read several times, worked out once
+    rows.write.parquet(table)
+    rows = spark.read.schema(rows.schema).parquet(table)
+    long = rows.where(F.col("pos") >= block).select(*keys).distinct()
+    if long.isEmpty():
+        return _told(_sequences(_collected(rows, keys), move, first), strengths, classes)
+    short = _told(_sequences(_collected(rows.join(long, list(keys), "left_anti"), keys), move, first), strengths, classes)
+    blocks = _block_paths(rows.join(long, list(keys), "left_semi"), keys, transition, initial, strengths, classes, block)
+    return short.unionByName(blocks)
+
+
+def _block_paths(rows: DataFrame, keys: Sequence[str], transition: np.ndarray, initial: np.ndarray, strengths: Sequence[float], classes: Sequence[str], block: int) -> DataFrame:
+    """As :func:`_paths`, for sequences of several blocks, of which no task holds more than one.
+
+    Each block's best scores from every class before it to every class at its end are found in parallel; chaining these gives the scores that enter each block. From those a second pass finds the class
     before the block for each class at its end; chaining these gives the ends, from which the last pass follows each block's path.
     """
     k, n, names = len(classes), len(strengths), np.array(list(classes), dtype=object)
@@ -115,16 +207,7 @@ def _paths(rows: DataFrame, keys: Sequence[str], transition: np.ndarray, initial
         at = np.arange(len(found))
         return pd.concat([g[carried].assign(strength=float(s), label=names[found[:, i]], confidence=emissions[at, found[:, i]]) for i, s in enumerate(strengths)])
 
-    def whole(g: pd.DataFrame) -> pd.DataFrame:
-        g, emissions = ordered(g)
-        return told(g, emissions, _best_paths(emissions, move, first))
-
     rows = rows.withColumn("block", F.floor(F.col("pos") / block))
-    spark, table = rows.sparkSession, new_folder(rows.sparkSession, "decode")  # read several times, worked out once
-    rows.write.parquet(table)
-    rows = spark.read.schema(rows.schema).parquet(table)
-    if rows.where("block > 0").isEmpty():
-        return rows.drop("block").groupBy(*keys).applyInPandas(whole, out)
     by = [*keys, "block"]
     typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
 
@@ -195,8 +278,23 @@ def decode(frames: DataFrame, transition: np.ndarray, initial: np.ndarray, class
 def decode_grid(frames: DataFrame, group: DataFrame, truth: DataFrame, transition: np.ndarray, initial: np.ndarray, classes: Sequence[str], abnormal: Sequence[str], alphas: Sequence[float], strengths: Sequence[float], block: int = BLOCK) -> DataFrame:
     """``(alpha, strength, subject_id, pos, truth, label)``: every setting of gate and decoder over every subject, all strengths of a gate in one pass."""
     rows = frames.join(group.select("subject_id", "pos", F.col("probs").alias("gate")), ["subject_id", "pos"]).join(truth, ["subject_id", "pos"])
-    rows = rows.withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas))))
-    fused = group_fusion(F.col("probs"), F.col("gate"), F.col("alpha"), classes, abnormal)
-    rows = rows.select("subject_id", F.col("pos").cast("long").alias("pos"), "truth", "alpha", fused.alias("probs"))
-    out = _paths(rows, ["alpha", "subject_id"], transition, initial, strengths, classes, block)
+    rows = rows.select("subject_id", F.col("pos").cast("long").alias("pos"), "truth", "probs", "gate")
+    spark, table = rows.sparkSession, new_folder(rows.sparkSession, "grid")
+    rows.write.parquet(table)
+    rows = spark.read.schema(rows.schema).parquet(table)
+    settings = F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha")
+
+    def fused(probs: Column, gate: Column) -> Column:
+        return group_fusion(probs, gate, F.col("alpha"), classes, abnormal)
+
+    long = rows.where(F.col("pos") >= block).select("subject_id").distinct()
+    some = not long.isEmpty()
+    # gates fuse a subject's whole frames, so that its probabilities are shuffled once, whatever the number of settings
+    each = _collected(rows.join(long, "subject_id", "left_anti") if some else rows, ["subject_id"]).select("subject_id", "frames", settings)
+    each = each.withColumn("frames", F.transform("frames", lambda f: F.struct(f["pos"].alias("pos"), f["truth"].alias("truth"), fused(f["probs"], f["gate"]).alias("probs"))))
+    out = _told(_sequences(each, *_scaled(transition, initial, strengths)), strengths, classes)
+    if some:
+        own = rows.join(long, "subject_id", "left_semi").select("subject_id", "pos", "truth", settings, "probs", "gate")
+        own = own.select("subject_id", "pos", "truth", "alpha", fused(F.col("probs"), F.col("gate")).alias("probs"))
+        out = out.unionByName(_block_paths(own, ["alpha", "subject_id"], transition, initial, strengths, classes, block))
     return out.select("alpha", "strength", "subject_id", "pos", "truth", "label")
