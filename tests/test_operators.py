@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -243,3 +244,34 @@ def test_summaries_of_one_value(spark):
     r = spark.createDataFrame([(1, 0, "s", 0, 2.0)], "subject_id int, start_pos int, signal string, pos long, x double")
     row = features.summaries(r).first()
     assert (row["mean"], row["std"], row["slope"], row["q90"]) == (2.0, 0.0, 0.0, 2.0)
+
+
+def test_one_long_subject_is_the_same_in_blocks(spark, monkeypatch):
+    """Gaps, carried values, differences, medians, nearest frames and steps over block ends equal those of one block."""
+    rng = random.Random(6)
+    rows = [(s, p, *((None if rng.random() < 0.5 else rng.random()) for _ in COORDS), rng.choice(["A", "B", None])) for s, n in ((1, 61), (None, 9), (2, 1)) for p in range(n)]
+    rows = [(s, p, *((0.5 if p in (0, 8) else v) for v in own[: len(COORDS)]), own[-1]) for s, p, *own in rows]
+    df = spark.createDataFrame(rows, "subject_id int, pos long, " + ", ".join(f"{c} double" for c in COORDS) + ", label string")
+
+    def results():
+        own = df.select("subject_id", "pos", *COORDS[:3], "label")
+        probs = df.select("subject_id", "pos", F.when(F.col("nose_x").isNotNull(), F.array("nose_x", F.lit(1.0))).alias("probs"))
+        whole = df.fillna(0.25, COORDS)
+        tables = [
+            frames.fill_gaps(own, COORDS[:3]), frames.carry(own, COORDS[:3]), frames.normalise_pose_robustly(whole), signals.signal_set(whole, "B")[0],
+            fusion.fill_nearest(probs), *decode.transition_counts(df, ["A", "B"]), windows.frames_in_windows(own, 8, 3, True),
+        ]
+        return [sorted(map(repr, t.collect())) for t in tables]
+
+    whole = results()
+    monkeypatch.setattr(frames, "BLOCK", 20)
+    assert results() == whole
+
+
+def test_no_window_over_a_subject_alone(spark):
+    """But for those over the rows that blocks hand on."""
+    df = spark.createDataFrame([(1, p, *([0.5] * len(COORDS))) for p in range(30)], "subject_id int, pos long, " + ", ".join(f"{c} double" for c in COORDS))
+    for out in (frames.prepare(df), signals.pose_signals(df)[0], windows.frames_in_windows(df, 8, 4)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        over = [line for line in plan.splitlines() if "windowspecdefinition(subject_id" in line and "__block" not in line]
+        assert not over

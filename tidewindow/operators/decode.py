@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewindow.functions.expressions import argmax, group_fusion
-from tidewindow.operators.frames import in_order
+from tidewindow.operators.frames import in_parts, overlapping, settled
 from tidewindow.storage import new_folder
 
 FLOOR = 1e-12
@@ -31,7 +31,8 @@ def transition_counts(frames: DataFrame, classes: Sequence[str]) -> tuple[DataFr
     A label that isn't a class ends a run, as a subject's end does.
     """
     valid = F.col("label").isin(*classes)
-    rows = frames.select("label", F.lag("label").over(in_order()).alias("before"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    own = overlapping(frames.select("subject_id", "pos", "label"), 1)
+    rows = settled(own.select("label", F.lag("label").over(in_parts()).alias("before"), F.coalesce(valid, F.lit(False)).alias("valid"), "__copied"))
     rows = rows.where("valid").withColumn("inside", F.coalesce(F.col("before").isin(*classes), F.lit(False)))
     opens = rows.where("not inside").groupBy("label").agg(F.count("*").alias("n"))
     return opens, rows.where("inside").groupBy("before", "label").agg(F.count("*").alias("n"))

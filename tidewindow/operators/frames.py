@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -29,6 +29,59 @@ def last_known(c: Column, order: WindowSpec) -> Column:
     return F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+#: Frames of a subject that one task orders at a time.
+BLOCK = 16_384
+
+
+def overlapping(df: DataFrame, before: int, after: int = 0) -> DataFrame:
+    """Frames in ``__block``s of a subject's positions, each block with copies of the frames right before and after it, so that :func:`in_parts` may look so far."""
+    own, at = F.floor(F.col("pos") / BLOCK), F.pmod("pos", F.lit(BLOCK))
+    places = F.array_compact(
+        F.array(
+            F.struct(own.alias("__block"), F.lit(False).alias("__copied")),
+            F.when(at >= BLOCK - before, F.struct((own + 1).alias("__block"), F.lit(True).alias("__copied"))),
+            F.when((at < after) & (own > 0), F.struct((own - 1).alias("__block"), F.lit(True).alias("__copied"))),
+        )
+    )
+    return df.select("*", F.inline(places))
+
+
+def in_parts() -> WindowSpec:
+    """Frames of a block, earliest first."""
+    return Window.partitionBy("subject_id", "__block").orderBy("pos")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frames of :func:`overlapping` without the copies. They keep ``__block``, by which they are dealt out, for :func:`known_around`."""
+    return df.where(~F.col("__copied")).drop("__copied")
+
+
+def known_around(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with ``{name}__lo`` and ``{name}__hi`` for each column: the position ``p`` and value ``v`` of the nearest row of the subject that has one, this row included, before and after it.
+
+    Blocks are looked through side by side; what a block hands on is one row, and only these are put in order by subject.
+    """
+    if "__block" not in df.columns:
+        df = df.withColumn("__block", F.floor(F.col("pos") / BLOCK))
+    own = {k: F.when(c.isNotNull(), F.struct(F.col("pos").alias("p"), c.alias("v"))) for k, c in columns.items()}
+    ends = df.groupBy("subject_id", "__block").agg(*(e for k, c in own.items() for e in (F.max(c).alias(f"{k}__last"), F.min(c).alias(f"{k}__first"))))
+    blocks, back = Window.partitionBy("subject_id").orderBy("__block"), Window.partitionBy("subject_id").orderBy(F.desc("__block"))
+    handed = [
+        e for k in own
+        for e in (
+            F.last(f"{k}__last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{k}__before"),
+            F.last(f"{k}__first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{k}__after"),
+        )
+    ]
+    ends = ends.select(F.col("subject_id").alias("__s"), F.col("__block").alias("__b"), *handed)
+    order = in_parts()
+    reverse = Window.partitionBy("subject_id", "__block").orderBy(F.desc("pos"))
+    df = df.withColumns({f"{k}__lo": last_known(c, order) for k, c in own.items()}).withColumns({f"{k}__hi": last_known(c, reverse) for k, c in own.items()})
+    df = df.join(ends, F.col("subject_id").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    out = {f"{k}__lo": F.coalesce(f"{k}__lo", f"{k}__before") for k in own} | {f"{k}__hi": F.coalesce(f"{k}__hi", f"{k}__after") for k in own}
+    return df.withColumns(out).drop("__s", "__b", "__block", *(f"{k}__{side}" for k in own for side in ("before", "after")))
+
+
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     """Required columns that a table lacks."""
     return [c for c in required if c not in df.columns]
@@ -57,27 +110,21 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], strict: bool = True) -> Dat
 
     A subject whose column is NULL throughout is an error; with ``strict`` off it stays NULL.
     """
-    order, reverse = in_order(), in_reverse()
-    seen = {f"__{c}_{k}": e for c in columns for k, e in {
-        "lo": last_known(F.col(c), order),
-        "lp": last_known(F.when(F.col(c).isNotNull(), F.col("pos")), order),
-        "hi": last_known(F.col(c), reverse),
-        "hp": last_known(F.when(F.col(c).isNotNull(), F.col("pos")), reverse),
-    }.items()}
+    seen = known_around(df, {f"__{i}": F.col(c) for i, c in enumerate(columns)})
     out = {}
-    for c in columns:
-        lo, lp, hi, hp = (F.col(f"__{c}_{k}") for k in ("lo", "lp", "hi", "hp"))
-        line = lo + (hi - lo) * (F.col("pos") - lp) / (hp - lp)
+    for i, c in enumerate(columns):
+        lo, hi = F.col(f"__{i}__lo"), F.col(f"__{i}__hi")
+        line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("pos") - lo["p"]) / (hi["p"] - lo["p"])
         none = F.raise_error(F.lit(f"a subject has no value of {c}")).cast("double") if strict else F.lit(None).cast("double")
-        out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(lo.isNotNull() & hi.isNotNull(), line).when(lo.isNull() & hi.isNull(), none).otherwise(F.coalesce(lo, hi))
-    return df.withColumns(seen).withColumns(out).drop(*seen)
+        out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(lo.isNotNull() & hi.isNotNull(), line).when(lo.isNull() & hi.isNull(), none).otherwise(F.coalesce(lo["v"], hi["v"]))
+    return seen.withColumns(out).drop(*(f"__{i}__{side}" for i in range(len(columns)) for side in ("lo", "hi")))
 
 
 def carry(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> DataFrame:
     """Non-finite values and NULLs as the last known value, else the next, else ``default``."""
-    order, reverse = in_order(), in_reverse()
-    df = df.withColumns({c: x.finite(F.col(c)) for c in columns})
-    return df.withColumns({c: F.coalesce(last_known(F.col(c), order), last_known(F.col(c), reverse), F.lit(default)) for c in columns})
+    seen = known_around(df.withColumns({c: x.finite(F.col(c)) for c in columns}), {f"__{i}": F.col(c) for i, c in enumerate(columns)})
+    out = {c: F.coalesce(F.col(f"__{i}__lo")["v"], F.col(f"__{i}__hi")["v"], F.lit(default)) for i, c in enumerate(columns)}
+    return seen.withColumns(out).drop(*(f"__{i}__{side}" for i in range(len(columns)) for side in ("lo", "hi")))
 
 
 def prepare(df: DataFrame, columns: Sequence[str] = COORDS) -> DataFrame:
@@ -91,8 +138,8 @@ def prepare(df: DataFrame, columns: Sequence[str] = COORDS) -> DataFrame:
 def _scaled(df: DataFrame, scale: Column, columns: Sequence[str]) -> DataFrame:
     """Coordinates about the middle of the hips in units of ``scale``, where unknown its median over the subject, else 1."""
     df = df.withColumn("__scale", x.finite(scale))
-    median = df.groupBy("subject_id").agg(F.median("__scale").alias("__median"))
-    df = df.join(median, "subject_id").withColumns(
+    median = df.groupBy(F.col("subject_id").alias("__s")).agg(F.median("__scale").alias("__median"))
+    df = df.join(median, F.col("subject_id").eqNullSafe(F.col("__s"))).drop("__s").withColumns(
         {
             "__scale": x.clip(F.coalesce("__scale", "__median", F.lit(1.0)), low=1e-6),
             "__hip_x": x.middle("left_hip", "right_hip", "x"),
@@ -130,10 +177,10 @@ def rolling_median(c: Column, width: int, order: WindowSpec) -> Column:
 
 def normalise_pose_robustly(df: DataFrame, columns: Sequence[str] = COORDS) -> DataFrame:
     """As :func:`normalise_pose`, of coordinates smoothed over 5 frames, with the scale smoothed over 15."""
-    order = in_order()
-    df = df.withColumns({c: rolling_median(F.col(c), 5, order) for c in columns})
-    df = df.withColumn("__width", shoulders_first())
-    return _scaled(df, rolling_median(F.col("__width"), 15, order), columns).drop("__width")
+    order = in_parts()
+    df = overlapping(df, 9, 9).withColumns({c: rolling_median(F.col(c), 5, order) for c in columns})  # 7 frames on either side, whose own medians reach 2 further
+    df = df.withColumn("__width", shoulders_first()).withColumn("__smooth", rolling_median(F.col("__width"), 15, order))
+    return _scaled(settled(df).drop("__block"), F.col("__smooth"), columns).drop("__width", "__smooth")
 
 
 def normalise_torso_first(df: DataFrame, columns: Sequence[str] = COORDS) -> tuple[DataFrame, list[str]]:
@@ -143,7 +190,7 @@ def normalise_torso_first(df: DataFrame, columns: Sequence[str] = COORDS) -> tup
     """
     width = x.distance("left_shoulder", "right_shoulder")
     out = _scaled(df, F.when(torso() > 1e-5, torso()).when(width > 1e-5, width), columns)
-    order = in_order()
-    out = out.withColumns({f"{c}_delta": x.zero(x.diff(F.col(c), order)) for c in columns})
+    order = in_parts()
+    out = settled(overlapping(out, 1).withColumns({f"{c}_delta": x.zero(x.diff(F.col(c), order)) for c in columns})).drop("__block")
     names = [*columns, *(f"{c}_delta" for c in columns)]
     return out.withColumns({c: x.zero(x.finite(F.col(c))) for c in names}), names

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
-from tidewindow.operators.frames import in_order, in_reverse, last_known
+from tidewindow.operators.frames import known_around
 
 
 def covered_frames(windows: DataFrame, n_classes: int, normalise: bool = True) -> DataFrame:
@@ -26,16 +26,10 @@ def covered_frames(windows: DataFrame, n_classes: int, normalise: bool = True) -
 
 def fill_nearest(frames: DataFrame, column: str = "probs") -> DataFrame:
     """NULLs of a column as the value of the nearest frame that has one, the earlier of two as near."""
-    order, reverse = in_order(), in_reverse()
-    there = F.when(F.col(column).isNotNull(), F.col("pos"))
-    seen = {
-        "__left": last_known(F.col(column), order),
-        "__lp": last_known(there, order),
-        "__right": last_known(F.col(column), reverse),
-        "__rp": last_known(there, reverse),
-    }
-    left = F.col("__rp").isNull() | (F.col("pos") - F.col("__lp") <= F.col("__rp") - F.col("pos"))
-    return frames.withColumns(seen).withColumn(column, F.when(left, F.coalesce("__left", "__right")).otherwise(F.col("__right"))).drop(*seen)
+    seen = known_around(frames, {"__n": F.col(column)})
+    before, after = F.col("__n__lo"), F.col("__n__hi")
+    left = after.isNull() | (F.col("pos") - before["p"] <= after["p"] - F.col("pos"))
+    return seen.withColumn(column, F.when(left, F.coalesce(before["v"], after["v"])).otherwise(after["v"])).drop("__n__lo", "__n__hi")
 
 
 def frame_probabilities(windows: DataFrame, frames: DataFrame, classes: Sequence[str]) -> DataFrame:

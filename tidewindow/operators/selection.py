@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import threading
+from collections import OrderedDict
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor, as_completed
+from hashlib import sha256
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -130,24 +135,70 @@ def remaining(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return grid.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def resumed_search(spark: SparkSession, folder: str, grid: DataFrame, keys: Sequence[str], score: Callable[[Mapping], Mapping[str, float]]) -> tuple[DataFrame, int]:
+def resumed_search(spark: SparkSession, folder: str, grid: DataFrame, keys: Sequence[str], score: Callable[[Mapping], Mapping[str, float]], workers: int = 1) -> tuple[DataFrame, int]:
     """The scores of all settings of a small grid, kept as Parquet in ``folder``, and how many of them had to be worked out now.
 
-    Settings that have a score are not worked out again; each new one is appended as soon as it is there.
+    Settings that have a score are not worked out again. Each new one is committed by itself as soon as it is there, in a folder named by its keys, so that a search that was broken
+    off goes on with the rest. Up to ``workers`` settings are worked out at once, each thread's jobs in a scheduler pool of its own; after an error no more are begun, and those under way are kept.
     """
     first = next(iter(grid.limit(1).collect()), None)
     if first is None:
         raise ValueError("the grid is empty")
+    kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    todo = remaining(grid, spark.read.parquet(folder), keys) if there else grid
+
+    def done() -> DataFrame:
+        return spark.read.option("recursiveFileLookup", "true").parquet(folder)
+
+    todo = remaining(grid, done(), keys) if there else grid
     settings = [r.asDict() for r in todo.orderBy(*keys).collect()]
-    for s in settings:
+
+    def work(s: Mapping) -> None:
         row = {**{k: s[k] for k in keys}, **{k: float(v) for k, v in score(s).items()}}
-        kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
         schema = ", ".join(f"{k} {kinds.get(k, 'double')}" for k in row)
-        spark.createDataFrame([tuple(row.values())], schema).write.mode("append").parquet(folder)
-    return spark.read.parquet(folder), len(settings)
+        name = sha256(json.dumps([str(s[k]) for k in keys]).encode()).hexdigest()
+        spark.createDataFrame([tuple(row.values())], schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    if workers == 1:
+        for s in settings:
+            work(s)
+        return done(), len(settings)
+
+    def pooled(s: Mapping) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", threading.current_thread().name)
+        work(s)
+
+    with ThreadPoolExecutor(workers, thread_name_prefix="search") as pool:
+        under_way = [pool.submit(pooled, s) for s in settings]
+        failed = next((f for f in as_completed(under_way) if f.exception()), None)
+        if failed:
+            pool.shutdown(wait=True, cancel_futures=True)
+            raise failed.exception()
+    return done(), len(settings)
+
+
+class Once:
+    """Values by key, each worked out by the first thread that asks for it while others wait; the last ``most`` that were asked for are kept."""
+
+    def __init__(self, most: int) -> None:
+        self._most, self._lock, self._found = most, threading.Lock(), OrderedDict()
+
+    def get(self, key: tuple, make: Callable[[], object]) -> object:
+        with self._lock:
+            own = key not in self._found
+            future = self._found.setdefault(key, Future())
+            self._found.move_to_end(key)
+            while len(self._found) > self._most:
+                self._found.popitem(last=False)
+        if own:
+            try:
+                future.set_result(make())
+            except BaseException as e:
+                with self._lock:
+                    self._found.pop(key, None)
+                future.set_exception(e)
+        return future.result()
 
 
 def parameter_grid(spark: SparkSession, values: Mapping[str, Sequence], sample: int | None = None, seed: int = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
-from tidewindow.operators.frames import carry, in_order, normalise_pose, normalise_pose_robustly
+from tidewindow.operators.frames import carry, in_parts, normalise_pose, normalise_pose_robustly, overlapping, settled
 from tidewindow.schema import COORDS, FPS, JOINTS
 
 # -- fixed values: signals and the points that they are made of -------------------------------------------------------
@@ -123,7 +123,7 @@ def geometry() -> dict[str, Column]:
 
 def first_differences() -> dict[str, Column]:
     """Speeds, 0 on a subject's first frame, and the differences that second differences are made of."""
-    order = in_order()
+    order = in_parts()
     change = lambda c: x.diff(F.col(c) if isinstance(c, str) else c, order)
     knees = (F.col("angle_knee_l") + F.col("angle_knee_r")) / 2
     speeds = {p: x.zero(x.length(change(f"{p}_x"), change(f"{p}_y"))) for p in ("nose", "left_wrist", "right_wrist", "left_ankle", "right_ankle", "com")}
@@ -143,7 +143,7 @@ def first_differences() -> dict[str, Column]:
 
 def second_differences() -> dict[str, Column]:
     """Jerks and accelerations: differences of differences, 0 where a subject has too few frames before."""
-    order = in_order()
+    order = in_parts()
     again = lambda c: F.abs(x.diff(F.col(c), order))
     return {
         "left_wrist_jerk": x.zero(again("__d_left_wrist_x") + again("__d_left_wrist_y")),
@@ -206,7 +206,8 @@ def symmetric() -> dict[str, Column]:
 
 
 def _with_pose_signals(df: DataFrame) -> DataFrame:
-    return df.withColumns(geometry()).withColumns(first_differences()).withColumns(second_differences()).withColumns(combinations())
+    out = overlapping(df, 2).withColumns(geometry()).withColumns(first_differences()).withColumns(second_differences())
+    return settled(out).withColumns(combinations())
 
 
 def _scratch(df: DataFrame) -> list[str]:
@@ -239,7 +240,7 @@ def normalised_for(df: DataFrame, name: str) -> DataFrame:
 
 def compact_signals(df: DataFrame, fps: int = FPS) -> tuple[DataFrame, list[str]]:
     """A normalised pose with 122 compact signals: coordinates, bones, angles, speeds by the second, distances."""
-    order = in_order()
+    order = in_parts()
     bones = {}
     for name, (a, b) in BONES.items():
         dx, dy = F.col(f"{b}_x") - F.col(f"{a}_x"), F.col(f"{b}_y") - F.col(f"{a}_y")
@@ -249,12 +250,12 @@ def compact_signals(df: DataFrame, fps: int = FPS) -> tuple[DataFrame, list[str]
     changes = {f"{j}_acceleration": x.zero(F.abs(x.diff(F.col(f"{j}_speed"), order))) * fps for j in JOINTS}
     distances = {k: x.distance(*points) for k, points in COMPACT_DISTANCES.items()}
     names = [*COORDS, *bones, *angles, *(f"{j}_{k}" for j in JOINTS for k in ("speed", "acceleration")), *distances]
-    return carry(df.withColumns(bones | angles | distances).withColumns(speeds).withColumns(changes), names), names
+    return carry(settled(overlapping(df, 2).withColumns(bones | angles | distances).withColumns(speeds).withColumns(changes)), names), names
 
 
 def streams(df: DataFrame, fps: int = FPS) -> DataFrame:
     """Three arrays for each frame: 34 ``coordinates``, 42 ``bones`` and 34 ``velocity`` by the second; an error for what isn't finite."""
-    order = in_order()
+    order = in_parts()
     bones = []
     for a, b in BONES.values():
         dx, dy = F.col(f"{b}_x") - F.col(f"{a}_x"), F.col(f"{b}_y") - F.col(f"{a}_y")
@@ -269,4 +270,4 @@ def streams(df: DataFrame, fps: int = FPS) -> DataFrame:
         bad = F.exists(a, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         return F.when(bad, F.raise_error(F.lit("a stream has values that aren't finite"))).otherwise(a)
 
-    return df.select("subject_id", "pos", *(checked(a).alias(k) for k, a in arrays.items()))
+    return settled(overlapping(df, 1).select("subject_id", "pos", "__copied", *(checked(a).alias(k) for k, a in arrays.items())))

@@ -37,8 +37,9 @@ def starts_holding(pos: Column, n: Column, size: int, stride: int, cover_tail: b
 
 
 def with_length(frames: DataFrame) -> DataFrame:
-    """Frames with ``n_frames`` of their subject."""
-    return frames.withColumn("n_frames", F.count("*").over(Window.partitionBy("subject_id")))
+    """Frames with ``n_frames`` of their subject, counted apart, so that no task holds a subject."""
+    n = frames.groupBy(F.col("subject_id").alias("__s")).agg(F.count("*").alias("n_frames"))
+    return frames.join(n, F.col("subject_id").eqNullSafe(F.col("__s"))).drop("__s")
 
 
 def frames_in_windows(frames: DataFrame, size: int, stride: int, cover_tail: bool = False) -> DataFrame:

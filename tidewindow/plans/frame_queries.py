@@ -322,14 +322,16 @@ SELECT subject_id, pos, coalesce(abs(d), 0) AS speed, coalesce(jerk, 0) AS jerk,
 )
 def scalar_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speed, jerk and acceleration of a value in cents."""
-    order = in_order()
-    e = frames(spark, sf_dir).select("subject_id", "pos", F.round(F.col("value") * 100).cast("long").alias("v"))
+    order = fr.in_parts()
+    e = fr.overlapping(frames(spark, sf_dir).select("subject_id", "pos", F.round(F.col("value") * 100).cast("long").alias("v")), 2)
     e = e.withColumn("d", x.diff(F.col("v"), order))
     zero = F.lit(0).cast("long")
-    return e.select(
+    out = e.select(
         "subject_id",
         "pos",
+        "__copied",
         F.coalesce(F.abs("d"), zero).alias("speed"),
         F.coalesce(F.abs(x.diff(F.col("d"), order)), zero).alias("jerk"),
         F.coalesce(F.abs(x.diff(F.abs("d"), order)), zero).alias("accel"),
     )
+    return fr.settled(out)
