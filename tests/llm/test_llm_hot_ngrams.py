@@ -45,7 +45,8 @@ def test_groups_under_common_ngrams(spark, num, monkeypatch):
             texts[10 * i + k] = " ".join(own)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     expected = groups({i: shingles(t) for i, t in texts.items()}, num, 100)
-    for hot in (0, 3):
+    for hot, heavy in ((0, 8), (3, 0)):
+        monkeypatch.setattr(ngram_join, "HEAVY", heavy)
         out = ngram_join.ngram_jaccard_groups(df, n_words=3, num=num, hot_entries=hot).collect()
         assert {r["doc_id"]: r["component_id"] for r in out} == expected
 
@@ -65,7 +66,7 @@ def test_unlinked_long_texts_of_few_words_stay_linear(spark, monkeypatch):
     texts = [(i, " ".join(r.choices([f"w{k}" for k in range(20)], k=3000))) for i in range(40)]
     out = ngram_join.ngram_jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string"), n_words=3, num=90, hot_entries=3).collect()
     assert all(r["component_id"] == r["doc_id"] for r in out)
-    assert 0 < counts["paired"] <= 4 * counts["open"] and counts["twice"] <= counts["paired"]
+    assert 0 < counts["paired"] <= 4 * counts["open"] and counts["twice"] <= counts["paired"] and counts["light"] == 0
 
 
 def test_neighbours_are_found_in_both_sets_of_a_link():

@@ -9,9 +9,10 @@ pivots of the sorted sets), and each distinct pair is compared once.
 To stay linear on large groups of near copies, a first round compares each class only with the
 leader of its n-gram, the class that reaches it at the earliest position. Pairs inside one
 component of these links need no further comparison for the components; a second round compares all
-remaining pairs whose components differ, without a cap. An n-gram under which very many such classes are left is not joined by itself. Two sets of n and m items that link
+remaining pairs whose components differ, without a cap. An n-gram under which very many such classes are left is not joined by itself. A link
+shares two n-grams of prefixes that are one n-gram longer, so classes with few such n-grams meet under pairs of n-grams. For a class with many of them these would be too many. Two sets of n and m items that link
 have at most D = n + m - 2 * overlap unlike items, so of their first D + 2 common items two stand side by side in both: each unlike item parts one such pair at most.
-Those classes meet under pairs of neighbours in the order, of which a prefix twice as long has no more than it has items.
+Such a class meets others under pairs of neighbours in the order, of which a prefix twice as long has no more than it has items.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SEEN = 50_000
 BROADCAST_ROWS = 200_000
 #: Entries under one n-gram above which the second round joins on pairs of n-grams.
 HOT_ENTRIES = 1_000
+#: Such n-grams in a prefix up to which a class meets others under each of them together with each later n-gram; with more, under neighbours in the order.
+HEAVY = 8
 _PIVOTS = (np.arange(1, 64, dtype=np.uint64)) << np.uint64(58)
 
 #: Bits of a set's parity bitmap, which tells unlike sets apart as long as their bound of unlike items is below half of it or so.
@@ -330,22 +333,28 @@ def ngram_jaccard_groups(
     def met(left: DataFrame, alike: Column) -> DataFrame:
         return _pairs(left.where("component <> main").alias("x").join(left.alias("y"), _same("token") & apart & alike))
 
-    # of a pair with a set below that size, both sets are small, and meet under their n-grams however many there are
-    beyond = _beyond(num, den)
-    small = F.col("n") < 2 * beyond if beyond else F.lit(True)
     inside = opened("open", placed.where(F.col("pos") <= F.col("n") - need))
-    second = met(inside.where(~F.col("hot") | small), _may_link(num, den))
-    crowded = scratch.save("crowded", inside.where(F.col("hot") & ~small).select("a", "b", "component").distinct())
+    second = met(inside.where(~F.col("hot") | (need <= 1)), _may_link(num, den))  # a set of one n-gram shares no two
+    beyond = _beyond(num, den)
+    crowded = inside.where("hot").groupBy("a", "b").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.count("*").alias("n_hot"))
+    crowded = crowded.withColumn("heavy", (F.col("n_hot") > HEAVY) & F.lit(beyond > 0) & (F.col("n") >= 2 * beyond))
+    crowded = scratch.save("crowded", crowded.select("a", "b", "component", "heavy"))
     if not crowded.isEmpty():
+        # the first two n-grams that both sets of a link have: the second lies in a prefix that is one longer
+        later = placed.select("a", "b", F.col("token").alias("token2"), F.col("pos").alias("pos2"))
+        light = inside.where("hot").join(_sized(crowded.where("not heavy").select("a", "b")), ["a", "b"]).join(later, ["a", "b"]).where("pos2 > pos")
+        light = scratch.save("light", light.withColumn("token", F.xxhash64("token", "token2")).drop("token2", "pos2"))
+        second = second.unionByName(met(light, _may_link(num, den))).distinct()
+    if not crowded.where("heavy").isEmpty():
         wanted = crowded.join(classes, ["a", "b"]).select("row_id", "text_id")
         bodies = texts.join(wanted, ["row_id", "text_id"], "left_semi").select("body")
         paired = bodies.mapInArrow(partial(_neighbours, order=order, n_words=n_words, num=num, den=den, bits=bits), _POSTING)
         paired = scratch.save("paired", paired.repartition("token", "a").distinct())
         twice = opened("twice", paired.join(_sized(crowded), ["a", "b"]))
-        second = second.unionByName(met(twice, _near(num, den))).distinct()
+        second = second.unionByName(met(twice, _near(num, den) & (F.col("x.heavy") | F.col("y.heavy")))).distinct()
     second = second.join(first, ["ua", "ub", "va", "vb"], "left_anti")
     second = scratch.save("second", second)
-    scratch.drop("placed", "open", "first", "crowded", "paired", "twice")
+    scratch.drop("placed", "open", "first", "crowded", "light", "paired", "twice")
     more = verified("more", second)
     all_links = links.unionByName(more)
     labels = labels if more.isEmpty() else components(all_links)
