@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
-from tidewindow.operators import information, metrics, scans, selection
+from tidewindow.operators import augmentation, information, metrics, scans, selection
 from tidewindow.schema import COORDS
 
 
@@ -235,13 +235,13 @@ def rotated_and_scaled(df: DataFrame, degrees: Column | float, factor: Column |
     return df.withColumns(out)
 
 
-def noisy(df: DataFrame, sigma: float, dropout: float, seed: int) -> DataFrame:
-    """A pose with seeded normal noise, and each joint of a frame set to 0 with a probability."""
+def noisy(df: DataFrame, sigma: float, dropout: float, seed: int, keys: Sequence[str] = ("subject_id", "pos")) -> DataFrame:
+    """A pose with normal noise, and each joint of a frame set to 0 with a probability. Both follow from the seed and the ``keys`` of a row, so that they are the same in every run."""
     out = {}
-    for i, (cx, cy) in enumerate(zip(COORDS[::2], COORDS[1::2], strict=True)):
-        gone = F.rand(seed + i) < dropout
-        for c, k in ((cx, 2 * i), (cy, 2 * i + 1)):
-            out[c] = F.when(gone, 0.0).otherwise(F.col(c) + F.randn(seed + 100 + k) * sigma)
+    for cx, cy in zip(COORDS[::2], COORDS[1::2], strict=True):
+        gone = augmentation.uniforms(seed, keys, "dropout", cx)[0] < dropout
+        for c, n in zip((cx, cy), augmentation.normals(seed, keys, "noise", cx), strict=True):
+            out[c] = F.when(gone, 0.0).otherwise(F.col(c) + n * sigma)
     return df.withColumns(out)
 
 

@@ -9,8 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.operators import decode, features, frames, fusion, learning, metrics, signals, windows
-from tidewindow.schema import CLASSES, MAJORITY, TEST_STRIDE, TRAIN_STRIDE, WINDOW
+from tidewindow.operators import decode, features, frames, fusion, learning, metrics, signals, tensors, windows
+from tidewindow.schema import CLASSES, COORDS, MAJORITY, TEST_STRIDE, TRAIN_STRIDE, WINDOW
 from tidewindow.sources import cache
 
 
@@ -53,6 +53,32 @@ def stream_windows(poses: DataFrame, size: int, stride: int, threshold: float =
     return rows.select(*windows.KEYS, *(["label"] if labelled else []), *(F.col(f"rows.{k}").alias(k) for k in kinds))
 
 
+def tensor_windows(poses: DataFrame, size: int, stride: int, threshold: float = MAJORITY, labelled: bool = False, classes: Sequence[str] = CLASSES) -> DataFrame:
+    """As :func:`stream_windows`, but only coordinates are put into windows; bones and velocities are worked out of those, many windows at once. A window's first velocity is 0."""
+    clean = frames.normalise_pose(frames.prepare(poses)).withColumn("coordinates", F.array(*COORDS))
+    own = clean.select("subject_id", "pos", "coordinates", *(["label"] if labelled else []))
+    framed = windows.labelled_windows(own, classes, size, stride, threshold) if labelled else windows.unlabelled_windows(own, size, stride)
+    rows = framed.groupBy(*windows.KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "coordinates"))).alias("rows"), F.first("label").alias("label"))  # a window's frames
+    return tensors.with_streams(rows.select(*windows.KEYS, *(["label"] if labelled else []), F.col("rows.coordinates").alias("coordinates")))
+
+
+#: Strides of stream windows: between windows with labels, and between those to be predicted.
+STREAM_STRIDES = {True: 75, False: 30}
+
+
+def stream_cache(spark: SparkSession, folder: str, sources: Mapping, poses: Callable[[], DataFrame], labelled: bool, size: int = WINDOW, threshold: float = MAJORITY, classes: Sequence[str] = CLASSES) -> tuple[DataFrame, bool]:
+    """Streams of windows as floats, a folder a subject, for training (with labels, by their threshold) or for prediction (a table with labels is an error); and whether they were there."""
+    key = cache.signature(sources, "streams", {"size": size, "stride": STREAM_STRIDES[labelled], "labelled": labelled, "threshold": threshold if labelled else None, "classes": list(classes) if labelled else None})
+
+    def make() -> DataFrame:
+        rows = tensor_windows(poses(), size, STREAM_STRIDES[labelled], threshold, labelled, classes)
+        rows = rows if labelled else rows.withColumn("label", F.lit(None).cast("string"))
+        return rows.withColumns({c: F.col(c).cast("array<array<float>>") for c in ("coordinates", "bones", "velocity")})
+
+    rows, there = cache.cached(spark, folder, key, make, ("subject_id",))
+    return (rows if labelled else cache.label_free(rows)), there
+
+
 def training_windows(
     poses: DataFrame, signal_set: str = "A", size: int = WINDOW, stride: int = TRAIN_STRIDE, threshold: float = MAJORITY, classes: Sequence[str] = CLASSES, chosen: Sequence[str] = features.SUMMARIES
 ) -> tuple[DataFrame, list[str]]:
@@ -89,12 +115,12 @@ def multiscale_cache(spark: SparkSession, folder: str, sources: Mapping, poses:
 
 
 def evaluated(told: DataFrame, labels: DataFrame | None, classes: Sequence[str], abnormal: Sequence[str]) -> DataFrame | None:
-    """Metrics of predicted frames where there are labels of known classes for them, else None."""
+    """Metrics of predicted frames where there are labels of known classes for them, else None; the macro average is over the classes that are found in either."""
     if labels is None:
         return None
     rows = told.join(labels.select("subject_id", "pos", F.col("label").alias("truth")), ["subject_id", "pos"]).withColumnRenamed("label", "pred")
     rows = metrics.valid_truth(rows, classes)
-    return None if rows.isEmpty() else metrics.evaluate(metrics.counts(rows), classes, abnormal)
+    return None if rows.isEmpty() else metrics.evaluate(metrics.counts(rows), classes, abnormal, present_only=True)
 
 
 def predict_frames(

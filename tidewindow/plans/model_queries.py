@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
+from tidewindow.operators import augmentation as au
 from tidewindow.operators import decode as dc
 from tidewindow.operators import features as ft
+from tidewindow.operators import frames as fr
 from tidewindow.operators import windows as wn
 from tidewindow.plans import inference as inf
 from tidewindow.plans.base import SIZE, STRIDE, TYPES, framed_sql, poses, query, round_sql, rounded, windows_sql
 from tidewindow.plans.decision_queries import filled_sql, viterbi_sql
 from tidewindow.plans.frame_queries import COMPACT_NAMES, NORMAL, SET_B_NAMES, compact_sql, signals_sql, streams_sql
 from tidewindow.plans.window_queries import majority_sql, statistical_sql, summaries_sql, temporal_sql
-from tidewindow.schema import COORDS
+from tidewindow.schema import COORDS, JOINTS
 
 #: Labels of poses: runs of eight frames of three of the types.
 POSE_TYPES = TYPES[:3]
@@ -78,6 +80,60 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("subject_id", "start_pos", (F.col("start_pos") + n).alias("end_pos"), n.alias("n"), *(F.round(x.array_sum(place(F.col(c))), 4).alias(c) for c in _ARRAYS))
 
 
+#: A window's first velocity is 0 here, as nothing before the window is seen.
+_INSIDE = "list_sum(list_transform(velocity, lambda v: abs(v))) * (pos - start_pos + 1) * CAST(pos > start_pos AS INTEGER)"
+
+
+@query(
+    "n20_tensor_streams",
+    f"""WITH {streams_sql()}, {windows_sql(SIZE, STRIDE, True, 'win', 'sv')}, {framed_sql('win', 'sv')}
+SELECT subject_id, start_pos, count(*) AS n, {", ".join(f"round(sum(list_sum(list_transform({c}, lambda v: abs(v))) * (pos - start_pos + 1)), 4) AS {c}" for c in _ARRAYS[:2])}, round(sum({_INSIDE}), 4) AS velocity FROM fr GROUP BY subject_id, start_pos, end_pos""",
+)
+def tensor_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams worked out of whole windows' coordinates, many windows at once, told by sums weighted with the frame's place."""
+    rows = inf.tensor_windows(poses(spark, sf_dir), SIZE, STRIDE)
+    place = lambda a: F.transform(a, lambda v, i: x.array_sum(F.transform(v, F.abs)) * (i + 1))
+    return rows.select("subject_id", "start_pos", F.size("coordinates").cast("long").alias("n"), *(F.round(x.array_sum(place(F.col(c))), 4).alias(c) for c in _ARRAYS))
+
+
+_SEED = 11
+_NOISE, _DROPOUT = 0.05, 0.2
+
+
+def _drawn(k: int, *names: str) -> str:
+    """The k-th number that a hash of the seed, a window and names gives."""
+    told = f"sha256(concat_ws(':', '{_SEED}', subject_id, start_pos, {', '.join(names)}))"
+    return f"((CAST('0x' || substr({told}, {1 + 13 * k}, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+_FAR = f"sqrt(-2 * ln({_drawn(0, chr(39) + 'noise' + chr(39), 'joint', 'i')}))"
+_AROUND = f"2 * pi() * {_drawn(1, chr(39) + 'noise' + chr(39), 'joint', 'i')}"
+_KEPT = f"CASE WHEN {_drawn(0, chr(39) + 'dropout' + chr(39), 'joint')} < {_DROPOUT} THEN 0 ELSE 1 END"
+
+
+@query(
+    "l13_crop_dropout_noise",
+    f"""WITH {NORMAL}, {windows_sql(SIZE, STRIDE, False, 'win', 'np')}, {framed_sql('win', 'np')},
+wl AS (SELECT subject_id, start_pos, count(*) AS n, list([{", ".join(COORDS)}] ORDER BY pos) AS f FROM fr GROUP BY subject_id, start_pos),
+cr AS (SELECT *, least(n, greatest(2, CAST(round_even(n * (0.9::DOUBLE + (1.0::DOUBLE - 0.9::DOUBLE) * {_drawn(0, "'crop'")}), 0) AS BIGINT))) AS size FROM wl),
+cs AS (SELECT *, CAST(floor({_drawn(1, "'crop'")} * (n - size + 1)) AS BIGINT) AS first FROM cr),
+ci AS (SELECT *, unnest(range(n)) AS i FROM cs), cp AS (SELECT *, greatest((i + 0.5::DOUBLE) * size / n - 0.5::DOUBLE, 0) AS place FROM ci),
+cl AS (SELECT *, CAST(floor(place) AS BIGINT) AS low FROM cp), cf AS (SELECT subject_id, start_pos, i, f[first + low + 1] AS a, f[first + least(low + 1, size - 1) + 1] AS b, place - low AS w FROM cl),
+cj AS (SELECT subject_id, start_pos, i, a, b, w, unnest([{", ".join(f"'{j}'" for j in JOINTS)}]) AS joint, unnest(range({len(JOINTS)})) AS j FROM cf)
+SELECT subject_id, start_pos, i AS frame, joint, round((a[2 * j + 1] * (1 - w) + b[2 * j + 1] * w) * {_KEPT} + {_FAR} * cos({_AROUND}) * {_NOISE}, 6) + 0.0 AS x,
+  round((a[2 * j + 2] * (1 - w) + b[2 * j + 2] * w) * {_KEPT} + {_FAR} * sin({_AROUND}) * {_NOISE}, 6) + 0.0 AS y FROM cj""",
+)
+def disturbed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of poses cropped and drawn out, with joints left out and noise, all of which follow from a seed and the window."""
+    clean = fr.normalise_pose(fr.prepare(poses(spark, sf_dir))).select("subject_id", "pos", F.array(*COORDS).alias("c"))
+    framed = wn.frames_in_windows(clean, SIZE, STRIDE)
+    own = framed.groupBy(*wn.KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("f")).select(*wn.KEYS, F.col("f.c").alias("f"))  # a window's frames
+    own = own.withColumn("f", au.cropped(F.col("f"), _SEED, wn.KEYS))
+    own = own.select(*wn.KEYS, F.posexplode(au.disturbed(F.col("f"), _SEED, wn.KEYS, _DROPOUT, _NOISE)).alias("frame", "v"))
+    joints = F.inline(F.array(*(F.struct(F.lit(j).alias("joint"), F.get("v", 2 * k).alias("x"), F.get("v", 2 * k + 1).alias("y")) for k, j in enumerate(JOINTS))))
+    return rounded(own.select(*wn.KEYS, F.col("frame").cast("long").alias("frame"), joints), ["x", "y"], 6)
+
+
 _FEATURES = {f"{c}__{k}": f"{f}({c})" for k, f in (("mean", "avg"), ("std", "stddev_pop")) for c in COORDS}
 _MEASURED = ", ".join(f"{f} AS {k}" for k, f in _FEATURES.items())
 _APART = " + ".join(f"(u.{k} - m.{k}) * (u.{k} - m.{k})" for k in _FEATURES)
