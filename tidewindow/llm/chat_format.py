@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewindow.llm import prefixes
+
 START, BODY, JOIN, END = "<|start|>", "<|body|>", "<|join|>", "<|end|>\n"
 #: The role whose texts are under the loss mask.
 TRAINED = "assistant"
@@ -71,17 +73,10 @@ def format_conversations(
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     parts = sorted_turns.select("conv_id", _blocks(F.col("turns")).alias("blocks"))
     parts = parts.select("conv_id", F.flatten(F.transform("blocks", _segments)).alias("parts"))
-    placed = F.aggregate(
-        "parts",
-        F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("loss")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.array_append(acc["loss"], F.struct(acc["at"].alias("start"), F.length(p["s"]).alias("length"))))
-            .otherwise(acc["loss"])
-            .alias("loss"),
-        ),
-    )
-    return parts.select("conv_id", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("formatted"), placed["loss"].alias("loss"))
+    parts = parts.select("conv_id", F.transform("parts", lambda p: p["s"]).alias("written"), F.transform("parts", lambda p: p["loss"]).alias("trained"), F.transform("parts", lambda p: F.length(p["s"])).alias("sizes"))
+    places = F.arrays_zip(prefixes.sums_before(F.col("sizes")).alias("at"), F.col("sizes").alias("size"), F.col("trained").alias("trained"))
+    loss = F.transform(F.filter(places, lambda p: p["trained"]), lambda p: F.struct((p["at"] + 1).alias("start"), p["size"].alias("length")))
+    return parts.select("conv_id", F.array_join("written", "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewindow.llm import prefixes
 from tidewindow.llm.shared import saved
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
@@ -64,17 +65,17 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     graded = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least else whole
     rows = F.arrays_zip(whole.alias("m"), graded.alias("g"), F.split(text, rule.pattern, -1).alias("before"))
+    rows = F.transform(rows, lambda r: F.struct(F.length(r["before"]).alias("before"), F.coalesce(F.length(r["m"]), F.lit(0)).alias("size"), (r["m"].isNotNull() & (F.length(r["g"]) >= rule.least)).alias("good")))
     empty = F.expr(f"cast(array() as {_SPANS})")
 
-    def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["before"])
-        end = start + F.coalesce(F.length(row["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.name).alias("rule"))
-        good = row["m"].isNotNull() & (F.length(row["g"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(own: Column) -> Column:
+        at = prefixes.sums_before(F.transform(own, lambda r: r["before"] + r["size"]))
+        spans = F.zip_with(
+            own, at, lambda r, p: F.struct((p + r["before"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (p + r["before"] + r["size"]).alias("end"), F.lit(rule.name).alias("rule"), r["good"].alias("good"))
+        )
+        return F.transform(F.filter(spans, lambda x: x["good"]), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "kind", "end", "rule")))).cast(_SPANS)
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), prefixes.let(rows, placed)).otherwise(empty)
 
 
 class Ledger:
@@ -140,11 +141,11 @@ def joined(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """A text with each span replaced by its kind in brackets; of overlapping spans the first names the whole."""
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, cut).otherwise(acc["out"]).alias("out"))
+    def replaced(own: Column) -> Column:
+        ends = prefixes.most_before(F.transform(own, lambda x: x["end"]))
+        seen = F.filter(F.zip_with(own, ends, lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+        parts = F.transform(seen, lambda x: F.concat(F.substring(text, x["at"] + 1, x["start"] - x["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        last = F.array_max(F.transform(own, lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.lit(2**31 - 1)))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2**31 - 1)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, prefixes.let(spans, replaced)).otherwise(text)
