@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewindow.operators import learning, selection
 from tidewindow.schema import CLASSES, COORDS
 from tidewindow.sources import cache, files
-from tidewindow.streaming.windows import row_count_windows, timed_summary
+from tidewindow.streaming.windows import replayed, row_count_windows, timed_summary
 
 
 @pytest.fixture
@@ -114,3 +114,16 @@ def test_a_search_resumes(spark, tmp_path):
     scores, new = selection.resumed_search(spark, str(tmp_path / "s"), grid, ["candidate_index"], score)
     assert (scores.count(), new, asked) == (4, 2, [0, 1, 2, 2, 3])
     assert selection.resumed_search(spark, str(tmp_path / "s"), grid, ["candidate_index"], score)[1] == 0
+
+
+def test_a_replayed_table_comes_in_slices(spark, tmp_path):
+    """The windows of a long subject are the same in whatever slices it comes, with a gap over several of them."""
+    rows = [(1, p, float(p % 7)) for p in range(100) if not 31 <= p < 62] + [(2, p, 1.0) for p in range(3)]
+    frames = spark.createDataFrame(rows, "subject_id long, pos long, x double")
+    one, several = (sorted(map(tuple, replayed(frames, 8, 4, f"{tmp_path}/{n}", n).collect())) for n in (1000, 20))
+    plain = []
+    for start in range(0, 96, 4):
+        own = [x for s, p, x in rows if s == 1 and start <= p < start + 8]
+        if own and start + 8 <= 100:
+            plain.append((1, start, start + 8, len(own), sum(own) / len(own), min(own), max(own)))
+    assert one == several == plain

@@ -245,13 +245,15 @@ def temporal_sql(source: str = "lg", rate: float = RATE, neighbours: int = 3, ou
 
 @query(
     "f13_f23_temporal_features",
-    f"""WITH {EV}, {windows_sql(16, 8, True)}, {framed_sql()}, lg AS (SELECT subject_id, start_pos, pos, 'value' AS signal, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS x FROM fr), {temporal_sql()}
+    f"""WITH {EV}, {windows_sql(16, 8, True)}, {framed_sql()}, lg AS (SELECT subject_id, start_pos, pos, 'value' AS signal, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS x FROM fr
+  UNION ALL SELECT subject_id, start_pos, pos, 'k', TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM fr), {temporal_sql()}
 SELECT {_BY}, zero_crossings, negative_turning, neighbourhood_peaks, positive_turning, {round_sql(_TEMPORAL_DOUBLES, 5)} FROM s""",
 )
 def temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten temporal features of windows of 16, peaks among three neighbours a side."""
+    """Ten temporal features of two signals in windows of 16, peaks among three neighbours a side."""
     rows = cents(wn.frames_in_windows(frames(spark, sf_dir), 16, 8, True))
-    out = ft.temporal(ft.long_form(rows.select(*wn.KEYS, "pos", F.col("c").alias("value")), ["value"]), RATE, neighbours=3)
+    rows = rows.select(*wn.KEYS, "pos", F.col("c").alias("value"), F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+    out = ft.temporal(ft.long_form(rows, ["value", "k"]), RATE, neighbours=3)
     return rounded(out, _TEMPORAL_DOUBLES, 5)
 
 
