@@ -275,3 +275,23 @@ def test_no_window_over_a_subject_alone(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         over = [line for line in plan.splitlines() if "windowspecdefinition(subject_id" in line and "__block" not in line]
         assert not over
+
+
+def test_summaries_of_windows_as_arrays(spark):
+    """The same numbers as by rows, with gaps, a signal without numbers, short windows and one frame."""
+    rng = random.Random(4)
+    rows = [(1, s, p, rng.gauss(0, 3), None if rng.random() < 0.3 else rng.random(), None, float(p)) for s, n in ((0, 12), (5, 12), (10, 4), (20, 1)) for p in range(s, s + n)]
+    df = spark.createDataFrame(rows, "subject_id int, start_pos int, pos long, a double, b double, c double, `d.e` double")
+    names = ["a", "b", "c", "d.e"]
+    long = df.select("subject_id", "start_pos", "pos", F.inline(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(f"`{n}`").alias("x")) for n in names))))
+    want = {(r["start_pos"], r["signal"]): r for r in features.summaries(long).collect()}
+    made = features.window_summaries(df, names)
+    for r in features.summary_rows(made, names).collect():
+        for c in features.SUMMARIES:
+            expected = want[r["start_pos"], r["signal"]][c]
+            if r["signal"] == "c":
+                assert r[c] is None or c == "slope" and r[c] == 0
+            else:
+                assert r[c] == pytest.approx(expected, abs=1e-9)
+    wide = features.summary_columns(made, names, ["mean"]).where("start_pos = 20").first()
+    assert (wide["d.e__mean"], wide["c__mean"]) == (20.0, None)

@@ -7,11 +7,13 @@ Spectra and autocorrelations work on a window's values as an array, in Arrow bat
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
@@ -58,6 +60,66 @@ def summaries(rows: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     return out.withColumns({"q10": q[0], "iqr": q[3] - q[1], "median": q[2], "q90": q[4]}).select(*keys, *SUMMARIES)
 
 
+def _summaries_of(values: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
+    """The nine numbers of ``values`` (windows, frames, signals) at ``places`` (windows, frames): windows by signals. What is not a number is left out, a signal without any has none."""
+    known = ~np.isnan(values)
+    n = known.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(known, values, 0).sum(axis=1) / n
+        apart = np.where(known, values - mean[:, None], 0)
+        at = np.where(known, places[:, :, None] - np.where(known, places[:, :, None], 0).sum(axis=1, keepdims=True) / n[:, None], 0)
+        spread = (at * at).sum(axis=1)
+        slope = np.where(spread > 0, (at * apart).sum(axis=1) / spread, 0.0)
+        energy = np.where(known, values * values, 0).sum(axis=1) / n
+        std = np.sqrt((apart * apart).sum(axis=1) / n)
+    if known.all():
+        q10, q25, q50, q75, q90 = np.quantile(values, (0.10, 0.25, 0.50, 0.75, 0.90), axis=1)
+        width = values.max(axis=1) - values.min(axis=1)
+    else:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # of signals without a number
+            q10, q25, q50, q75, q90 = np.nanquantile(values, (0.10, 0.25, 0.50, 0.75, 0.90), axis=1)
+            width = np.nanmax(values, axis=1) - np.nanmin(values, axis=1)
+    return {"mean": mean, "std": std, "median": q50, "iqr": q75 - q25, "range": width, "slope": slope, "energy": energy, "q10": q10, "q90": q90}
+
+
+def window_summaries(framed: DataFrame, signals: Sequence[str], chosen: Sequence[str] = SUMMARIES, keys: Sequence[str] = ("subject_id", "start_pos")) -> DataFrame:
+    """``(keys..., chosen...)``: of each window an array for each summary, a number a signal in their order. The same numbers as :func:`summaries`, from windows as arrays instead of a row for each
+    signal and frame."""
+    frame = F.struct(F.col("pos").cast("double").alias("pos"), F.array(*(F.col(f"`{c}`").cast("double") for c in signals)).alias("v"))
+    rows = framed.groupBy(*keys).agg(F.collect_list(frame).alias("rows"))  # a window's frames; their order plays no part
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", `{c}` array<double>" for c in chosen)
+    keys, chosen, width = list(keys), list(chosen), len(signals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("rows")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths):
+                own = b.take(pa.array(np.flatnonzero(lengths == n)))
+                flat = own.column("rows").flatten()
+                places = flat.field("pos").to_numpy(zero_copy_only=False).reshape(own.num_rows, n)
+                values = flat.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, n, width)
+                found = _summaries_of(values, places)
+                arrays = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, own.num_rows * width + 1, width, dtype=np.int32)), pa.array(found[c].ravel(), from_pandas=True)) for c in chosen
+                ]
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *arrays], [*keys, *chosen])
+
+    return rows.mapInArrow(run, schema)
+
+
+def summary_rows(summarised: DataFrame, signals: Sequence[str], chosen: Sequence[str] = SUMMARIES, keys: Sequence[str] = ("subject_id", "start_pos")) -> DataFrame:
+    """``(keys..., signal, chosen...)`` of :func:`window_summaries`, a row a signal."""
+    names = F.array(*map(F.lit, signals))
+    return summarised.select(*keys, F.inline(F.arrays_zip(names.alias("signal"), *(F.col(c) for c in chosen))))
+
+
+def summary_columns(summarised: DataFrame, signals: Sequence[str], chosen: Sequence[str] = SUMMARIES, keys: Sequence[str] = ("subject_id", "start_pos"), separator: str = "__") -> DataFrame:
+    """``(keys..., {signal}{separator}{name}...)`` of :func:`window_summaries`, a column for each."""
+    return summarised.select(*keys, *(F.get(F.col(c), i).alias(f"{s}{separator}{c}") for c in chosen for i, s in enumerate(signals)))
+
+
 def _line(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("pos")
 

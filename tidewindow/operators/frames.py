@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
 from tidewindow.schema import COORDS
+from tidewindow.storage import saved
 
 
 def in_order(keys: Sequence[str] = ("subject_id",), by: str = "pos") -> WindowSpec:
@@ -56,30 +57,41 @@ def settled(df: DataFrame) -> DataFrame:
     return df.where(~F.col("__copied")).drop("__copied")
 
 
-def known_around(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """``df`` with ``{name}__lo`` and ``{name}__hi`` for each column: the position ``p`` and value ``v`` of the nearest row of the subject that has one, this row included, before and after it.
+def known_around(df: DataFrame, columns: Mapping[str, Column]) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """``df``, and for each name the position ``p`` and value ``v`` of the nearest row of the subject that has one, this row included, before and after it.
 
-    Blocks are looked through side by side; what a block hands on is one row, and only these are put in order by subject.
+    Blocks are looked through side by side; what a block hands on is one row, and only these are put in order by subject. As both read ``df``, it is written once; columns
+    that turn out to have no gaps are left as they are. The columns that are added begin with ``__lo_`` and ``__hi_``.
     """
     if "__block" not in df.columns:
         df = df.withColumn("__block", F.floor(F.col("pos") / BLOCK))
-    own = {k: F.when(c.isNotNull(), F.struct(F.col("pos").alias("p"), c.alias("v"))) for k, c in columns.items()}
-    ends = df.groupBy("subject_id", "__block").agg(*(e for k, c in own.items() for e in (F.max(c).alias(f"{k}__last"), F.min(c).alias(f"{k}__first"))))
+    df = saved(df, "scan")
+    here = {k: F.struct(F.col("pos").alias("p"), c.alias("v")) for k, c in columns.items()}
+    gaps = df.agg(*(F.count_if(c.isNull()).alias(k) for k, c in columns.items())).first()
+    own = {k: F.when(c.isNotNull(), here[k]) for k, c in columns.items() if gaps[k]}
+    if not own:
+        return df.drop("__block"), {k: (h, h) for k, h in here.items()}
+    ends = df.groupBy("subject_id", "__block").agg(*(e for k, c in own.items() for e in (F.max(c).alias(f"last_{k}"), F.min(c).alias(f"first_{k}"))))
     blocks, back = Window.partitionBy("subject_id").orderBy("__block"), Window.partitionBy("subject_id").orderBy(F.desc("__block"))
     handed = [
         e for k in own
         for e in (
-            F.last(f"{k}__last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{k}__before"),
-            F.last(f"{k}__first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{k}__after"),
+            F.last(f"last_{k}", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__before_{k}"),
+            F.last(f"first_{k}", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__after_{k}"),
         )
     ]
     ends = ends.select(F.col("subject_id").alias("__s"), F.col("__block").alias("__b"), *handed)
-    order = in_parts()
-    reverse = Window.partitionBy("subject_id", "__block").orderBy(F.desc("pos"))
-    df = df.withColumns({f"{k}__lo": last_known(c, order) for k, c in own.items()}).withColumns({f"{k}__hi": last_known(c, reverse) for k, c in own.items()})
+    order, reverse = in_parts(), Window.partitionBy("subject_id", "__block").orderBy(F.desc("pos"))
+    df = df.withColumns({f"__lo_{k}": last_known(c, order) for k, c in own.items()}).withColumns({f"__hi_{k}": last_known(c, reverse) for k, c in own.items()})
     df = df.join(ends, F.col("subject_id").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
-    out = {f"{k}__lo": F.coalesce(f"{k}__lo", f"{k}__before") for k in own} | {f"{k}__hi": F.coalesce(f"{k}__hi", f"{k}__after") for k in own}
-    return df.withColumns(out).drop("__s", "__b", "__block", *(f"{k}__{side}" for k in own for side in ("before", "after")))
+    out = {f"__lo_{k}": F.coalesce(f"__lo_{k}", f"__before_{k}") for k in own} | {f"__hi_{k}": F.coalesce(f"__hi_{k}", f"__after_{k}") for k in own}
+    df = df.withColumns(out).drop("__s", "__b", "__block", *(f"__{side}_{k}" for k in own for side in ("before", "after")))
+    return df, {k: (F.col(f"__lo_{k}"), F.col(f"__hi_{k}")) if k in own else (h, h) for k, h in here.items()}
+
+
+def without_known(df: DataFrame) -> DataFrame:
+    """``df`` without what :func:`known_around` has added."""
+    return df.drop(*(c for c in df.columns if c.startswith(("__lo_", "__hi_"))))
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -110,21 +122,22 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], strict: bool = True) -> Dat
 
     A subject whose column is NULL throughout is an error; with ``strict`` off it stays NULL.
     """
-    seen = known_around(df, {f"__{i}": F.col(c) for i, c in enumerate(columns)})
+    seen, around = known_around(df, {str(i): F.col(c) for i, c in enumerate(columns)})
     out = {}
     for i, c in enumerate(columns):
-        lo, hi = F.col(f"__{i}__lo"), F.col(f"__{i}__hi")
+        lo, hi = around[str(i)]
         line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("pos") - lo["p"]) / (hi["p"] - lo["p"])
         none = F.raise_error(F.lit(f"a subject has no value of {c}")).cast("double") if strict else F.lit(None).cast("double")
-        out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(lo.isNotNull() & hi.isNotNull(), line).when(lo.isNull() & hi.isNull(), none).otherwise(F.coalesce(lo["v"], hi["v"]))
-    return seen.withColumns(out).drop(*(f"__{i}__{side}" for i in range(len(columns)) for side in ("lo", "hi")))
+        if f"__lo_{i}" in seen.columns:
+            out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(lo.isNotNull() & hi.isNotNull(), line).when(lo.isNull() & hi.isNull(), none).otherwise(F.coalesce(lo["v"], hi["v"]))
+    return without_known(seen.withColumns(out))
 
 
 def carry(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> DataFrame:
     """Non-finite values and NULLs as the last known value, else the next, else ``default``."""
-    seen = known_around(df.withColumns({c: x.finite(F.col(c)) for c in columns}), {f"__{i}": F.col(c) for i, c in enumerate(columns)})
-    out = {c: F.coalesce(F.col(f"__{i}__lo")["v"], F.col(f"__{i}__hi")["v"], F.lit(default)) for i, c in enumerate(columns)}
-    return seen.withColumns(out).drop(*(f"__{i}__{side}" for i in range(len(columns)) for side in ("lo", "hi")))
+    seen, around = known_around(df.withColumns({c: x.finite(F.col(c)) for c in columns}), {str(i): F.col(c) for i, c in enumerate(columns)})
+    out = {c: F.coalesce(around[str(i)][0]["v"], around[str(i)][1]["v"], F.lit(default)) for i, c in enumerate(columns) if f"__lo_{i}" in seen.columns}
+    return without_known(seen.withColumns(out))
 
 
 def prepare(df: DataFrame, columns: Sequence[str] = COORDS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.functions import expressions as x
-from tidewindow.operators.frames import known_around
+from tidewindow.operators.frames import known_around, without_known
 
 
 def covered_frames(windows: DataFrame, n_classes: int, normalise: bool = True) -> DataFrame:
@@ -26,10 +26,10 @@ def covered_frames(windows: DataFrame, n_classes: int, normalise: bool = True) -
 
 def fill_nearest(frames: DataFrame, column: str = "probs") -> DataFrame:
     """NULLs of a column as the value of the nearest frame that has one, the earlier of two as near."""
-    seen = known_around(frames, {"__n": F.col(column)})
-    before, after = F.col("__n__lo"), F.col("__n__hi")
+    seen, around = known_around(frames, {"n": F.col(column)})
+    before, after = around["n"]
     left = after.isNull() | (F.col("pos") - before["p"] <= after["p"] - F.col("pos"))
-    return seen.withColumn(column, F.when(left, F.coalesce(before["v"], after["v"])).otherwise(after["v"])).drop("__n__lo", "__n__hi")
+    return without_known(seen.withColumn(column, F.when(left, F.coalesce(before["v"], after["v"])).otherwise(after["v"])))
 
 
 def frame_probabilities(windows: DataFrame, frames: DataFrame, classes: Sequence[str]) -> DataFrame:

@@ -21,8 +21,7 @@ def signal_frames(poses: DataFrame, signal_set: str = "A") -> tuple[DataFrame, l
 
 def window_features(framed: DataFrame, names: Sequence[str], chosen: Sequence[str] = features.SUMMARIES) -> tuple[DataFrame, list[str]]:
     """``subject_id, start_pos, end_pos, label`` and the features of each window as columns, with their names."""
-    long = features.long_form(framed, names)
-    wide = features.wide_form(features.summaries(long), chosen, names)
+    wide = features.summary_columns(features.window_summaries(framed, names, chosen), names, chosen)
     meta = framed.groupBy(*windows.KEYS).agg({"pos": "max", "label": "max"}).selectExpr(*windows.KEYS, "`max(pos)` + 1 AS end_pos", "`max(label)` AS label")
     return meta.join(wide, list(windows.KEYS)), [f"{s}__{n}" for n in chosen for s in names]
 
@@ -104,10 +103,12 @@ def multiscale_cache(spark: SparkSession, folder: str, sources: Mapping, poses:
     key = cache.signature(sources, "compact", {"sizes": list(sizes), "stride": stride})
 
     def make() -> DataFrame:
-        each = []
+        own, names = signals.compact_signals(frames.normalise_pose(frames.prepare(poses())))
+        at = f"{folder}/signals-{key}"
+        own.drop("label").write.mode("overwrite").parquet(at)  # worked out once, put into windows of each size
+        own, each = spark.read.parquet(at), []
         for size in sizes:
-            rows, names = compact_windows(poses(), size, stride)
-            out = features.summaries(features.long_form(rows, names))
+            out = features.summary_rows(features.window_summaries(windows.unlabelled_windows(own, size, stride), names), names)
             each.append(out.select(*features.GROUP, F.lit(size).alias("window_size"), *(F.col(c).cast("float").alias(c) for c in features.SUMMARIES)))
         return windows.concatenated(each)
 

@@ -40,7 +40,7 @@ def _long_sql(source: str, columns, out: str = "lg") -> str:
 def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine numbers of each of the 122 compact signals in each window, at a short window's own length."""
     rows, names = inf.compact_windows(poses(spark, sf_dir), SIZE, STRIDE)
-    return rounded(ft.summaries(ft.long_form(rows, names)), ft.SUMMARIES, 3)
+    return rounded(ft.summary_rows(ft.window_summaries(rows, names), names), ft.SUMMARIES, 3)
 
 
 _TEMPORAL = tuple(c for c in ft.TEMPORAL if c != "autocorrelation")
