@@ -40,8 +40,9 @@ SEEN = 50_000
 BROADCAST_ROWS = 200_000
 #: Entries under one n-gram above which the second round joins on pairs of n-grams.
 HOT_ENTRIES = 1_000
-#: Such n-grams in a prefix up to which a class meets others under each of them together with each later n-gram; with more, under neighbours in the order.
-HEAVY = 8
+#: Such n-grams in a prefix up to which a class meets others under each of them together with each later n-gram; with more, under neighbours in the order. The former has the stronger
+#: filter (the first is the first that both have, so it stands early in both), the latter fewer entries.
+HEAVY = 64
 _PIVOTS = (np.arange(1, 64, dtype=np.uint64)) << np.uint64(58)
 
 #: Bits of a set's parity bitmap, which tells unlike sets apart as long as their bound of unlike items is below half of it or so.
