@@ -200,8 +200,9 @@ def transition_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_arrays(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray]:
     """Transition and initial probabilities of all types as arrays: classes squared numbers."""
     initial, moves = dc.transition_model(frames(spark, sf_dir).withColumnRenamed("event_type", "label"), TYPES)
-    first = {r["class"]: r["p"] for r in initial.collect()}
-    step = {(r["before"], r["class"]): r["p"] for r in moves.collect()}
+    both = initial.withColumn("before", F.lit(None).cast("string")).unionByName(moves).collect()  # one job: the frames are put in order once
+    first = {r["class"]: r["p"] for r in both if r["before"] is None}
+    step = {(r["before"], r["class"]): r["p"] for r in both if r["before"] is not None}
     return np.array([[step[a, b] for b in TYPES] for a in TYPES]), np.array([first[t] for t in TYPES])
 
 
