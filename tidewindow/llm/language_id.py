@@ -145,7 +145,11 @@ class Classifier:
 
 
 def predictor(profiles: dict[str, list[int]], context, top: int = TOP):
-    """A pandas UDF of a text: ``struct<lang_pred, score>``."""
+    """A pandas UDF of a text: ``struct<lang_pred, score>``.
+
+    It is marked as not deterministic, though it is, so that Spark doesn't repeat it in a filter on its columns: that would take twice the time, and two Python workers a task,
+    which then stay until the executor rests for a minute.
+    """
     model = context.broadcast(profiles)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -154,7 +158,7 @@ def predictor(profiles: dict[str, list[int]], context, top: int = TOP):
         for texts in batches:
             yield pd.DataFrame([classifier.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    return predict
+    return predict.asNondeterministic()
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -115,7 +115,7 @@ class Ledger:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return self.spark.read.schema(_SCANS).parquet(self.folder)
-        return self.spark.createDataFrame([], _SCANS)
+        return self.spark.createDataFrame(self.spark.sparkContext.emptyRDD(), _SCANS)  # no partitions: of an empty list, each would start a Python worker
 
     def findings(self, versions: DataFrame, content: str = "content") -> DataFrame:
         """``versions`` under a struct ``version``, with ``blob`` and the sorted ``spans`` of the current rules.
