@@ -295,3 +295,16 @@ def test_summaries_of_windows_as_arrays(spark):
                 assert r[c] == pytest.approx(expected, abs=1e-9)
     wide = features.summary_columns(made, names, ["mean"]).where("start_pos = 20").first()
     assert (wide["d.e__mean"], wide["c__mean"]) == (20.0, None)
+
+
+def test_class_means_far_from_every_class(spark):
+    """Where exp(-difference) is 0 for all classes, or as small as doubles get, the shares of near and far classes are those of exact numbers."""
+    model = learning.ClassMeans(((0.0, 0.0), (0.001, 0.0), None))
+    df = spark.createDataFrame([(v, 0.0) for v in (0.0, 38.6, 1000.0, -1e5)], "f double, g double")
+    for r in learning.predict(model, df, ["f", "g"], ["a", "b", "c"]).collect():
+        ahead = (r["f"] ** 2 - (r["f"] - 0.001) ** 2) / 2  # how much nearer b is
+        assert r["probs"] == pytest.approx([1 / (1 + math.exp(ahead)), 1 / (1 + math.exp(-ahead)), 0.0], rel=1e-4)
+        assert r["pred"] == ("b" if ahead > 0 else "a") and r["confidence"] == max(r["probs"])
+    lone = learning.ClassMeans((None, None))
+    with pytest.raises(SparkRuntimeException, match="positive sum"):
+        learning.predict(lone, df, ["f", "g"], ["a", "b"]).select("probs").collect()

@@ -158,16 +158,15 @@ class ClassMeans:
 
     means: tuple[tuple[float, ...] | None, ...]
 
-    def probs(self, features: Sequence[str]) -> Column:
-        """Weights exp(-mean squared difference), normalised; 0 for a class without rows."""
-        weights = []
+    def apart(self, features: Sequence[str]) -> Column:
+        """The mean squared difference from each class's means; infinite for a class without rows."""
+        each = []
         for own in self.means:
             if own is None:
-                weights.append(F.lit(0.0))
+                each.append(F.lit(float("inf")))
                 continue
-            apart = x.array_sum(F.zip_with(F.array(*features), F.array(*map(F.lit, own)), lambda a, b: (a - b) * (a - b)))
-            weights.append(F.exp(-apart / len(features)))
-        return x.normalised(F.array(*weights))
+            each.append(x.array_sum(F.zip_with(F.array(*features), F.array(*map(F.lit, own)), lambda a, b: (a - b) * (a - b))) / len(features))
+        return F.array(*each)
 
 
 def class_means(rows: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "label") -> ClassMeans:
@@ -179,7 +178,9 @@ def class_means(rows: DataFrame, features: Sequence[str], classes: Sequence[str]
 def predict(model: PipelineModel | ClassMeans, rows: DataFrame, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Rows with ``probs`` in class order, ``pred`` and ``confidence``."""
     if isinstance(model, ClassMeans):
-        told = rows.withColumn("probs", model.probs(features))
+        # weights exp(-difference), which are all 0 far from every class, times exp(least difference): normalised they are the same
+        weights = F.transform("__apart", lambda d: F.exp(F.array_min("__apart") - d))
+        told = rows.withColumn("__apart", model.apart(features)).withColumn("__weights", weights).withColumn("probs", x.normalised(F.col("__weights"))).drop("__apart", "__weights")
         return told.withColumns({"pred": F.get(F.array(*map(F.lit, classes)), x.argmax(F.col("probs"))), "confidence": F.array_max("probs")})
     clean = rows.withColumns({c: x.finite(F.col(c).cast("double")) for c in features})
     probs = vector_to_array("__p")
